@@ -85,3 +85,24 @@ def op10_sentencepiece_encoding_and_decoding(spark, sf_dir):
     from pathledger.llm.sentencepieces import encode
 
     return encode(table(spark, sf_dir, "documents"))
+
+
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark, sf_dir):
+    from pathledger.llm.lm_score import stupid_backoff
+
+    return stupid_backoff(table(spark, sf_dir, "documents"))
+
+
+@query("op2_suffix_array_dedup")
+def op2_suffix_array_dedup(spark, sf_dir):
+    from pathledger.llm.suffix_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
