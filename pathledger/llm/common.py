@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathledger.runtime import checkpoint_dir, cut_lineage, table
 
-__all__ = ["balanced_cuts", "checkpoint_dir", "components", "cut_lineage", "id_bins", "partitions", "table"]
+__all__ = ["balanced_cuts", "checkpoint_dir", "components", "cut_lineage", "id_bins", "partitions", "release", "table"]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of plans that nothing refers to any more, before the next large one."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

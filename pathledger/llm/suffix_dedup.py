@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathledger.llm import textcore as tc
-from pathledger.llm.common import cut_lineage, partitions
+from pathledger.llm.common import cut_lineage, partitions, release
 from pathledger.llm.induced import suffix_array
 
 LENGTH = 100
@@ -26,7 +26,10 @@ GRAM = 32
 SEGMENT = 1 << 23
 BUCKET_BYTES = 24 << 20
 MESSAGE_RUNS = 400_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
+#: Unlike runs of one anchor beyond which they are dealt by parts of `STEP` starts and the bytes those share.
+HOT_RUNS = 4096
+STEP = 5
 
 
 def byte_hash(data: np.ndarray, n: int) -> np.ndarray:
@@ -176,14 +179,19 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unlike[1:] = h[1:] == h[:-1]
     unlike[:-1] |= unlike[1:]
     h, doc, pos, lo, hi = (x[unlike] for x in (h, doc, pos, lo, hi))
+    hot = np.unique(h, return_counts=True)[1].repeat(np.unique(h, return_counts=True)[1]) > HOT_RUNS  # h is sorted
     order = np.argsort(doc, kind="stable")
-    h, doc, pos, lo, hi = (x[order] for x in (h, doc, pos, lo, hi))
+    h, doc, pos, lo, hi, hot = (x[order] for x in (h, doc, pos, lo, hi, hot))
     heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
     ends = np.append(heads[1:], len(doc))
-    rows = [np.stack([tc.signed(h[x:y]), pos[x:y], lo[x:y], hi[x:y]]).tobytes() for x, y in zip(heads, ends)]
+    rows = [np.stack([tc.signed(h[x:y]), pos[x:y], lo[x:y], hi[x:y], hot[x:y]]).tobytes() for x, y in zip(heads, ends)]
     yield pa.RecordBatch.from_arrays([pa.array(doc[heads], pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "starts", "open"])
 
 
+def core_key(anchor: int, part: int, core: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(core, digest_size=8, key=f"{anchor}/{part}".encode()).digest(), "little", signed=True)
+
+
 def _contexts(length: int):
     """(doc_id, text, opens) -> the bytes of each open run, by anchor."""
 
@@ -192,10 +200,19 @@ def _contexts(length: int):
             col = batch.column(1).cast(pa.large_binary())
             for k, opens in enumerate(batch.column(2).to_pylist()):
                 text = col[k].as_py() or b""
-                h, pos, lo, hi = np.concatenate([np.frombuffer(o, np.int64).reshape(4, -1) for o in opens], axis=1)
+                h, pos, lo, hi, hot = np.concatenate([np.frombuffer(o, np.int64).reshape(5, -1) for o in opens], axis=1)
                 d = batch.column(0)[k].as_py()
-                pieces = [text[p + a : p + b + length] for p, a, b in zip(pos.tolist(), lo.tolist(), hi.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([d] * len(h), pa.int64()), pa.array(pos + lo), pa.array(hi - lo + 1, pa.int32()), pa.array(pieces, pa.binary())], ["h", "doc_id", "start", "n", "bytes"])
+                rows = []
+                for key, at, x, y, much in zip(h.tolist(), pos.tolist(), lo.tolist(), hi.tolist(), hot.tolist()):
+                    # equal strings start equally far from their anchors: a hot anchor's runs are cut at the same
+                    # distances, and a part goes by the bytes that all strings which start in it contain
+                    for q in range(x // STEP, y // STEP + 1) if much else (None,):
+                        i, j = (x, y) if q is None else (max(x, q * STEP), min(y, q * STEP + STEP - 1))
+                        to = key if q is None else core_key(key, q, text[at + q * STEP + STEP - 1 : at + q * STEP + length])
+                        rows.append((to, d, at + i, j - i + 1, text[at + i : at + j + length]))
+                cols = list(zip(*rows)) or [[]] * 5
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["h", "doc_id", "start", "n", "bytes"])
 
     return run
 
@@ -226,12 +243,16 @@ def _shards(length: int, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        copies: list[tuple] = []
+        seen: set[bytes] = set()
         size, last = 0, None
 
         def done() -> pa.RecordBatch:
-            h, doc, start, n, pieces = (list(x) for x in zip(*held))
+            doc, start, n, pieces = (list(x) for x in zip(*held))
             d, s = sort_shard(np.array(doc), np.array(start), np.array(n), pieces, length)
-            ids, packed = _span_rows(d, s, s)
+            more = np.array(copies, np.int64).reshape(-1, 3).T
+            copies.clear()
+            ids, packed = _span_rows(np.concatenate([d, more[0]]), np.concatenate([s, more[1]]), np.concatenate([s, more[2]]))
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "starts"])
 
         for batch in batches:
@@ -239,9 +260,14 @@ def _shards(length: int, most: int):
                 if size > most and row[0] != last:
                     yield done()
                     held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+                seen = seen if row[0] == last else set()
                 last = row[0]
+                if row[4] in seen:  # rows come earliest first: an equal piece starts earlier throughout
+                    copies.append((row[1], row[2], row[2] + row[3] - 1))
+                    continue
+                seen.add(row[4])
+                held.append(row[1:])
+                size += len(row[4])
         if held:
             yield done()
 
@@ -269,6 +295,8 @@ def removals(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> Data
     sent = sent.withColumn("to", F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")))
     met = sent.repartitionById(buckets, F.col("to")).drop("to").mapInArrow(_split_messages, "doc_id bigint, starts binary, open binary")
     met = cut_lineage(met)
+    del sent
+    release(spark)
     opens = met.filter("open is not null").groupBy("doc_id").agg(F.collect_list("open").alias("opens"))  # at most a document's own runs
     pieces = docs.select("doc_id", "text").join(opens, "doc_id").mapInArrow(_contexts(length), "h bigint, doc_id bigint, start bigint, n int, bytes binary")
     dealt = pieces.repartition(buckets, "h").sortWithinPartitions("h", "doc_id", "start")
