@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathledger.llm import textcore as tc
-from pathledger.llm.common import components, cut_lineage, partitions
+from pathledger.llm.common import components, cut_lineage, partitions, release
 
 SALTS = 8
 LEAF = 48
@@ -25,6 +25,11 @@ PIVOTS = 16
 REGION_SHINGLES = 16_000_000
 SPLIT_PIVOTS = 8
 SPLIT_LEVELS = 6
+#: Buckets grow with the text, so a key's low bytes tell the keys of a bucket apart alike at every size; two that
+#: agree by chance only make a region larger.
+BUCKET_BYTES = 24 << 20
+KEY_BYTES = 6
+MESSAGE_KEYS = 1_000_000
 
 
 def classes(most: int = 1 << 40, ratio: float = 1.5) -> list[int]:
@@ -215,23 +220,100 @@ def voronoi(dist: np.ndarray, theta: float) -> list[np.ndarray]:
     return out
 
 
-def _sets(n: int, percent: int):
+SENT_NAMES = ["bucket", "keys", "ids", "counts", "doc_id", "n_shingles", "set_hash"]
+SENT = "bucket int, keys binary, ids binary, counts binary, doc_id bigint, n_shingles bigint, set_hash bigint"
+
+
+def _sets(n: int, percent: int, buckets: int):
+    """Per document its size and set hash; per message and bucket the keys of its documents, each key once.
+
+    A key that several documents of a message have stays with the least of them, the others are touching it at once:
+    whatever a third of all rows share is sent once a message.
+    """
+
+    def message(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        doc, key = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((doc, key))
+        doc, key = doc[order], key[order]
+        again = np.zeros(len(key), bool)
+        again[1:] = key[1:] == key[:-1]
+        touching = _pairs(doc, again)
+        doc, key = doc[~again], key[~again]
+        bucket = (tc.mix(key) % tc.U(buckets)).astype(np.int64)
+        order = np.lexsort((doc, bucket))
+        doc, key, bucket = doc[order], key[order], bucket[order]
+        at = np.searchsorted(bucket, np.arange(buckets + 1))
+        rows: list[tuple] = [(None, None, touching.tobytes(), None)] if touching.size else []
+        for i in np.flatnonzero(np.diff(at)):
+            mine = slice(at[i], at[i + 1])
+            own, counts = np.unique(doc[mine], return_counts=True)
+            rows.append((int(i), key[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes(), own.tobytes(), counts.astype(np.uint32).tobytes()))
+        cols = list(zip(*rows)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:]), *(pa.nulls(len(rows), pa.int64()) for _ in range(3))], SENT_NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             ids = batch.column(0)
+            known, number = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
             for first, data, offs in tc.chunks(batch.column(1)):
                 sets, bounds = shingle_sets(data, offs, n)
-                doc, key = part_keys(sets, bounds, percent)
-                order = np.argsort(doc, kind="stable")
-                at = np.searchsorted(doc[order], np.arange(len(offs)))
-                keys = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tc.signed(key[order])))
+                rows = len(offs) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(offs) - 1), pa.array(np.diff(bounds)), pa.array(tc.signed(tc.order_free(sets, bounds))), keys], ["doc_id", "n_shingles", "set_hash", "keys"]
+                    [pa.nulls(rows, pa.int32()), *(pa.nulls(rows, pa.binary()) for _ in range(3)), ids.slice(first, rows), pa.array(np.diff(bounds)), pa.array(tc.signed(tc.order_free(sets, bounds)))], SENT_NAMES
                 )
+                doc, key = part_keys(sets, bounds, percent)
+                use = known[first + doc]
+                held.append((number[first + doc[use]], key[use]))
+                size += int(use.sum())
+                if size > MESSAGE_KEYS:
+                    yield from message(held)
+                    held, size = [], 0
+        if size:
+            yield from message(held)
 
     return run
 
 
+def _pairs(doc: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """Distinct (document, first document of its key) of keys in order, where `again` marks all but the first."""
+    head = np.maximum.accumulate(np.where(again, 0, np.arange(len(doc))))
+    both = np.stack([doc[again], doc[head[again]]])
+    return np.unique(both[:, both[0] != both[1]], axis=1)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass documents on; documents (a) that share a key of this bucket touch its least one (b)."""
+    names = ["doc_id", "n_shingles", "set_hash", "a", "b"]
+
+    def touching(pairs: np.ndarray) -> pa.RecordBatch:
+        n = pairs.shape[1]
+        return pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(3)), pa.array(pairs[0]), pa.array(pairs[1])], names)
+
+    keys, docs = [], []
+    for batch in batches:
+        rows = batch.filter(batch.column(5).is_valid())
+        yield pa.RecordBatch.from_arrays([*rows.columns[4:7], *(pa.nulls(rows.num_rows, pa.int64()) for _ in range(2))], names)
+        for k, ids, counts in zip(*(batch.filter(batch.column(2).is_valid()).column(i).to_pylist() for i in (1, 2, 3))):
+            own = np.frombuffer(ids, np.int64)
+            if k is None:
+                yield touching(own.reshape(2, -1))
+                continue
+            docs.append(np.repeat(own, np.frombuffer(counts, np.uint32)))
+            wide = np.zeros((len(docs[-1]), 8), np.uint8)
+            wide[:, :KEY_BYTES] = np.frombuffer(k, np.uint8).reshape(-1, KEY_BYTES)
+            keys.append(wide.view("<u8").ravel())
+    if keys:
+        key, doc = np.concatenate(keys), np.concatenate(docs)
+        keys.clear()
+        docs.clear()
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        again = np.zeros(len(key), bool)
+        again[1:] = key[1:] == key[:-1]
+        yield touching(_pairs(doc, again))
+
+
 def _elements(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,12 +398,20 @@ def jaccard_join(docs: DataFrame, *, shingle: int = 5, percent: int = 80, region
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = cut_lineage(base.mapInArrow(_sets(shingle, percent), "doc_id bigint, n_shingles bigint, set_hash bigint, keys array<bigint>"))
+    total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(partitions(spark), total // BUCKET_BYTES)
+    sent = base.mapInArrow(_sets(shingle, percent, buckets), SENT)
+    sent = sent.withColumn("to", F.coalesce("bucket", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(buckets)).cast("int")))
+    met = cut_lineage(sent.repartitionById(buckets, F.col("to")).drop("to").mapInArrow(_meet, "doc_id bigint, n_shingles bigint, set_hash bigint, a bigint, b bigint"))
+    del sent
+    release(spark)
+    made = met.filter("n_shingles is not null").select("doc_id", "n_shingles", "set_hash")
     full = made.filter("n_shingles > 0")
     reps = cut_lineage(full.groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("rep")))
-    keyed = full.join(reps.select(F.col("rep").alias("doc_id"), "n_shingles", "set_hash"), ["doc_id", "n_shingles", "set_hash"], "left_semi").select("doc_id", F.explode("keys").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("key", "first")
-    touching = keyed.join(first, "key").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+    pairs = met.filter("a is not null").select("a", "b").distinct()
+    named = full.filter("doc_id is not null").join(reps, ["n_shingles", "set_hash"]).select("doc_id", "rep").distinct()
+    touching = pairs.join(named.select(F.col("doc_id").alias("a"), F.col("rep").alias("x")), "a").join(named.select(F.col("doc_id").alias("b"), F.col("rep").alias("y")), "b")
+    touching = touching.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     region = components(touching).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "region")
     cells = region.join(base, "doc_id").select("region", "doc_id", "text").mapInArrow(_elements(shingle), "region bigint, doc_id bigint, el array<bigint>").filter("size(el) > 0")
     cells = cut_lineage(cells)
