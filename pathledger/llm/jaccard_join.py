@@ -62,6 +62,20 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray
     return g, np.searchsorted(gd, np.arange(docs + 1))
 
 
+def spare_parts(parts: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Parts to add so that a class's smallest sets (`least` elements) seldom leave more than those empty.
+
+    Depends on the class alone, since linked sets must be dealt into equally many parts. Where sets are too small
+    for that, further salts have to do.
+    """
+    some = 2 + parts // 100
+    spare = some
+    for _ in range(30):
+        empty = (parts + spare) * np.exp(-least / (parts + spare))
+        spare = np.minimum(np.maximum(some, np.ceil(empty + 3 * np.sqrt(empty)).astype(np.int64)), parts + 2)
+    return np.where(spare <= parts, spare, some)
+
+
 def part_keys(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, key): linked documents share a key.
 
@@ -87,7 +101,7 @@ def part_keys(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.nd
             if not len(todo):
                 break
             m0 = k + 1
-            spare = 2 + m0 // 100
+            spare = spare_parts(m0, BOUNDS[cls[todo]] * percent / 100)
             m = m0 + spare
             size = n[todo]
             take = np.repeat(bounds[todo], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
