@@ -357,6 +357,8 @@ def _join_regions(percent: int):
             el = batch.column(2)
             values, offs = el.values.to_numpy().view(np.uint64), el.offsets.to_numpy()
             for k, (r, d) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if offs[k] == offs[k + 1]:
+                    continue
                 if r != region:
                     out += done()
                     region, ids, sets = r, [], []
@@ -400,6 +402,26 @@ def _split(percent: int, level: int):
     return run
 
 
+def _divide(cells: DataFrame, percent: int, region_shingles: int) -> tuple[DataFrame, DataFrame | None]:
+    """Divide cells (region, doc_id, el) by pivots until they are small: links inside cells, and links to pivots."""
+    extra = None
+    for level in range(SPLIT_LEVELS):
+        large = cells.groupBy("region").agg(F.sum(F.size("el")).alias("w"), F.count("*").alias("n")).filter((F.col("w") > region_shingles) & (F.col("n") > LEAF)).select("region")
+        large = cut_lineage(large)
+        if large.isEmpty():
+            break
+        big = cells.join(large, "region", "left_semi")
+        slot = F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(SPLIT_PIVOTS)).alias("slot")
+        one = big.groupBy("region", slot).agg(F.min_by(F.struct("doc_id", "el"), F.xxhash64("doc_id", F.lit(level))).alias("p"))
+        pivots = one.groupBy("region").agg(F.collect_list("p").alias("pivots"))  # at most SPLIT_PIVOTS a region
+        parts = cut_lineage(big.join(pivots, "region").select("region", "doc_id", "el", "pivots").mapInArrow(_split(percent, level), "region bigint, doc_id bigint, pivot bigint, el array<bigint>"))
+        found = parts.filter("region is null").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+        extra = found if extra is None else extra.unionByName(found)
+        cells = cut_lineage(cells.join(large, "region", "left_anti").unionByName(parts.filter("region is not null").select("region", "doc_id", "el")))
+    ordered = cells.repartition(partitions(cells.sparkSession), "region").sortWithinPartitions("region", "doc_id")
+    return ordered.mapInArrow(_join_regions(percent), "a bigint, b bigint"), extra
+
+
 def jaccard_join(docs: DataFrame, *, shingle: int = 5, percent: int = 80, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id: documents linked by 100 * |A & B| >= percent * |A | B|, closed transitively.
 
@@ -427,24 +449,21 @@ def jaccard_join(docs: DataFrame, *, shingle: int = 5, percent: int = 80, region
     touching = pairs.join(named.select(F.col("doc_id").alias("a"), F.col("rep").alias("x")), "a").join(named.select(F.col("doc_id").alias("b"), F.col("rep").alias("y")), "b")
     touching = touching.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     region = components(touching).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "region")
-    cells = region.join(base, "doc_id").select("region", "doc_id", "text").mapInArrow(_elements(shingle), "region bigint, doc_id bigint, el array<bigint>").filter("size(el) > 0")
-    cells = cut_lineage(cells)
+    region = cut_lineage(region)
+    release(spark)
+    size = F.sum("n_shingles").alias("w")
+    weights = region.join(full.select("doc_id", "n_shingles").distinct(), "doc_id").groupBy("region").agg(size, F.count("*").alias("n"))
+    heavy = cut_lineage(weights.filter((F.col("w") > region_shingles) & (F.col("n") > LEAF)).select("region"))
+    # texts are less than half as many bytes as their sets: they travel, and sets are made where a region meets
+    placed = region.join(base, "doc_id").select("region", "doc_id", "text")
+    whole = placed.join(heavy, "region", "left_anti") if not heavy.isEmpty() else placed
+    ordered = whole.repartition(partitions(spark), "region").sortWithinPartitions("region", "doc_id")
+    links = ordered.mapInArrow(lambda rows: _join_regions(percent)(_elements(shingle)(rows)), "a bigint, b bigint")
     extra = None
-    for level in range(SPLIT_LEVELS):
-        large = cells.groupBy("region").agg(F.sum(F.size("el")).alias("w"), F.count("*").alias("n")).filter((F.col("w") > region_shingles) & (F.col("n") > LEAF)).select("region")
-        large = cut_lineage(large)
-        if large.isEmpty():
-            break
-        big = cells.join(large, "region", "left_semi")
-        slot = F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(SPLIT_PIVOTS)).alias("slot")
-        one = big.groupBy("region", slot).agg(F.min_by(F.struct("doc_id", "el"), F.xxhash64("doc_id", F.lit(level))).alias("p"))
-        pivots = one.groupBy("region").agg(F.collect_list("p").alias("pivots"))  # at most SPLIT_PIVOTS a region
-        parts = cut_lineage(big.join(pivots, "region").select("region", "doc_id", "el", "pivots").mapInArrow(_split(percent, level), "region bigint, doc_id bigint, pivot bigint, el array<bigint>"))
-        found = parts.filter("region is null").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-        extra = found if extra is None else extra.unionByName(found)
-        cells = cut_lineage(cells.join(large, "region", "left_anti").unionByName(parts.filter("region is not null").select("region", "doc_id", "el")))
-    ordered = cells.repartition(partitions(spark), "region").sortWithinPartitions("region", "doc_id")
-    links = ordered.mapInArrow(_join_regions(percent), "a bigint, b bigint")
+    if not heavy.isEmpty():
+        cells = placed.join(heavy, "region", "left_semi").mapInArrow(_elements(shingle), "region bigint, doc_id bigint, el array<bigint>").filter("size(el) > 0")
+        more, extra = _divide(cut_lineage(cells), percent, region_shingles)
+        links = links.unionByName(more)
     if extra is None:
         found = cut_lineage(links.select(F.col("a").alias("rep"), F.col("b").alias("component")))
     else:
