@@ -165,28 +165,48 @@ class Sets:
         return total[ends] - total[ends - self.size[members]]
 
     def leaf(self, members: np.ndarray) -> None:
-        """Exact join of a small or shapeless cell: links share one of their rarest elements (prefix filter)."""
+        """Exact join of a small or shapeless cell: links share one of their rarest elements (prefix filter).
+
+        Only holders outside an element's most frequent component are compared, each with all others at once: what
+        is linked already costs no comparison, however many copies share the element.
+        """
         cat = np.concatenate([self.sets[i] for i in members])
         own = np.repeat(np.arange(len(members)), self.size[members])
-        values, inverse, counts = np.unique(cat, return_inverse=True, return_counts=True)
+        _, inverse, counts = np.unique(cat, return_inverse=True, return_counts=True)
         order = np.lexsort((inverse, counts[inverse], own))
         n = self.size[members]
         rank = np.arange(len(cat)) - np.repeat(np.cumsum(n) - n, n)
         need = -(-n * self.percent // 100)
         first = order[rank < np.repeat(n - need + 1, n)]
-        groups: dict[int, list[int]] = defaultdict(list)
-        for token, o in zip(inverse[first].tolist(), own[first].tolist()):
-            if counts[token] > 1:
-                groups[token].append(int(members[o]))
-        tried = set()
-        for g in groups.values():
-            for x in range(len(g)):
-                for y in range(x):
-                    i, j = g[x], g[y]
-                    if self.find(i) != self.find(j) and (i, j) not in tried:
-                        tried.add((i, j))
-                        if self.linked(i, j):
-                            self.union(i, j)
+        first = first[counts[inverse[first]] > 1]
+        if not len(first):
+            return
+        order = np.lexsort((own[first], inverse[first]))
+        element, holder = inverse[first][order], own[first][order]
+        root = np.array([self.find(int(i)) for i in members])
+        start = np.flatnonzero(np.diff(element, prepend=-1))
+        stop = np.append(start[1:], len(element))
+        mixed = np.minimum.reduceat(root[holder], start) != np.maximum.reduceat(root[holder], start)
+        held = own[np.argsort(inverse, kind="stable")].astype(np.int32)  # holders of each element, element by element
+        held_to = np.cumsum(counts)
+        set_to = np.cumsum(n)
+        near: dict[int, list[np.ndarray]] = defaultdict(list)
+        for s, e in zip(start[mixed], stop[mixed]):
+            group = holder[s:e]
+            names, times = np.unique(root[group], return_counts=True)
+            for x in group[root[group] != names[times.argmax()]].tolist():
+                near[x].append(group)
+        for x, groups in near.items():
+            others = np.unique(np.concatenate(groups))
+            others = others[(root[others] != root[x]) & (np.minimum(n[others], n[x]) * 100 >= self.percent * np.maximum(n[others], n[x]))]
+            if not len(others):
+                continue
+            mine = inverse[set_to[x] - n[x] : set_to[x]]
+            both = np.bincount(np.concatenate([held[held_to[v] - counts[v] : held_to[v]] for v in mine.tolist()]), minlength=len(members))[others]
+            for y in others[both * 100 >= self.percent * (n[others] + n[x] - both)].tolist():
+                if root[x] != root[y]:
+                    self.union(int(members[x]), int(members[y]))
+                    root[(root == root[x]) | (root == root[y])] = min(root[x], root[y])
 
     def join(self, members: np.ndarray) -> None:
         stack = [members]
@@ -204,8 +224,11 @@ class Sets:
                 for i in cell[both[:, k] * 100 >= self.percent * whole[:, k]]:
                     self.union(int(i), int(p))
             dist = 1 - both / whole
-            for sub in voronoi(dist, self.theta):
-                stack.append(cell[sub]) if len(sub) <= 0.75 * len(cell) else self.leaf(cell[sub])
+            subs = voronoi(dist, self.theta)
+            if max(map(len, subs)) > 0.75 * len(cell):  # windows that hold nearly all: one join of the cell is less
+                self.leaf(cell)
+            else:
+                stack.extend(cell[sub] for sub in subs)
 
     def edges(self) -> list[tuple[int, int]]:
         least: dict[int, int] = {}
