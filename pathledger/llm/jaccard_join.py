@@ -487,9 +487,12 @@ def jaccard_join(docs: DataFrame, *, shingle: int = 5, percent: int = 80, region
         cells = placed.join(heavy, "region", "left_semi").mapInArrow(_elements(shingle), "region bigint, doc_id bigint, el array<bigint>").filter("size(el) > 0")
         more, extra = _divide(cut_lineage(cells), percent, region_shingles)
         links = links.unionByName(more)
+        del cells, more
     if extra is None:
         found = cut_lineage(links.select(F.col("a").alias("rep"), F.col("b").alias("component")))
     else:
         found = components(links.unionByName(extra)).withColumnRenamed("node", "rep")
+    del region, weights, placed, whole, ordered, links, extra
+    release(spark)
     best = reps.join(found, "rep", "left").select("n_shingles", "set_hash", F.least("rep", F.coalesce("component", "rep")).alias("component"))
     return made.select("doc_id", "n_shingles", "set_hash").join(best, ["n_shingles", "set_hash"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
