@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from pathledger.llm import textcore as tc
 from pathledger.llm.common import cut_lineage, partitions
 
-#: The model's closed vocabulary: the most frequent words have ids of their own, all others share one.
-VOCABULARY = 65_534
-UNKNOWN, START = 0, 65_535
 BACKOFF = 0.4
 LEAST_COUNT = 2
-MESSAGE_WORDS = 2_000_000
+MESSAGE_WORDS = 1_000_000
 BUCKET_WORDS = 4_000_000
+#: Stand-ins for hashes of words: the symbol before a text's first word, and words outside a given vocabulary.
+START, UNKNOWN = tc.U(0x5354415254), tc.U(0x554E4B)
+ROW = "message bigint, kind int, bucket int, keys binary, counts binary, ids binary, nulls binary, n_words binary, pairs binary, docs binary, tf binary, left binary, right binary"
+TEXT, WORD, PAIR = -1, 0, 1
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,102 +42,152 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _explode(ids_of_words: np.ndarray, buckets: int):
-    """ids_of_words: hashes of the vocabulary in id order. Rows (bucket, keys, docs, tf, ids) of packed bigrams."""
-    order = np.argsort(ids_of_words)
-    known = ids_of_words[order]
-
-    def message(ids: list, keys: list, docs: list) -> Iterator[pa.RecordBatch]:
-        own_id = int.from_bytes(hashlib.blake2b(repr(ids).encode(), digest_size=8).digest(), "little", signed=True)
-        pair, tf = np.unique(np.concatenate(keys).astype(np.uint64) << tc.U(32) | np.concatenate(docs).astype(np.uint64), return_counts=True)
-        bucket = (tc.mix(pair >> tc.U(32)) % tc.U(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        at = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        number = np.array([x if x is not None else 0 for x in ids], np.int64)
-        null = np.array([x is None for x in ids])
-        rows = []
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words, and texts that have any."""
+    for batch in batches:
+        n = full = 0
+        for _, data, offs in tc.chunks(batch.column(0)):
+            doc = tc.words(data, offs)[1]
+            n, full = n + len(doc), full + len(np.unique(doc))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([full], pa.int64())], ["n", "texts"])
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """The numbers' bytes by significance, so that equal high bytes stand together."""
+    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def _unpack(b: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _rows(rows: list[dict]) -> pa.RecordBatch:
+    fields = [x.split() for x in ROW.split(", ")]
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in fields], [n for n, _ in fields])
+
+
+def _explode(known: np.ndarray | None, buckets: int, least: int):
+    """Messages of whole texts: the distinct words and bigrams with their counts, dealt by ranges of their hashes, and
+    one row (TEXT) that says how the texts are made of them. known: sorted hashes of a closed vocabulary."""
+
+    def deal(message: int, kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[dict]:
+        bucket = ((keys >> tc.U(32)) * tc.U(buckets) >> tc.U(32)).astype(np.int64)  # ascends with the keys
+        at = np.searchsorted(bucket, np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(at)):
-            mine = by[at[b] : at[b + 1]]
-            own, local = np.unique(pair[mine] & tc.U(0xFFFFFFFF), return_inverse=True)
-            own = own.astype(np.int64)
-            kind = np.uint16 if len(own) < 65_536 else np.uint32
-            rows.append((int(b), (pair[mine] >> tc.U(32)).astype(np.uint32).tobytes(), local.astype(kind).tobytes(), tf[mine].astype(np.uint32).tobytes(), number[own].tobytes(), null[own].tobytes()))
-        cols = list(zip(*rows)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:]), pa.array([own_id] * len(rows), pa.int64())], ["bucket", "keys", "docs", "tf", "ids", "nulls", "message"])
+            own = slice(at[b], at[b + 1])
+            yield {"message": message, "kind": kind, "bucket": int(b), "keys": _pack(keys[own]), "counts": _pack(counts[own].astype(np.uint64))}
+
+    def message(ids: list, words: list, docs: list) -> Iterator[pa.RecordBatch]:
+        w, doc = np.concatenate(words), np.concatenate(docs).astype(np.uint32)
+        word, where, count = np.unique(w, return_inverse=True, return_counts=True)
+        first = np.ones(len(w), bool)
+        first[1:] = doc[1:] != doc[:-1]
+        before = np.concatenate([[START], w[:-1]])
+        before[first] = START
+        left = np.concatenate([[0], where[:-1] + 1])
+        left[first] = 0  # 0 is the start, k + 1 the k-th word
+        gram = tc.mix(before * tc.GRAM[0] + w * tc.GRAM[1])
+        order = np.argsort(gram, kind="stable")  # documents ascend within each bigram
+        gram, doc = gram[order], doc[order]
+        new = np.ones(len(gram), bool)
+        new[1:] = gram[1:] != gram[:-1]
+        use = new.copy()
+        use[1:] |= doc[1:] != doc[:-1]
+        heads, uses = np.flatnonzero(new), np.flatnonzero(use)
+        tf = np.diff(uses, append=len(gram)).astype(np.uint32)
+        pairs = np.diff(np.searchsorted(uses, heads), append=len(uses)).astype(np.uint32)
+        texts = np.bincount(np.concatenate(docs), minlength=len(ids)).astype(np.uint32)
+        row = {
+            "kind": TEXT, "ids": np.array([x if x is not None else 0 for x in ids], np.int64).tobytes(), "nulls": np.array([x is None for x in ids]).tobytes(), "n_words": _pack(texts),
+            "pairs": _pack(pairs), "docs": _pack(doc[uses]), "tf": _pack(tf), "left": _pack(left[order[heads]].astype(np.uint32)),
+        }
+        if least > 1:
+            row["right"] = _pack(where[order[heads]].astype(np.uint32))
+        digest = hashlib.blake2b(gram.tobytes(), digest_size=8)
+        for k in ("ids", "nulls", "docs", "tf"):
+            digest.update(row[k])
+        own = int.from_bytes(digest.digest(), "little", signed=True)
+        yield _rows([row | {"message": own, "bucket": own % buckets}])
+        kinds = ((WORD, word, count), (PAIR, gram[heads], np.diff(heads, append=len(gram))))
+        yield _rows([r for k, keys, counts in kinds for r in deal(own, k, keys, counts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys, docs, size = [], [], [], 0
+        ids, words, docs, size = [], [], [], 0
         for batch in batches:
             column = batch.column(0).to_pylist()
             for lo, data, offs in tc.chunks(batch.column(1)):
                 h, doc, _, _ = tc.words(data, offs)
-                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                w = np.where(known[at] == h, order[at] + 1, UNKNOWN) if len(known) else np.zeros(len(h), np.int64)
-                left = np.full(len(w), START, np.int64)
-                left[1:] = np.where(doc[1:] == doc[:-1], w[:-1], START)
-                keys.append((left << 16 | w).astype(np.uint32))
+                if known is not None:
+                    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                    h = np.where(known[at] == h, h, UNKNOWN) if len(known) else np.full(len(h), UNKNOWN)
+                words.append(h)
                 docs.append(doc + len(ids))
                 ids += column[lo : lo + len(offs) - 1]
-                size += len(w)
+                size += len(h)
                 if size > MESSAGE_WORDS:
-                    yield from message(ids, keys, docs)
-                    ids, keys, docs, size = [], [], [], 0
+                    yield from message(ids, words, docs)
+                    ids, words, docs, size = [], [], [], 0
         if size:
-            yield from message(ids, keys, docs)
+            yield from message(ids, words, docs)
 
     return run
 
 
-def _score(unigrams: np.ndarray, total: int, backoff: float, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
-        for batch in batches:
-            parts += list(zip(*(batch.column(i).to_pylist() for i in range(1, 7))))
-        if not parts:
-            return
-        keys = np.concatenate([np.frombuffer(p[0], np.uint32) for p in parts])
-        tf = np.concatenate([np.frombuffer(p[2], np.uint32) for p in parts])
-        gram, where = np.unique(keys, return_inverse=True)
-        count = np.bincount(where, weights=tf)
-        c_left, c_right = unigrams[gram >> 16], unigrams[gram & 0xFFFF]
-        seen = count >= least
-        value = np.where(seen, np.log(np.maximum(count, 1) / np.maximum(c_left, 1)), np.log(backoff * np.maximum(c_right, 1) / max(total, 1)))
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of messages -> counts of the corpus, in the same order; rows of texts pass. A range of hashes is whole here."""
+    parts: list[tuple] = []
+    for batch in batches:
+        texts = np.array(batch.column(1)) == TEXT
+        yield batch.filter(pa.array(texts))
+        parts += list(zip(*(batch.filter(pa.array(~texts)).column(i).to_pylist() for i in range(5))))
+    for kind in (WORD, PAIR):
+        mine = [p for p in parts if p[1] == kind]
+        if not mine:
+            continue
+        keys = [_unpack(p[3], np.uint64) for p in mine]
+        gram, where = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.zeros(len(gram), np.uint64)
+        np.add.at(count, where, np.concatenate([_unpack(p[4], np.uint64) for p in mine]))
         at = 0
-        for p in parts:
-            ids = np.frombuffer(p[3], np.int64)
-            n = len(p[0]) // 4
-            local = np.frombuffer(p[1], np.uint16 if len(ids) < 65_536 else np.uint32)
-            mine, t = where[at : at + n], tf[at : at + n]
-            at += n
-            sums = [np.bincount(local, weights=x, minlength=len(ids)) for x in (value[mine] * t, t, t * ~seen[mine])]
-            yield pa.RecordBatch.from_arrays([pa.array([p[5]], pa.int64()), *(pa.array([x], pa.binary()) for x in (p[3], p[4], np.stack(sums).tobytes()))], ["message", "ids", "nulls", "sums"])
-
-    return run
+        for p, k in zip(mine, keys):
+            yield _rows([{"message": p[0], "kind": kind, "bucket": p[2], "counts": _pack(count[where[at : at + len(k)]])}])
+            at += len(k)
 
 
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score(total: int, full: int, backoff: float, least: int):
     """Sorted rows of messages -> one row per document of each message."""
-    held: list[tuple] = []
-    now = None
-
-    def done() -> pa.RecordBatch:
-        ids, null = np.concatenate([np.frombuffer(p[0], np.int64) for p in held]), np.concatenate([np.frombuffer(p[1], bool) for p in held])
-        sums = np.concatenate([np.frombuffer(p[2], np.float64).reshape(3, -1) for p in held], axis=1)
-        order = np.lexsort((ids, null))
-        ids, null, sums = ids[order], null[order], sums[:, order]
-        heads = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])]))
-        total = np.add.reduceat(sums, heads, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(ids[heads], mask=null[heads]), pa.array(total[0]), pa.array(total[1].astype(np.int64)), pa.array(total[2].astype(np.int64))], ["doc_id", "log_score", "n_words", "backoffs"])
 
-    for batch in batches:
-        for m, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-            if m != now and held:
-                yield done()
-                held = []
-            now = m
-            held.append(tuple(rest))
-    if held:
-        yield done()
+    def done(texts: list[dict], counts: dict) -> pa.RecordBatch:
+        t = texts[0]  # further ones are equal messages: the same rows of the table once more
+        word, gram = (np.concatenate([c for (k, _), c in counts.items() if k == kind]).astype(np.float64) for kind in (WORD, PAIR))
+        value = np.log(gram) - np.log(np.concatenate([[full], word]))[_unpack(t["left"], np.uint32)]
+        seen = gram >= least
+        if least > 1:
+            value = np.where(seen, value, np.log(backoff * word[_unpack(t["right"], np.uint32)] / total))
+        pairs, docs, tf = (_unpack(t[k], np.uint32) for k in ("pairs", "docs", "tf"))
+        ids, null, n = np.frombuffer(t["ids"], np.int64), np.frombuffer(t["nulls"], bool), _unpack(t["n_words"], np.uint32)
+        sums = [np.bincount(docs, weights=np.repeat(x, pairs) * tf, minlength=len(ids)) * len(texts) for x in (value, ~seen)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(sums[0]), pa.array(n.astype(np.int64) * len(texts)), pa.array(sums[1].astype(np.int64))], ["doc_id", "log_score", "n_words", "backoffs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts, counts = None, [], {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
+                if r["message"] != now and texts:
+                    yield done(texts, counts)
+                    texts, counts = [], {}
+                now = r["message"]
+                if r["kind"] == TEXT:
+                    texts.append(r)
+                else:
+                    counts[r["kind"], r["bucket"]] = _unpack(r["counts"], np.uint64)
+        if texts:
+            yield done(texts, counts)
+
+    return run
 
 
 def most_frequent(counts: DataFrame, n: int):
@@ -165,34 +216,32 @@ def most_frequent(counts: DataFrame, n: int):
     return top.sort_values(["class", "h"], ascending=[False, True]).head(n).reset_index(drop=True)
 
 
-def stupid_backoff(docs: DataFrame, *, vocabulary: int = VOCABULARY, backoff: float = BACKOFF, least: int = LEAST_COUNT) -> DataFrame:
+def stupid_backoff(docs: DataFrame, *, vocabulary: int | None = None, backoff: float = BACKOFF, least: int = LEAST_COUNT) -> DataFrame:
     """doc_id, n_words, log_score, backoffs, mean_score: one row per doc_id, scored against all documents' counts.
 
-    Words are split at ASCII white space, A-Z lower-cased. Words beyond the `vocabulary` most frequent ones (ties by
-    hash; a parameter of the model, as its order of 2 is) are one unknown word with its own counts. A bigram seen
-    `least` times or more scores count(u v) / count(u), any other `backoff` * count(v) / words; the first word
-    follows a start symbol. log_score is the sum of natural logarithms, mean_score that over n_words.
+    Words are split at ASCII white space, A-Z lower-cased; all of them have counts of their own. With a `vocabulary`,
+    words beyond that many most frequent ones (ties by hash) are one unknown word. A bigram seen `least` times or more
+    scores count(u v) / count(u), any other `backoff` * count(v) / words; the first word follows a start symbol.
+    log_score is the sum of natural logarithms, mean_score that over n_words.
 
     Null, empty and blank texts have n_words 0, log_score 0 and a null mean. Rows that share a doc_id add up. An
     empty table gives an empty result; further columns are ignored.
 
-    Counts are sums of partial counts; bigrams go to their hash's bucket once per document and map task, with their
-    term frequency, so the commonest bigram weighs no more than a row per document.
+    Words and bigrams are 64-bit hashes. A message of whole texts sends each distinct one once, with its count, to its
+    hash range, which answers with the corpus's count; so the commonest bigram weighs no more than a number per
+    message, and no count table reaches the driver.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = cut_lineage(base.select("text").mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = most_frequent(counts, vocabulary)
-    full = base.agg(F.count_if(F.col("text").rlike(r"[^\x20\x09-\x0D]"))).first()[0]
-    unigrams = np.zeros(1 << 16)
-    unigrams[1 : len(top) + 1] = top.n
-    unigrams[UNKNOWN] = total - int(top.n.sum())
-    unigrams[START] = full
+    total, full = base.select("text").mapInArrow(_tally, "n bigint, texts bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
+    known = None
+    if vocabulary is not None:
+        counts = cut_lineage(base.select("text").mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
+        known = np.sort(most_frequent(counts, vocabulary).h.to_numpy(np.int64).view(np.uint64))
     buckets = max(partitions(spark), total // BUCKET_WORDS)
-    packed = base.mapInArrow(_explode(top.h.to_numpy(np.int64).view(np.uint64), buckets), "bucket int, keys binary, docs binary, tf binary, ids binary, nulls binary, message bigint")
-    partial = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_score(unigrams, total, backoff, least), "message bigint, ids binary, nulls binary, sums binary")
-    scored = partial.repartition(partitions(spark), "message").sortWithinPartitions("message").mapInArrow(_sum, "doc_id bigint, log_score double, n_words bigint, backoffs bigint")
+    packed = base.mapInArrow(_explode(known, buckets, least), ROW)
+    counted = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_total, ROW)
+    scored = counted.repartition(partitions(spark), "message").sortWithinPartitions("message", "kind", "bucket").mapInArrow(_score(total, full, backoff, least), "doc_id bigint, log_score double, n_words bigint, backoffs bigint")
     none = base.select("doc_id", F.lit(0.0).alias("log_score"), F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("backoffs"))
     out = scored.unionByName(none).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("log_score").alias("log_score"), F.sum("backoffs").alias("backoffs"))
     return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -192,6 +192,29 @@ def test_stupid_backoff(docs, empty):
     assert lm_score.stupid_backoff(empty).count() == 0
 
 
+@pytest.mark.parametrize("message", [lm_score.MESSAGE_WORDS, 500])
+@pytest.mark.parametrize("least", [1, 2])
+def test_stupid_backoff_counts_every_word(spark, docs, least, message, monkeypatch):
+    monkeypatch.setattr(lm_score, "MESSAGE_WORDS", message)
+    many = [f"w{k} x{k}" for k in range(40_000)]  # 80,000 words, more than 16-bit ids
+    rows = [*((i, t) for i, t, _ in DOCS), *((1000 + k, " ".join(many[k * 100 : k * 100 + 101])) for k in range(400)), (None, "a b"), (None, "a b")]
+    uni, bi, want = collections.Counter(), collections.Counter(), collections.Counter()
+    for _, t in rows:
+        w = words(t)
+        uni.update(["<s>", *w] if w else [])
+        bi.update(zip(["<s>", *w], w))
+    total = sum(uni.values()) - uni["<s>"]
+    for i, t in rows:
+        w = words(t)
+        want[i] += sum(math.log(bi[p] / uni[p[0]]) if bi[p] >= least else math.log(0.4 * uni[p[1]] / total) for p in zip(["<s>", *w], w))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lm_score.stupid_backoff(d, least=least).collect()}
+    assert set(got) == set(want) and got[None].n_words == 4
+    for i in got:
+        assert got[i].log_score == pytest.approx(want[i], rel=1e-9, abs=1e-6), i
+        assert least > 1 or got[i].backoffs == 0
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a/ü", "x"), (1, None, "x"), (9, "u", ""), (2, "u", None), (7, "u", "é" * 5000), (7, "u", "é" * 5000), (None, "n", "lone"), (3, "a\r\nb", "x")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("shard", F.lit(1))
