@@ -91,7 +91,7 @@ def op10_sentencepiece_encoding_and_decoding(spark, sf_dir):
 def op1_lm_scoring(spark, sf_dir):
     from pathledger.llm.lm_score import stupid_backoff
 
-    return stupid_backoff(table(spark, sf_dir, "documents"))
+    return stupid_backoff(table(spark, sf_dir, "documents"), least=1)
 
 
 @query("op2_suffix_array_dedup")

@@ -215,6 +215,12 @@ def test_stupid_backoff_counts_every_word(spark, docs, least, message, monkeypat
         assert least > 1 or got[i].backoffs == 0
 
 
+def test_lm_query_takes_bigrams_that_occur_once_as_seen(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.queries()["op1_lm_scoring"](spark, "/root/testdata/sf0.001").filter("backoffs > 0").count() == 0
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a/ü", "x"), (1, None, "x"), (9, "u", ""), (2, "u", None), (7, "u", "é" * 5000), (7, "u", "é" * 5000), (None, "n", "lone"), (3, "a\r\nb", "x")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("shard", F.lit(1))
