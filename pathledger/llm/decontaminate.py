@@ -32,8 +32,9 @@ def spaced(h: np.ndarray, doc: np.ndarray, mask: str, salt: int) -> tuple[np.nda
     return tc.mix(out[at]), at
 
 
-def best_segment(same: np.ndarray, similarity: float) -> tuple[int, int, int]:
-    """(start, end, matches) of the longest-matching run of a diagonal whose share of matches is `similarity` at least.
+def best_segment(same: np.ndarray, similarity: float, least: int) -> tuple[int, int, int] | None:
+    """(start, end, matches) of the run of a diagonal with most matches, of these the longest and then the first, among
+    the runs of `least` words or more whose share of matches is `similarity` at least; None without any.
 
     Score +1 a match and -s/(1-s) a mismatch: a run has a score of zero or more iff its share is s or more.
     """
@@ -45,8 +46,10 @@ def best_segment(same: np.ndarray, similarity: float) -> tuple[int, int, int]:
     lo = np.minimum.accumulate(prefix)  # earliest start whose prefix is at most prefix[end]
     starts = np.searchsorted(-lo, -prefix, "left")
     got = hits - hits[starts]
-    end = int(np.argmax(got))
-    return int(starts[end]), end, int(got[end])
+    long = np.arange(len(prefix)) - starts
+    order = np.where(long >= least, got * len(prefix) + long, -1)
+    end = int(np.argmax(order))
+    return (int(starts[end]), end, int(got[end])) if order[end] >= 0 else None
 
 
 class Index:
@@ -117,7 +120,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ..
         one = _scan(docs, Index(items, masks), least, similarity)
         out = one if out is None else out.unionByName(one)
     cols = [c for c in out.columns if c not in ("doc_id", "item_id")]
-    return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*cols), F.struct("matched", -F.col("first_word"))).alias("s")).select("doc_id", "item_id", "s.*")
+    return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*cols), F.struct("matched", "span_words", -F.col("first_word"))).alias("s")).select("doc_id", "item_id", "s.*")
 
 
 def _scan(docs: DataFrame, index: Index, least: int, similarity: float) -> DataFrame:
@@ -137,8 +140,8 @@ def _scan(docs: DataFrame, index: Index, least: int, similarity: float) -> DataF
                     w = ix.words[item]
                     lo, hi = max(at, int(begin[d])), min(at + len(w), int(begin[d + 1]))
                     same = h[lo:hi] == w[lo - at : hi - at]
-                    a, b, n = best_segment(same, similarity)
-                    if b - a >= min(least, len(w)):
+                    if run_of := best_segment(same, similarity, min(least, len(w))):
+                        a, b, n = run_of
                         found.append((ids[first + d].as_py(), ix.ids[item], True, len(w), n, b - a, lo + a - int(begin[d]), n / (b - a)))
             cols = list(zip(*found)) or [[]] * 8
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]

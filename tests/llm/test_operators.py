@@ -160,6 +160,26 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == 0
 
 
+def test_best_segment_against_all_runs():
+    r = np.random.default_rng(4)
+    for _ in range(400):
+        same = r.random(r.integers(1, 30)) < 0.8
+        least = int(r.integers(1, 16))
+        runs = [(int(same[a:b].sum()), b - a, -a) for b in range(len(same) + 1) for a in range(b - least + 1) if 100 * same[a:b].sum() >= 80 * (b - a)]
+        want = max(runs, default=None)
+        assert decontaminate.best_segment(same, 0.8, least) == (want and (-want[2], want[1] - want[2], want[0]))
+
+
+def test_decontamination_counts_replaced_last_words(spark):
+    item = [f"i{k}" for k in range(15)]
+    cases = [(1, 15, 3), (2, 14, 2), (3, 13, 1), (4, 8, 1)]
+    bench = spark.createDataFrame([(i, " ".join(item[:n])) for i, n, _ in cases], "item_id bigint, text string")
+    for i, n, cut in cases:
+        d = spark.createDataFrame([(7, " ".join([*item[: n - cut], *["x"] * cut, "and", "more"]))], "doc_id bigint, text string")
+        got = {r.item_id: (r.matched, r.span_words) for r in decontaminate.decontaminate(d, bench).collect()}
+        assert got[i] == (n - cut, n)
+
+
 def test_stupid_backoff(docs, empty):
     got = {r.doc_id: r for r in lm_score.stupid_backoff(docs, vocabulary=200).collect()}
     uni, rows = collections.Counter(), [(i, words(t)) for i, t, _ in DOCS]
