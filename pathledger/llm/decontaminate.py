@@ -11,8 +11,20 @@ from pyspark.sql import functions as F
 
 from pathledger.llm import textcore as tc
 
-#: Masks over token positions: 1 takes part in the hash, 0 may hold any token.
-MASKS = ("111111", "1101100101", "1011001011", "110100110011")
+#: Masks over token positions: 1 takes part in the hash, 0 may hold any token. Each run of 13 to 25 words with a fifth
+#: substituted, wherever, has a place for one of them, and a longer run has a part of 13 to 25 words with a fifth at most.
+MASKS = ("111111", "1101100101", "1011001011", "110100110011", "110110101")
+#: The same for items of so many words, of which all but a fifth must stand there.
+SHORT_MASKS = {
+    5: ("1111", "11101", "11011", "10111"),
+    6: ("1111", "11011"),
+    7: ("11111", "111011", "110111"),
+    8: ("111111", "1111011", "1101111"),
+    9: ("1111011", "1101111"),
+    10: ("111011", "11010011", "11111"),
+    11: ("1101011", "1110011"),
+    12: ("11101011", "101100111", "111111"),
+}
 LEAST_WORDS = 13
 SIMILARITY = 0.8
 BLOCK_BYTES = 8 << 20
@@ -52,11 +64,31 @@ def best_segment(same: np.ndarray, similarity: float, least: int) -> tuple[int,
     return (int(starts[end]), end, int(got[end])) if order[end] >= 0 else None
 
 
+def allowed(n: int, similarity: float) -> int:
+    """Substitutions that a run of n words may have."""
+    return n - -(-round(similarity * 100) * n // 100)
+
+
+def masks_for(n: int, least: int, similarity: float, masks: tuple[str, ...] = MASKS) -> tuple[str, ...]:
+    """Masks of which one at least fits into every run that counts on an item of n words.
+
+    A run of twice the least length has a half that counts, so only shorter ones matter. Where no masks are given for
+    the length and similarity, it is the stretch that some run must have between its substitutions.
+    """
+    short = min(least, n)
+    if similarity >= SIMILARITY and short >= LEAST_WORDS:
+        return masks
+    if similarity >= SIMILARITY and short == n and n in SHORT_MASKS:
+        return SHORT_MASKS[n]
+    runs = range(max(short, 1), min(n, 2 * short - 1) + 1)
+    return ("1" * min((-(-(m - allowed(m, similarity)) // (allowed(m, similarity) + 1)) for m in runs), default=1),)
+
+
 class Index:
     """Seeds and word hashes of a bounded block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str | None]], masks: tuple[str, ...] = MASKS):
-        self.masks, self.ids, seeds = masks, [], []
+    def __init__(self, items: list[tuple[int, str | None]], masks: tuple[str, ...] = MASKS, least: int = LEAST_WORDS, similarity: float = SIMILARITY):
+        self.ids, seeds, used = [], [], set()
         self.words: list[np.ndarray] = []
         for item, text in items:
             data = np.frombuffer((text or "").encode(), np.uint8)
@@ -64,13 +96,11 @@ class Index:
             k = len(self.ids)
             self.ids.append(item)
             self.words.append(h)
-            if 0 < len(h) < max(map(len, masks)):  # short items: one seed of their first words
-                m = "1" * min(len(h), len(masks[0]))
-                seeds += [(s, k, p, 90 + len(m)) for s, p in zip(*map(list, spaced(h, doc, m, 90 + len(m))))]
-            for j, mask in enumerate(masks):
-                seeds += [(s, k, p, j) for s, p in zip(*map(list, spaced(h, doc, mask, j)))]
+            for mask in masks_for(len(h), least, similarity, masks) if len(h) else ():
+                used.add(mask)
+                seeds += [(s, k, p) for s, p in zip(*map(list, spaced(h, doc, mask, int("1" + mask, 2))))]
+        self.masks = sorted(used)
         seeds.sort()
-        self.short = sorted({x[3] - 90 for x in seeds if x[3] >= 90})
         self.seed = np.array([x[0] for x in seeds], np.uint64)
         self.item = np.array([x[1] for x in seeds], np.int64)
         self.pos = np.array([x[2] for x in seeds], np.int64)
@@ -78,11 +108,10 @@ class Index:
     def hits(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (item, diagonal start in words) of all seed hits."""
         items, starts = [], []
-        plans = [(m, j) for j, m in enumerate(self.masks)] + [("1" * n, 90 + n) for n in self.short]
         small = np.zeros(1 << 16, bool)
         small[(self.seed >> tc.U(48)).astype(np.int64)] = True
-        for mask, salt in plans:
-            s, at = spaced(h, doc, mask, salt)
+        for mask in self.masks:
+            s, at = spaced(h, doc, mask, int("1" + mask, 2))
             maybe = small[(s >> tc.U(48)).astype(np.int64)]
             s, at = s[maybe], at[maybe]
             lo, hi = np.searchsorted(self.seed, s, "left"), np.searchsorted(self.seed, s, "right")
@@ -104,7 +133,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ..
     item's words) words of which a share of `similarity` or more are equal and in place.
 
     Words are runs of letters, digits and bytes above ASCII, A-Z lower-cased. Spaced seeds ignore the positions
-    that a mask leaves out, so substituted words don't hide a passage. Null and empty texts match nothing; repeated
+    that a mask leaves out, and every run that counts has a place for one of the masks, so substituted words don't hide a
+    passage; other `masks` may lose some. Null and empty texts match nothing; repeated
     rows of a document or item give one row (the best run); other columns are ignored; an empty table gives none.
 
     The benchmark is a stated query set: it is held in blocks of at most `block_bytes` of text, each broadcast with
@@ -117,7 +147,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ..
     for b in range(count):
         part = sized if count == 1 else sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b)
         items = sorted({(r.item_id, r.text) for r in part.toLocalIterator() if r.text and r.item_id is not None})
-        one = _scan(docs, Index(items, masks), least, similarity)
+        one = _scan(docs, Index(items, masks, least, similarity), least, similarity)
         out = one if out is None else out.unionByName(one)
     cols = [c for c in out.columns if c not in ("doc_id", "item_id")]
     return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*cols), F.struct("matched", "span_words", -F.col("first_word"))).alias("s")).select("doc_id", "item_id", "s.*")

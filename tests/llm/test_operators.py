@@ -180,6 +180,34 @@ def test_decontamination_counts_replaced_last_words(spark):
         assert got[i] == (n - cut, n)
 
 
+def test_masks_hit_every_pattern_of_allowed_substitutions():
+    import itertools
+
+    def all_hit(masks, n, k):
+        bits = [[sum(1 << (a + i) for i, c in enumerate(m) if c == "1") for a in range(n - len(m) + 1)] for m in masks]
+        left = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), k)], np.int64)
+        for b in itertools.chain(*bits):
+            left = left[left & b != 0]
+        return not len(left)
+
+    for item in range(1, 31):
+        for least, similarity in ((13, 0.8), (8, 0.8), (13, 0.9), (6, 0.7)):
+            short = min(item, least)
+            for n in range(short, min(item, 2 * short - 1) + 1):
+                k = decontaminate.allowed(n, similarity)
+                assert k == max(x for x in range(n) if 100 * (n - x) >= round(100 * similarity) * n)
+                assert all_hit(decontaminate.masks_for(item, least, similarity), n, k), (item, least, similarity, n)
+
+
+def test_decontamination_finds_substitutions_anywhere(spark):
+    cases = [(1, 13, (3, 8)), (2, 15, (2, 7, 9)), (3, 8, (3,)), (4, 5, (2,)), (5, 3, ())]
+    item = {i: [f"i{i}w{k}" for k in range(n)] for i, n, _ in cases}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in item.items()], "item_id bigint, text string")
+    rows = [(i, " ".join(["so", *("x" if k in cut else w for k, w in enumerate(item[i])), "on"])) for i, _, cut in cases]
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert got == {(i, i): n - len(cut) for i, n, cut in cases}
+
+
 def test_stupid_backoff(docs, empty):
     got = {r.doc_id: r for r in lm_score.stupid_backoff(docs, vocabulary=200).collect()}
     uni, rows = collections.Counter(), [(i, words(t)) for i, t, _ in DOCS]
