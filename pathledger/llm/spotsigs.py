@@ -33,8 +33,10 @@ def signatures(data: np.ndarray, offs: np.ndarray, chain: int = CHAIN) -> tuple[
     """(distinct signatures sorted within each document, bounds).
 
     A signature is an anchor with the `chain` content words after it (fewer at the end of a text). The start of a
-    text counts as an anchor, so any content word gives a signature; a text of common words alone has one of all
-    its words, and a text without words one of its bytes (the empty text too).
+    text counts as an anchor. A content word in no such chain, as more than `chain` follow an anchor, starts a chain
+    itself, so every content word is in a signature, whatever the language; where common words are rare these are
+    the text's shingles. A text of common words alone has a signature of all its words, and a text without words one
+    of its bytes (the empty text too).
     """
     docs = len(offs) - 1
     h, doc, _, _ = tc.words(data, offs, tc.ALNUM)
@@ -45,15 +47,23 @@ def signatures(data: np.ndarray, offs: np.ndarray, chain: int = CHAIN) -> tuple[
     spots = np.concatenate([np.flatnonzero(anchor), begin - 1])
     spot_doc = np.concatenate([doc[anchor], np.arange(docs)])
     spot_hash = np.concatenate([h[anchor], np.full(docs, tc.GRAM[50])])
-    k = np.searchsorted(content, spots, "right")
-    sig = spot_hash * tc.GRAM[0]
-    got = np.zeros(len(spots), bool)
     pad_h, pad_d = np.append(ch, np.zeros(chain + 1, np.uint64)), np.append(cd, np.full(chain + 1, -1))
-    for i in range(chain):
-        ok = pad_d[np.minimum(k + i, len(pad_d) - 1)] == spot_doc
-        sig = sig + np.where(ok, pad_h[np.minimum(k + i, len(pad_h) - 1)] * tc.GRAM[i + 1], tc.U(0))
-        got |= ok
-    sig, sd = tc.mix(sig[got]), spot_doc[got]
+    alone = np.ones(len(content), bool)
+
+    def chained(k: np.ndarray, spot_doc: np.ndarray, spot_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sig, got = spot_hash * tc.GRAM[0], np.zeros(len(k), bool)
+        for i in range(chain):
+            at = np.minimum(k + i, len(pad_d) - 1)
+            ok = pad_d[at] == spot_doc
+            sig = sig + np.where(ok, pad_h[at] * tc.GRAM[i + 1], tc.U(0))
+            alone[at[ok]] = False
+            got |= ok
+        return tc.mix(sig[got]), spot_doc[got]
+
+    sig, sd = chained(np.searchsorted(content, spots, "right"), spot_doc, spot_hash)
+    rest = np.flatnonzero(alone)
+    more, md = chained(rest, cd[rest], np.full(len(rest), tc.GRAM[51]))
+    sig, sd = np.concatenate([sig, more]), np.concatenate([sd, md])
     bare = np.setdiff1d(np.arange(docs), sd)
     if len(bare):
         extra = [int.from_bytes(hashlib.sha256(bytes(tc.LOWER[data[offs[b] : offs[b + 1]]])).digest()[:8], "little") for b in bare]

@@ -305,6 +305,17 @@ def test_fingerprints(unique, empty):
     assert near[12] == near[13] == 3 and near[4] == 4
 
 
+def test_signatures_cover_texts_without_anchors(spark):
+    plain = [f"слово{k}" for k in range(60)]
+    for text in (plain, [*"the cat sat on the mat".split(), *plain, "of", "it"]):
+        for k in range(6, 60):
+            a, b = spotsigs._lists([" ".join(text), " ".join([*text[:k], "другое", *text[k + 1 :]])])
+            assert 0.8 < spotsigs.pruned_jaccard(a, b) < 1, k
+    rows = [(1, " ".join(plain)), (2, " ".join([*plain[:3], *(f"z{k}" for k in range(60))]))]
+    got = {r.doc_id: r for r in spotsigs.fingerprint_with_edit(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1].fingerprint != got[2].fingerprint and got[1].near_next < 0.1 and 0.4 < got[1].near_edited < 0.6
+
+
 def test_quality(spark, empty):
     good = [(i, SAY(30) + ".\n" + SAY(20) + ".", 1) for i in range(160)]
     bad = [(200 + i, "\n".join(f"{w}$$$ {w} | {w} ###" for w in SAY(12).split()), 0) for i in range(160)]
