@@ -3,6 +3,8 @@
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from pathledger.runtime import table
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +35,20 @@ def test_stages(spark):
             assert before.count() - docs.count() <= 5 and seen == set()
     assert kept[4] > 0.5 * kept[0] and {r.doc_id for r in docs.select("doc_id").collect()} <= set(range(10**6))
     assert docs.filter("not round_trip").count() == 0
+
+
+def test_documents_without_id_are_judged_and_kept(spark):
+    docs = table(spark, SF, "documents").filter("length(text) > 0").cache()
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("bigint"))
+    good = sorted(r.text for r in corpus_pipeline.quality(spark, docs, SF).collect())
+    got = corpus_pipeline.quality(spark, docs.unionByName(nameless), SF)
+    assert got.columns == docs.columns and sorted(r.text for r in got.filter("doc_id is null").collect()) == good
+    clean = sorted(r.text for r in corpus_pipeline.contamination(spark, docs, SF).collect())
+    assert sorted(r.text for r in corpus_pipeline.contamination(spark, nameless, SF).collect()) == clean
+    words = [" ".join(f"{c}{k}" for k in range(40)) for c in "abc"]
+    rows = [(7, words[0]), (None, words[0]), (None, words[1]), (None, words[1]), (None, words[2] + " end"), (None, None)]
+    some = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    key = lambda r: (r.doc_id or 0, r.text or "")
+    want = sorted([(7, words[0]), (0, words[1]), (0, words[2] + " end"), (0, "")])
+    assert sorted(map(key, corpus_pipeline.near_duplicates(spark, some, SF).collect())) == want
+    assert sorted(map(key, corpus_pipeline.repeats(spark, some.filter("text is not null"), SF).collect())) == want[1:]
