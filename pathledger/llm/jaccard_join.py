@@ -1,9 +1,12 @@
 """Exact Jaccard join of shingle sets as a metric-space join.
 
-Unrelated texts all lie at distance 1 from one another, where Voronoi cells of sampled pivots can't separate them.
-So a lossless partition comes first: a set of a size class is dealt into more parts by hash than two linked sets can
-differ in, and linked sets agree in a whole part. What agrees somewhere forms a region. Within a region pivots create
-Voronoi cells, triangle-inequality windows copy boundary documents into further cells, and cells join recursively.
+A set of n shingles links with another only if at least `percent` of its own shingles occur in other sets. One pass of
+short keys counts those, with errors only upwards, and leaves the few sets that can have a link (the candidates).
+Pivots are chosen among them, one for every part of a set that two candidates share: the least holder. Each candidate
+lies in the cells of the pivots that it shares a part with, and linked sets always share one. In a cell exact distances
+to the pivot settle what lies within reach of it; triangle-inequality windows leave of the others what may still
+link, and that is joined recursively around further pivots. Cells beyond a stated size recurse as DataFrames, over
+Voronoi regions of several pivots, in chunks that any number of tasks share.
 """
 
 from __future__ import annotations
@@ -22,14 +25,12 @@ from pathledger.llm.common import components, cut_lineage, partitions, release
 SALTS = 8
 LEAF = 48
 PIVOTS = 16
-REGION_SHINGLES = 16_000_000
-SPLIT_PIVOTS = 8
-SPLIT_LEVELS = 6
-#: Buckets grow with the text, so a key's low bytes tell the keys of a bucket apart alike at every size; two that
-#: agree by chance only make a region larger.
+#: Elements of a cell that one task may hold, and of a larger cell's chunk. A cell may always hold LEAF sets.
+CELL_SHINGLES = 2_000_000
 BUCKET_BYTES = 24 << 20
-KEY_BYTES = 6
 MESSAGE_KEYS = 1_000_000
+#: Candidates (8 bytes each) that may be broadcast to fetch their texts; beyond, both sides are shuffled.
+BROADCAST_IDS = 500_000
 
 
 def classes(most: int = 1 << 40, ratio: float = 1.5) -> list[int]:
@@ -88,10 +89,9 @@ def part_keys(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.nd
     n = np.diff(bounds)
     own = np.searchsorted(BOUNDS, n, "right") - 1
     out_doc, out_key = [], []
-    # a set within reach of the next class is dealt there too
-    up = np.flatnonzero((n > 0) & (n * 100 >= percent * BOUNDS[own + 1]))
-    for which, cls in ((np.flatnonzero(n > 0), own), (up, own + 1)):
-        todo = which
+    up, todo = 0, np.flatnonzero(n > 0)
+    while len(todo):  # a set is dealt into its own class and into each further one that a linked set may have
+        cls = own + up
         for salt in range(SALTS):
             if not len(todo):
                 break
@@ -116,20 +116,22 @@ def part_keys(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.nd
             filled = np.diff(edge) > 0
             owner = np.repeat(np.arange(len(todo)), m)
             j = (np.arange(base[-1]) - base[owner]).astype(np.uint64)
-            key = tc.mix(total + j * tc.GRAM[40] + cls[todo][owner].astype(np.uint64) * tc.GRAM[41] + tc.U(salt) * tc.GRAM[42])
+            key = tc.mix(total + j * tc.GRAM[40] + cls[todo][owner].astype(np.uint64) * tc.GRAM[41] + np.uint64(salt * 0x9E3779B97F4A7C1 & (2**64 - 1)))
             last = salt == SALTS - 1
             use = np.ones(len(key), bool) if last else filled
             out_doc.append(todo[owner[use]])
             out_key.append(key[use])
             empty = m - np.bincount(owner[filled], minlength=len(todo))
             todo = todo[empty > spare]
+        up += 1
+        todo = np.flatnonzero((n > 0) & (n * 100 >= percent * BOUNDS[own + up]))
     if not out_doc:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(out_doc), np.concatenate(out_key)
 
 
 class Sets:
-    """Regions of sorted sets with union-find; joins them by pivots, windows and recursion."""
+    """Sorted sets of a cell with union-find; joins them by pivots, windows and recursion."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], percent: int):
         self.ids, self.sets, self.percent = ids, sets, percent
@@ -165,7 +167,7 @@ class Sets:
         return total[ends] - total[ends - self.size[members]]
 
     def leaf(self, members: np.ndarray) -> None:
-        """Exact join of a small or shapeless cell: links share one of their rarest elements (prefix filter).
+        """Exact join of a large cell that windows can't divide: links share one of their rarest elements (prefix filter).
 
         Only holders outside an element's most frequent component are compared, each with all others at once: what
         is linked already costs no comparison, however many copies share the element.
@@ -208,14 +210,39 @@ class Sets:
                     self.union(int(members[x]), int(members[y]))
                     root[(root == root[x]) | (root == root[y])] = min(root[x], root[y])
 
-    def join(self, members: np.ndarray) -> None:
-        stack = [members]
+    def around(self, members: np.ndarray, pivot: int) -> np.ndarray:
+        """Link what lies within reach of the pivot; return the members that may still have another link.
+
+        y links with x only if their distances to the pivot differ by theta at most (triangle inequality), and only
+        members of unlike components are worth a comparison.
+        """
+        both = self.shared(members, pivot)
+        whole = self.size[members] + self.size[pivot] - both
+        for i in members[both * 100 >= self.percent * whole]:
+            self.union(int(i), int(pivot))
+        far, dist = members != pivot, 1 - both / whole
+        members, dist = members[far], dist[far]
+        root = np.array([self.find(int(i)) for i in members], np.int64)
+        rest = root != self.find(int(pivot))
+        line = np.sort(dist[rest])
+        if not len(line):
+            return members[:0]
+        at = np.searchsorted(line, dist)
+        gap = np.minimum(np.abs(line[np.minimum(at, len(line) - 1)] - dist), np.abs(line[np.maximum(at - 1, 0)] - dist))
+        return members[rest | (gap <= self.theta)]
+
+    def join(self, members: np.ndarray, pivot: int | None = None) -> None:
+        stack = [members if pivot is None else self.around(members, pivot)]
         while stack:
             cell = stack.pop()
-            if len(cell) < 2 or len({self.find(int(i)) for i in cell}) == 1:
+            if len(cell) < 2:
+                continue
+            root, place = np.unique([self.find(int(i)) for i in cell], return_index=True)
+            if len(root) == 1:
                 continue
             if len(cell) <= LEAF:
-                self.leaf(cell)
+                counts = [sum(self.find(int(i)) == r for i in cell) for r in root]
+                stack.append(self.around(cell, int(cell[place[int(np.argmin(counts))]])))
                 continue
             pivots = cell[np.linspace(0, len(cell) - 1, min(PIVOTS, int(len(cell) ** 0.5))).astype(int)]
             both = np.stack([self.shared(cell, int(p)) for p in pivots], axis=1)
@@ -257,36 +284,54 @@ def voronoi(dist: np.ndarray, theta: float) -> list[np.ndarray]:
     return out
 
 
-SENT_NAMES = ["bucket", "keys", "ids", "counts", "doc_id", "n_shingles", "set_hash"]
-SENT = "bucket int, keys binary, ids binary, counts binary, doc_id bigint, n_shingles bigint, set_hash bigint"
+SENT_NAMES = ["bucket", "keys", "ids", "counts", "more", "doc_id", "n_shingles", "h1", "h2", "c"]
+SENT = "bucket int, keys binary, ids binary, counts binary, more binary, doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, c bigint"
+SENT_KINDS = [pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 5]
+MADE = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, c bigint"
+FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _sets(n: int, percent: int, buckets: int):
-    """Per document its size and set hash; per message and bucket the keys of its documents, each key once.
+def _sets(n: int, buckets: int):
+    """Per document its size and two set hashes; per message and bucket the short keys of its documents' shingles.
 
-    A key that several documents of a message have stays with the least of them, the others are touching it at once:
-    whatever a third of all rows share is sent once a message.
+    Equal sets of a message go once. A shingle that several sets of a message hold is counted for them at once and
+    sent a single time without owners, whatever share of all rows has it.
     """
 
-    def message(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        doc, key = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((doc, key))
+    def message(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, n_shingles, h1, h2 = (np.concatenate(x) for x in zip(*(h[:4] for h in held)))
+        base, docs, keys = 0, [], []
+        for h in held:
+            docs.append(np.repeat(np.arange(len(h[1])) + base, h[1]))
+            keys.append(h[4])
+            base += len(h[1])
+        doc, key = np.concatenate(docs), np.concatenate(keys)
+        first = np.zeros(len(ids), bool)
+        first[np.unique(np.stack([h1, h2, n_shingles.view(np.uint64)]), axis=1, return_index=True)[1]] = True
+        use = first[doc]
+        doc, key = doc[use], tc.mix(key[use])
+        order = np.argsort(key, kind="stable")
         doc, key = doc[order], key[order]
         again = np.zeros(len(key), bool)
         again[1:] = key[1:] == key[:-1]
-        touching = _pairs(doc, again)
-        doc, key = doc[~again], key[~again]
-        bucket = (tc.mix(key) % tc.U(buckets)).astype(np.int64)
-        order = np.lexsort((doc, bucket))
-        doc, key, bucket = doc[order], key[order], bucket[order]
-        at = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows: list[tuple] = [(None, None, touching.tobytes(), None)] if touching.size else []
+        several = again.copy()
+        several[:-1] |= again[1:]
+        local = np.bincount(doc[several], minlength=len(ids))
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.nulls(len(ids), k) for k in SENT_KINDS[:5]), pa.array(ids), pa.array(n_shingles), pa.array(tc.signed(h1)), pa.array(tc.signed(h2)), pa.array(local)], SENT_NAMES
+        )
+        bucket = ((key >> tc.U(32)) * tc.U(buckets) >> tc.U(32)).astype(np.int64)  # ascends with the keys
+        short, at = key.astype(np.uint32), np.searchsorted(bucket, np.arange(buckets + 1))
+        rows = []
         for i in np.flatnonzero(np.diff(at)):
             mine = slice(at[i], at[i + 1])
-            own, counts = np.unique(doc[mine], return_counts=True)
-            rows.append((int(i), key[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes(), own.tobytes(), counts.astype(np.uint32).tobytes()))
-        cols = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:]), *(pa.nulls(len(rows), pa.int64()) for _ in range(3))], SENT_NAMES)
+            own = ~several[mine]
+            d, k = doc[mine][own], short[mine][own]
+            by = np.argsort(d, kind="stable")
+            who, counts = np.unique(d, return_counts=True)
+            rows.append((int(i), k[by].tobytes(), ids[who].tobytes(), counts.astype(np.uint32).tobytes(), short[mine][several[mine] & ~again[mine]].tobytes()))
+        cols = list(zip(*rows)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, SENT_KINDS)), *(pa.nulls(len(rows), pa.int64()) for _ in range(5))], SENT_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -295,14 +340,16 @@ def _sets(n: int, percent: int, buckets: int):
             known, number = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
             for first, data, offs in tc.chunks(batch.column(1)):
                 sets, bounds = shingle_sets(data, offs, n)
-                rows = len(offs) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(rows, pa.int32()), *(pa.nulls(rows, pa.binary()) for _ in range(3)), ids.slice(first, rows), pa.array(np.diff(bounds)), pa.array(tc.signed(tc.order_free(sets, bounds)))], SENT_NAMES
-                )
-                doc, key = part_keys(sets, bounds, percent)
-                use = known[first + doc]
-                held.append((number[first + doc[use]], key[use]))
-                size += int(use.sum())
+                count = np.diff(bounds)
+                h1, h2 = tc.order_free(sets, bounds), tc.order_free(sets, bounds, 1)
+                use = known[first : first + len(count)]
+                rest = np.flatnonzero(~use)
+                if len(rest):  # rows without an id take part in nothing
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.nulls(len(rest), k) for k in SENT_KINDS[:6]), pa.array(count[rest]), pa.array(tc.signed(h1[rest])), pa.array(tc.signed(h2[rest])), pa.array(np.zeros(len(rest), np.int64))], SENT_NAMES
+                    )
+                held.append((number[first : first + len(count)][use], count[use], h1[use], h2[use], sets[np.repeat(use, count)]))
+                size += len(held[-1][4]) + len(count)
                 if size > MESSAGE_KEYS:
                     yield from message(held)
                     held, size = [], 0
@@ -312,187 +359,273 @@ def _sets(n: int, percent: int, buckets: int):
     return run
 
 
-def _pairs(doc: np.ndarray, again: np.ndarray) -> np.ndarray:
-    """Distinct (document, first document of its key) of keys in order, where `again` marks all but the first."""
-    head = np.maximum.accumulate(np.where(again, 0, np.arange(len(doc))))
-    both = np.stack([doc[again], doc[head[again]]])
-    return np.unique(both[:, both[0] != both[1]], axis=1)
-
-
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass documents on; documents (a) that share a key of this bucket touch its least one (b)."""
-    names = ["doc_id", "n_shingles", "set_hash", "a", "b"]
-
-    def touching(pairs: np.ndarray) -> pa.RecordBatch:
-        n = pairs.shape[1]
-        return pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(3)), pa.array(pairs[0]), pa.array(pairs[1])], names)
-
-    keys, docs = [], []
+    """Pass documents on; for the documents of this bucket count the keys that others have too."""
+    keys, more, ids, names = [], [], [], ["doc_id", "n_shingles", "h1", "h2", "c"]
     for batch in batches:
-        rows = batch.filter(batch.column(5).is_valid())
-        yield pa.RecordBatch.from_arrays([*rows.columns[4:7], *(pa.nulls(rows.num_rows, pa.int64()) for _ in range(2))], names)
-        for k, ids, counts in zip(*(batch.filter(batch.column(2).is_valid()).column(i).to_pylist() for i in (1, 2, 3))):
-            own = np.frombuffer(ids, np.int64)
-            if k is None:
-                yield touching(own.reshape(2, -1))
-                continue
-            docs.append(np.repeat(own, np.frombuffer(counts, np.uint32)))
-            wide = np.zeros((len(docs[-1]), 8), np.uint8)
-            wide[:, :KEY_BYTES] = np.frombuffer(k, np.uint8).reshape(-1, KEY_BYTES)
-            keys.append(wide.view("<u8").ravel())
-    if keys:
-        key, doc = np.concatenate(keys), np.concatenate(docs)
-        keys.clear()
-        docs.clear()
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        again = np.zeros(len(key), bool)
-        again[1:] = key[1:] == key[:-1]
-        yield touching(_pairs(doc, again))
+        rows = batch.filter(batch.column(6).is_valid())
+        yield pa.RecordBatch.from_arrays(rows.columns[5:], names)
+        for k, who, counts, free in zip(*(batch.filter(batch.column(0).is_valid()).column(i).to_pylist() for i in (1, 2, 3, 4))):
+            keys.append(np.frombuffer(k, np.uint32))
+            ids.append(np.repeat(np.frombuffer(who, np.int64), np.frombuffer(counts, np.uint32)))
+            more.append(np.frombuffer(free, np.uint32))
+    if not keys:
+        return
+    key, own = np.concatenate(keys), np.concatenate(ids)
+    keys.clear()
+    ids.clear()
+    every = np.sort(np.concatenate([key, *more]))
+    twice = every[1:][every[1:] == every[:-1]]
+    if len(twice):
+        at = np.minimum(np.searchsorted(twice, key), len(twice) - 1)
+        doc, c = np.unique(own[twice[at] == key], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(doc), *(pa.nulls(len(doc), pa.int64()) for _ in range(3)), pa.array(c)], names)
 
 
 def _elements(n: int):
+    """(doc_id, text) -> doc_id, a set hash, el: the sorted shingles. Texts without any give no row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offs in tc.chunks(batch.column(2)):
+            for first, data, offs in tc.chunks(batch.column(1)):
                 sets, bounds = shingle_sets(data, offs, n)
-                rows = len(offs) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tc.signed(sets)))], ["region", "doc_id", "el"]
-                )
+                out = [batch.column(0).slice(first, len(offs) - 1), pa.array(tc.signed(tc.order_free(sets, bounds))), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tc.signed(sets)))]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "h1", "el"]).filter(pa.array(np.diff(bounds) > 0))
 
     return run
 
 
-def _join_regions(percent: int):
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Elements and bounds of a list column's rows."""
+    offs = column.offsets.to_numpy()
+    return column.values.to_numpy().view(np.uint64)[offs[0] : offs[-1]], (offs - offs[0]).astype(np.int64)
+
+
+def _keys(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, ids, sets = None, [], []
+        for batch in batches:
+            doc, key = part_keys(*_flat(batch.column(1)), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(tc.signed(key)), batch.column(0).take(pa.array(doc))], ["key", "doc_id"])
 
-        def done() -> list[tuple[int, int]]:
-            if len(ids) < 2:
-                return []
+    return run
+
+
+def _join_cells(percent: int):
+    """Rows (cell, pivot, doc_id, label, el), a cell's together and its pivot first -> links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, first, ids, labels, sets = None, False, [], [], []
+
+        def done() -> pa.RecordBatch:
             s = Sets(ids, sets, percent)
-            s.join(np.arange(len(ids)))
-            return [(a, b) for a, b in s.edges() if a != b]
+            place: dict[int, int] = {}
+            for i, x in enumerate(labels):  # what has the same label is linked already
+                s.union(i, place.setdefault(x, i))
+            s.join(np.arange(len(ids)), 0 if first else None)
+            out = [(a, b) for a, b in s.edges() if a != b]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], FOUND)
 
-        out: list[tuple[int, int]] = []
         for batch in batches:
-            el = batch.column(2)
-            values, offs = el.values.to_numpy().view(np.uint64), el.offsets.to_numpy()
-            for k, (r, d) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if offs[k] == offs[k + 1]:
-                    continue
-                if r != region:
-                    out += done()
-                    region, ids, sets = r, [], []
+            values, offs = _flat(batch.column(4))
+            for k, (c, p, d, x) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)))):
+                if c != cell:
+                    if len(ids) > 1:
+                        yield done()
+                    cell, first, ids, labels, sets = c, p, [], [], []
                 ids.append(d)
+                labels.append(x)
                 sets.append(values[offs[k] : offs[k + 1]].copy())
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_pydict({"a": [x[0] for x in out], "b": [x[1] for x in out]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-                out = []
-        out += done()
-        yield pa.RecordBatch.from_pydict({"a": [x[0] for x in out], "b": [x[1] for x in out]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        if len(ids) > 1:
+            yield done()
 
     return run
 
 
-def _split(percent: int, level: int):
-    """Rows (region, doc_id, el, pivots) -> rows of the next level's cells; links to pivots come out as region null."""
+class Block:
+    """A few sets as posting lists: distances of any number of others to all of them."""
+
+    def __init__(self, ids: list[int], labels: list[int], sets: list[np.ndarray]):
+        self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.int64)
+        self.size = np.array([len(x) for x in sets])
+        flat, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(flat, kind="stable")
+        self.own = own[order]
+        self.value, start, self.times = np.unique(flat[order], return_index=True, return_counts=True)
+        self.start = start
+
+    def shared(self, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """(rows, sets) sizes of intersections."""
+        at = np.minimum(np.searchsorted(self.value, values), len(self.value) - 1)
+        hit = np.flatnonzero(self.value[at] == values)
+        row = np.searchsorted(bounds, hit, "right") - 1
+        times = self.times[at[hit]]
+        take = np.repeat(self.start[at[hit]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        n, m = len(bounds) - 1, len(self.ids)
+        return np.bincount(np.repeat(row, times) * m + self.own[take], minlength=n * m).reshape(n, m)
+
+
+def _deal(percent: int, level: int):
+    """Rows (cell, chunk, pivot, doc_id, label, el, last), a chunk's pivots first -> links and the next cells' rows.
+
+    Pivots that lie within 4 theta of each other form one region. A member belongs to the region of its nearest
+    pivot and to each with a pivot in its window (nearest + 2 theta); members near none form a region of their own.
+    Pivots themselves are settled: they have met every member. `last` cells end here: their block held all that was
+    left to compare. A member within reach of a pivot takes its label.
+    """
     theta = (100 - percent) / 100 + 1e-9
+    names = ["cell", "doc_id", "label", "other", "el"]
+
+    def regions(block: Block, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = block.shared(values, bounds)
+        dist = 1 - both / (block.size[:, None] + block.size[None, :] - both)
+        return group(dist <= 4 * theta), group((dist <= theta) | (block.labels[:, None] == block.labels[None, :]))
+
+    def group(linked: np.ndarray) -> np.ndarray:
+        out = np.arange(len(linked))
+        for _ in range(len(linked)):
+            least = np.where(linked, out[None, :], len(out)).min(axis=1)
+            if (least == out).all():
+                break
+            out = least
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, block, region, same = None, [], None, None, None
         for batch in batches:
-            out: list[tuple] = []
-            for r, d, el, pivots in zip(*(c.to_pylist() for c in batch.columns)):
-                mine = np.array(el, np.int64).view(np.uint64)
-                dist = []
-                for p in pivots:
-                    other = np.array(p["el"], np.int64).view(np.uint64)
-                    both = len(np.intersect1d(mine, other, assume_unique=True))
-                    dist.append(1 - both / (len(mine) + len(other) - both))
-                    if both * 100 >= percent * (len(mine) + len(other) - both) and p["doc_id"] != d:
-                        out.append((None, d, p["doc_id"], None))
-                least = min(dist)
-                # the radius of a distributed cell isn't known here: the plain window, and the far cell apart
-                cells = [j for j, x in enumerate(dist) if x <= least + 2 * theta and x < 1] or []
-                cells += [len(dist)] if least >= 1 - 2 * theta else []
-                out += [(int(tc.mix(np.array([(r & (2**64 - 1)) ^ (level << 8 | j + 1)], np.uint64)).view(np.int64)[0]), d, None, el) for j in cells]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.list_(pa.int64()))],
-                ["region", "doc_id", "pivot", "el"],
-            )
+            cells, chunks, pivot, ids, labels, last = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6))
+            values, offs = _flat(batch.column(5))
+            rows: list[tuple] = []
+            start = 0
+            while start < len(cells):
+                if (cells[start], chunks[start]) != chunk:
+                    chunk, held, block = (cells[start], chunks[start]), [], None
+                if pivot[start]:
+                    held.append((ids[start], labels[start], values[offs[start] : offs[start + 1]].copy()))
+                    start += 1
+                    continue
+                stop = start
+                most = max(1, 4_000_000 // max(1, len(held)))
+                while stop < len(cells) and (cells[stop], chunks[stop]) == chunk and stop - start < most:
+                    stop += 1
+                if block is None:
+                    block = Block(*map(list, zip(*held)))
+                    if not last[start]:
+                        region, same = regions(block, np.concatenate([h[2] for h in held]), np.concatenate([[0], np.cumsum(block.size)]))
+                mine = values[offs[start] : offs[stop]], offs[start : stop + 1] - offs[start]
+                both = block.shared(*mine)
+                whole = np.diff(mine[1])[:, None] + block.size[None, :] - both
+                hit = both * 100 >= percent * whole
+                for i, j in zip(*np.nonzero(hit)):
+                    if block.ids[j] != ids[start + i] and block.labels[j] != labels[start + i]:
+                        rows.append((None, ids[start + i], None, int(block.ids[j]), None))
+                if not last[start]:
+                    dist = 1 - both / whole
+                    least = dist.min(axis=1)
+                    near = (dist <= least[:, None] + 2 * theta) & (dist < 1)
+                    for i in range(stop - start):
+                        if (block.ids == ids[start + i]).any():
+                            continue
+                        label = int(block.labels[same[np.argmax(hit[i])]]) if hit[i].any() else labels[start + i]
+                        to = [int(x) + 1 for x in np.unique(region[near[i]])] + ([0] if least[i] >= 1 - 2 * theta else [])
+                        el = values[offs[start + i] : offs[start + i + 1]].view(np.int64)
+                        for j in to:
+                            mixed = tc.mix(np.array([(chunk[0] & (2**64 - 1)) ^ (level << 32 | j)], np.uint64)).view(np.int64)[0]
+                            rows.append((int(mixed), ids[start + i], label, None, el))
+                start = stop
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64()))], names)
 
     return run
 
 
-def _divide(cells: DataFrame, percent: int, region_shingles: int) -> tuple[DataFrame, DataFrame | None]:
-    """Divide cells (region, doc_id, el) by pivots until they are small: links inside cells, and links to pivots."""
-    extra = None
-    for level in range(SPLIT_LEVELS):
-        large = cells.groupBy("region").agg(F.sum(F.size("el")).alias("w"), F.count("*").alias("n")).filter((F.col("w") > region_shingles) & (F.col("n") > LEAF)).select("region")
-        large = cut_lineage(large)
+def _divide(cells: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Divide cells (cell, doc_id, label, el) until each has at most `most` elements: (what is left, links).
+
+    A round takes up to PIVOTS members of unlike labels as pivots; once the members outside the commonest label have
+    `most` elements at most, they are all pivots and the cell is done. Every round settles its pivots, so it ends.
+    """
+    found = None
+    for level in range(1 << 20):
+        by_label = cells.groupBy("cell", "label").agg(F.sum(F.size("el")).alias("w"), F.count("*").alias("n"))
+        sizes = by_label.groupBy("cell").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("labels"), F.max_by("label", "n").alias("common"), (F.sum("w") - F.max_by("w", "n")).alias("others"))
+        sizes = cut_lineage(sizes)
+        cells = cells.join(sizes.filter("labels > 1").select("cell"), "cell", "left_semi")
+        large = sizes.filter((F.col("labels") > 1) & (F.col("w") > most) & (F.col("n") > LEAF)).withColumns({"last": F.col("others") <= most, "chunks": F.ceil(F.col("w") / most).cast("int")})
         if large.isEmpty():
             break
-        big = cells.join(large, "region", "left_semi")
-        slot = F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(SPLIT_PIVOTS)).alias("slot")
-        one = big.groupBy("region", slot).agg(F.min_by(F.struct("doc_id", "el"), F.xxhash64("doc_id", F.lit(level))).alias("p"))
-        pivots = one.groupBy("region").agg(F.collect_list("p").alias("pivots"))  # at most SPLIT_PIVOTS a region
-        parts = cut_lineage(big.join(pivots, "region").select("region", "doc_id", "el", "pivots").mapInArrow(_split(percent, level), "region bigint, doc_id bigint, pivot bigint, el array<bigint>"))
-        found = parts.filter("region is null").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-        extra = found if extra is None else extra.unionByName(found)
-        cells = cut_lineage(cells.join(large, "region", "left_anti").unionByName(parts.filter("region is not null").select("region", "doc_id", "el")))
-    ordered = cells.repartition(partitions(cells.sparkSession), "region").sortWithinPartitions("region", "doc_id")
-    return ordered.mapInArrow(_join_regions(percent), "a bigint, b bigint"), extra
-
-
-def jaccard_join(docs: DataFrame, *, shingle: int = 5, percent: int = 80, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+        big = cells.join(large.select("cell", "common", "last", "chunks"), "cell")
+        row = F.struct("doc_id", "label", "el")
+        slot = F.pmod(F.xxhash64("label", F.lit(level)), F.lit(PIVOTS))
+        few = big.filter("not last").groupBy("cell", "last", "chunks", slot.alias("slot")).agg(F.min_by(row, F.xxhash64("doc_id", F.lit(level))).alias("p")).select("cell", "last", "chunks", "p.*")
+        pivots = few.unionByName(big.filter("last and label <> common").select("cell", "last", "chunks", "doc_id", "label", "el"))
+        pivots = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        members = big.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("chunks")).cast("int"))
+        cols = ["cell", "chunk", "pivot", "doc_id", "label", "el", "last"]
+        both = pivots.withColumn("pivot", F.lit(True)).select(cols).unionByName(members.withColumn("pivot", F.lit(False)).select(cols))
+        ordered = both.repartition(partitions(cells.sparkSession), "cell", "chunk").sortWithinPartitions("cell", "chunk", F.desc("pivot"), "doc_id")
+        parts = cut_lineage(ordered.mapInArrow(_deal(percent, level), "cell bigint, doc_id bigint, label bigint, other bigint, el array<bigint>"))
+        links = parts.filter("other is not null").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
+        found = links if found is None else found.unionByName(links)
+        cells = cut_lineage(cells.join(large.select("cell"), "cell", "left_anti").unionByName(parts.filter("cell is not null").select("cell", "doc_id", "label", "el")))
+    return cells, found
+
+
+def links(candidates: DataFrame, *, percent: int, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """a, b: links that join the same documents as all links do. candidates: doc_id, el (sorted, distinct)."""
+    spark = candidates.sparkSession
+    keys = candidates.select("doc_id", "el").mapInArrow(_keys(percent), "key bigint, doc_id bigint")
+    pivots = keys.groupBy("key").agg(F.min("doc_id").alias("cell"), F.max("doc_id").alias("last")).filter("last > cell").select("key", "cell")
+    member = keys.join(pivots, "key").select("cell", "doc_id").distinct()
+    member = cut_lineage(member)
+    rows = member.join(candidates, "doc_id").select("cell", "doc_id", "el")
+    heavy = member.join(candidates.select("doc_id", F.size("el").alias("n")), "doc_id").groupBy("cell").agg(F.sum("n").alias("w"), F.count("*").alias("n"))
+    heavy = cut_lineage(heavy.filter((F.col("w") > cell_shingles) & (F.col("n") > LEAF)).select("cell"))
+    label = F.col("doc_id").alias("label")
+    pivot = (F.col("doc_id") == F.col("cell")).alias("pivot")
+
+    def join(cells: DataFrame) -> DataFrame:
+        ordered = cells.repartition(partitions(spark), "cell").sortWithinPartitions("cell", F.desc("pivot"), "doc_id")
+        return ordered.mapInArrow(_join_cells(percent), "a bigint, b bigint")
+
+    if heavy.isEmpty():
+        return join(rows.select("cell", pivot, "doc_id", label, "el"))
+    small = join(rows.join(heavy, "cell", "left_anti").select("cell", pivot, "doc_id", label, "el"))
+    left, found = _divide(cut_lineage(rows.join(heavy, "cell", "left_semi").select("cell", "doc_id", label, "el")), percent, cell_shingles)
+    out = small.unionByName(join(left.select("cell", F.lit(False).alias("pivot"), "doc_id", "label", "el")))
+    return out if found is None else out.unionByName(found)
+
+
+def jaccard_join(docs: DataFrame, *, shingle: int = 5, percent: int = 80, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id: documents linked by 100 * |A & B| >= percent * |A | B|, closed transitively.
 
     Sets are distinct shingles of `shingle` words (A-Z lower-cased, split at ASCII white space); a shorter text is
-    one shingle of all its words. Null, empty and blank texts have empty sets and link with nothing. Equal sets
-    become one representative before anything is compared, so copies cost nothing. Repeated rows of a doc_id come
-    out as often as they came in; an empty table gives an empty result; further columns are ignored.
-
-    The join is exact: no cap on partners or candidates.
+    one shingle of all its words. Null, empty and blank texts have empty sets and link with nothing. Equal sets (by
+    size and two independent 64-bit hashes) become one representative before anything is compared, so copies cost
+    nothing. Rows that share a doc_id are one document; rows without one come out with the component of an equal set, or
+    null. Repeated rows come out as often as they came in; an empty table gives an empty result; further columns are
+    ignored.
+
+    The join is exact for any `percent` above 0: no cap on partners or candidates. Distances are counted over the
+    shingles' 64-bit hashes.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(partitions(spark), total // BUCKET_BYTES)
-    sent = base.mapInArrow(_sets(shingle, percent, buckets), SENT)
-    sent = sent.withColumn("to", F.coalesce("bucket", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(buckets)).cast("int")))
-    met = cut_lineage(sent.repartitionById(buckets, F.col("to")).drop("to").mapInArrow(_meet, "doc_id bigint, n_shingles bigint, set_hash bigint, a bigint, b bigint"))
+    sent = base.mapInArrow(_sets(shingle, buckets), SENT)
+    sent = sent.withColumn("to", F.coalesce("bucket", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(buckets)).cast("int")))
+    met = cut_lineage(sent.repartitionById(buckets, F.col("to")).drop("to").mapInArrow(_meet, MADE))
     del sent
     release(spark)
-    made = met.filter("n_shingles is not null").select("doc_id", "n_shingles", "set_hash")
-    full = made.filter("n_shingles > 0")
-    reps = cut_lineage(full.groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("rep")))
-    pairs = met.filter("a is not null").select("a", "b").distinct()
-    named = full.filter("doc_id is not null").join(reps, ["n_shingles", "set_hash"]).select("doc_id", "rep").distinct()
-    touching = pairs.join(named.select(F.col("doc_id").alias("a"), F.col("rep").alias("x")), "a").join(named.select(F.col("doc_id").alias("b"), F.col("rep").alias("y")), "b")
-    touching = touching.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    region = components(touching).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "region")
-    region = cut_lineage(region)
-    release(spark)
-    size = F.sum("n_shingles").alias("w")
-    weights = region.join(full.select("doc_id", "n_shingles").distinct(), "doc_id").groupBy("region").agg(size, F.count("*").alias("n"))
-    heavy = cut_lineage(weights.filter((F.col("w") > region_shingles) & (F.col("n") > LEAF)).select("region"))
-    # texts are less than half as many bytes as their sets: they travel, and sets are made where a region meets
-    placed = region.join(base, "doc_id").select("region", "doc_id", "text")
-    whole = placed.join(heavy, "region", "left_anti") if not heavy.isEmpty() else placed
-    ordered = whole.repartition(partitions(spark), "region").sortWithinPartitions("region", "doc_id")
-    links = ordered.mapInArrow(lambda rows: _join_regions(percent)(_elements(shingle)(rows)), "a bigint, b bigint")
-    extra = None
-    if not heavy.isEmpty():
-        cells = placed.join(heavy, "region", "left_semi").mapInArrow(_elements(shingle), "region bigint, doc_id bigint, el array<bigint>").filter("size(el) > 0")
-        more, extra = _divide(cut_lineage(cells), percent, region_shingles)
-        links = links.unionByName(more)
-        del cells, more
-    if extra is None:
-        found = cut_lineage(links.select(F.col("a").alias("rep"), F.col("b").alias("component")))
-    else:
-        found = components(links.unionByName(extra)).withColumnRenamed("node", "rep")
-    del region, weights, placed, whole, ordered, links, extra
-    release(spark)
-    best = reps.join(found, "rep", "left").select("n_shingles", "set_hash", F.least("rep", F.coalesce("component", "rep")).alias("component"))
-    return made.select("doc_id", "n_shingles", "set_hash").join(best, ["n_shingles", "set_hash"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    made = met.filter("n_shingles is not null").drop("c")
+    full = made.filter("n_shingles > 0 and doc_id is not null")
+    counts = met.filter("c > 0").groupBy("doc_id").agg(F.sum("c").alias("c"))
+    same = ["n_shingles", "h1", "h2"]
+    reps = cut_lineage(full.join(counts, "doc_id", "left").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("c").alias("c")))
+    some = reps.filter(F.col("c") * 100 >= F.col("n_shingles") * percent).select(F.col("rep").alias("doc_id")).distinct()
+    some = cut_lineage(some)
+    found = base.filter("doc_id is not null").join(F.broadcast(some) if some.count() <= BROADCAST_IDS else some, "doc_id", "left_semi")
+    sets = found.mapInArrow(_elements(shingle), "doc_id bigint, h1 bigint, el array<bigint>").dropDuplicates(["doc_id", "h1"])
+    near = components(links(cut_lineage(sets.select("doc_id", "el")), percent=percent, cell_shingles=cell_shingles)).withColumnRenamed("node", "rep")
+    best = reps.join(near, "rep", "left").select(*same, F.least("rep", F.coalesce("component", "rep")).alias("component"))
+    return made.join(best, same, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

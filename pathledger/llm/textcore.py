@@ -17,6 +17,7 @@ _RNG = np.random.default_rng(20240607)
 TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE = int(_RNG.integers(1, 2**62)) * 2 + 1
 GRAM = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
+PLACES = _RNG.integers(0, 2**64, 64 * 256, dtype=np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -82,13 +83,22 @@ def word_bounds(data: np.ndarray, offs: np.ndarray, member: np.ndarray) -> tuple
 
 
 def words(data: np.ndarray, offs: np.ndarray, member: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, start, end) of each word, A-Z lower-cased. Equal words have equal 64-bit hashes."""
-    low = LOWER[data]
+    """(hash, document, start, end) of each word, A-Z lower-cased. Equal words have equal 64-bit hashes.
+
+    Tabulation: a sum of random numbers, one for each byte and place in the word. Unlike a polynomial modulo 2**64
+    it has no structure that a repetitive word could meet.
+    """
     starts, ends, doc = word_bounds(data, offs, member)
-    total = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum(TABLE[low] * powers(len(low)), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(len(low) + 1, True)[starts]
-    return mix(h + (ends - starts).astype(np.uint64)), doc, starts, ends
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, np.uint64), doc, starts, ends
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    low = LOWER[data[place + np.repeat(starts, size)]]
+    value = PLACES[(place & 63) << 8 | low]
+    if size.max() > 64:
+        value *= mix((place >> 6).astype(np.uint64) * GRAM[50]) | U(1)
+    return mix(np.add.reduceat(value, first) + size.astype(np.uint64)), doc, starts, ends
 
 
 def grams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,10 +121,10 @@ def byte_grams(data: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
-def order_free(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sum of mixed hashes between bounds: a fingerprint of each set."""
+def order_free(h: np.ndarray, bounds: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Sum of mixed hashes between bounds: a fingerprint of each set; another salt gives an independent one."""
     total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(mix(h ^ U(0x9E3779B97F4A7C15)), out=total[1:])
+    np.cumsum(mix(h ^ U((0x9E3779B97F4A7C15 + salt * 0xA24BAED4963EE407) & (2**64 - 1))), out=total[1:])
     return mix(total[bounds[1:]] - total[bounds[:-1]] + (bounds[1:] - bounds[:-1]).astype(np.uint64))
 
 

@@ -99,12 +99,90 @@ def test_metric_join_of_dense_regions_is_exact():
         assert [b for _, b in s.edges()] == [b for _, b in t.edges()]
 
 
-def test_distributed_split_gives_the_same(unique, monkeypatch):
-    a = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(unique, shingle=1, percent=20).collect()}
-    monkeypatch.setattr(jaccard_join, "LEAF", 2)
-    monkeypatch.setattr(jaccard_join, "SPLIT_LEVELS", 1)
-    b = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(unique, shingle=1, percent=20, region_shingles=50).collect()}
-    assert a == b
+def brute_links(sets, percent):
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """Groups of near copies at several distances, a passage that many share, and loners."""
+    r, rows = random.Random(11), []
+    passage = [f"p{k}" for k in range(30)]
+    for g in range(6):
+        core = [f"g{g}w{k}" for k in range(80)]
+        for _ in range(25):
+            w = list(core)
+            for _ in range(r.randint(0, 4 * (g + 1))):
+                w[r.randrange(len(w))] = f"e{r.randrange(10**9)}"
+            rows.append(" ".join(w))
+    rows += [" ".join([*(f"l{k}x{j}" for j in range(40)), *passage]) for k in range(40)]
+    r.shuffle(rows)
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"), dict(enumerate(rows))
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+@pytest.mark.parametrize("cell", [2_000_000, 300])
+def test_jaccard_join_of_a_dense_corpus(crowd, percent, cell, monkeypatch):
+    """With cells of 300 elements everything goes through the distributed division."""
+    if cell == 300:
+        monkeypatch.setattr(jaccard_join, "LEAF", 4)
+    docs, texts = crowd
+    want = brute_links({i: set(zip(*[t.split()[k:] for k in range(3)])) for i, t in texts.items()}, percent)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs, shingle=3, percent=percent, cell_shingles=cell).collect()}
+    assert got == want
+    assert 6 <= len(set(want.values())) < len(want)
+
+
+def test_links_come_from_pivots_and_windows(monkeypatch):
+    """In a dense cell pivots and their windows settle every link; the prefix filter isn't needed."""
+    r = np.random.default_rng(5)
+    core = r.integers(0, 2**62, 200).astype(np.uint64)
+    sets = []
+    for _ in range(40):
+        s = core.copy()
+        k = r.integers(0, 30)
+        s[r.integers(0, 200, k)] = r.integers(0, 2**62, k).astype(np.uint64)
+        sets.append(np.unique(s))
+    monkeypatch.setattr(jaccard_join.Sets, "leaf", lambda *_: pytest.fail("prefix filter"))
+    s = jaccard_join.Sets(list(range(40)), sets, 90)
+    s.join(np.arange(40), 0)
+    want = brute_links({i: set(x.tolist()) for i, x in enumerate(sets)}, 90)
+    assert dict(enumerate(b for _, b in s.edges())) == want
+
+
+def test_equal_hashes_need_equal_words(spark):
+    """Two Thue-Morse words that differ everywhere collide under any polynomial modulo 2**64."""
+    w = "a"
+    while len(w) < 4096:
+        w += w.translate(str.maketrans("ab", "ba"))
+    rows = [(1, w), (2, w.translate(str.maketrans("ab", "ba"))), (3, w)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=3, percent=90).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_linked_sets_share_a_part():
+    r = np.random.default_rng(2)
+    for percent in (34, 60, 67, 80, 90):
+        for _ in range(60):
+            n = int(r.integers(1, 60))
+            a = np.unique(r.integers(0, 2**62, n).astype(np.uint64))
+            extra = int(len(a) * (100 / percent - 1))
+            b = np.unique(np.concatenate([a, r.integers(0, 2**62, extra).astype(np.uint64)]))
+            doc, key = jaccard_join.part_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
+            same = len(a) == len(b)
+            assert same or set(key[doc == 0].tolist()) & set(key[doc == 1].tolist())
 
 
 def test_suffix_and_lcp_arrays():
