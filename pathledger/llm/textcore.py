@@ -82,8 +82,8 @@ def word_bounds(data: np.ndarray, offs: np.ndarray, member: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def words(data: np.ndarray, offs: np.ndarray, member: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, start, end) of each word, A-Z lower-cased. Equal words have equal 64-bit hashes.
+def words(data: np.ndarray, offs: np.ndarray, member: np.ndarray = NOT_SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, start, end) of each word, A-Z lower-cased if asked. Equal words have equal 64-bit hashes.
 
     Tabulation: a sum of random numbers, one for each byte and place in the word. Unlike a polynomial modulo 2**64
     it has no structure that a repetitive word could meet.
@@ -94,7 +94,8 @@ def words(data: np.ndarray, offs: np.ndarray, member: np.ndarray = NOT_SPACE) ->
         return np.zeros(0, np.uint64), doc, starts, ends
     first = np.cumsum(size) - size
     place = np.arange(int(size.sum())) - np.repeat(first, size)
-    low = LOWER[data[place + np.repeat(starts, size)]]
+    low = data[place + np.repeat(starts, size)]
+    low = LOWER[low] if lower else low
     value = PLACES[(place & 63) << 8 | low]
     if size.max() > 64:
         value *= mix((place >> 6).astype(np.uint64) * GRAM[50]) | U(1)

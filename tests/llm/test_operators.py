@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -463,14 +464,40 @@ def test_sampling_without_replacement_follows_the_lattice():
     data = np.frombuffer(raw * n, np.uint8)
     from pathledger.llm import textcore as tc
 
-    out = sentencepieces.sample_chunk(v, data, np.arange(n + 1) * len(raw), tc.mix(np.arange(n).astype(np.uint64)), 2)
-    one = collections.Counter(tuple(rows[0][0].tolist()) for rows, _ in out)
-    two = collections.Counter(tuple(rows[1][0].tolist()) for rows, _ in out)
-    second = collections.Counter()
-    for a, x in p.items():
-        for b, y in p.items():
+    lat, paths, kappa = sentencepieces.sample_chunk(v, data, np.arange(n + 1) * len(raw), tc.mix(np.arange(n).astype(np.uint64)), 3)
+    drawn = [[tuple(x.tolist()) for x in np.split(path.pieces(lat), path.at[1:-1])] for path in paths]
+    assert all(len(path.docs) == n for path in paths) and all(len(set(x)) == 3 for x in zip(*drawn))
+    q = {a: x / z for a, x in p.items()}
+    want = [q, collections.Counter(), collections.Counter()]
+    for a, x in q.items():
+        for b, y in q.items():
             if a != b:
-                second[b] += x / z * y / z / (1 - x / z)
-    assert all(len(rows) == 2 and tuple(rows[0][0]) != tuple(rows[1][0]) for rows, _ in out)
-    assert 0.5 * sum(abs(one[k] / n - p[k] / z) for k in p) < 0.02
-    assert 0.5 * sum(abs(two[k] / n - second[k]) for k in p) < 0.02
+                two = x * y / (1 - x)
+                want[1][b] += two
+                for c, w in q.items():
+                    if c not in (a, b):
+                        want[2][c] += two * w / (1 - x - y)
+    for got, share in zip(drawn, want):
+        seen = collections.Counter(got)
+        assert 0.5 * sum(abs(seen[k] / n - share[k]) for k in q) < 0.02
+    # weighted by the inverse of their inclusion, the samples estimate any sum over all segmentations without bias
+    lp = np.stack([path.log_prob for path in paths])
+    assert all(abs(math.log(q[a]) - x) < 1e-6 for a, x in zip(drawn[2], paths[2].log_prob))
+    assert (np.diff(np.stack([*lp, lp[0]]), axis=0) != 0).any()
+    ratio = np.exp(lp) / -np.expm1(-np.exp(lp - kappa))
+    length = np.array([[len(x) for x in d] for d in drawn])
+    assert abs(ratio.sum(axis=0).mean() - 1) < 0.02
+    assert abs((ratio * length).sum(axis=0).mean() - sum(q[a] * len(a) for a in q)) < 0.1
+
+
+def test_a_text_without_spaces_takes_linear_time(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdefgh") for _ in range(n)) for n in (20_000, 100_000)]
+    took = []
+    for t in texts:
+        d = spark.createDataFrame([(1, t)], "doc_id bigint, text string")
+        start = time.time()
+        rows = sentencepieces.encode(d, samples=3).collect()
+        took.append(time.time() - start)
+        assert len({x.ids_sha256 for x in rows}) == 3 and all(x.round_trip for x in rows)
+    assert took[1] < 15 * max(took[0], 1)
