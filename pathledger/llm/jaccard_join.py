@@ -11,6 +11,7 @@ Voronoi regions of several pivots, in chunks that any number of tasks share.
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -284,32 +285,33 @@ def voronoi(dist: np.ndarray, theta: float) -> list[np.ndarray]:
     return out
 
 
-SENT_NAMES = ["bucket", "keys", "ids", "counts", "more", "doc_id", "n_shingles", "h1", "h2", "c"]
-SENT = "bucket int, keys binary, ids binary, counts binary, more binary, doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, c bigint"
-SENT_KINDS = [pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 5]
+SENT_NAMES = ["message", "bucket", "docs", "counts", "keys", "more"]
+SENT = "message bigint, bucket int, docs binary, counts binary, keys binary, more binary"
+SENT_KINDS = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
 MADE = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, c bigint"
 FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, SENT_KINDS)], SENT_NAMES)
+
+
 def _sets(n: int, buckets: int):
-    """Per document its size and two set hashes; per message and bucket the short keys of its documents' shingles.
+    """Messages of whole documents: one row (bucket null) says what they are, one per bucket has the short keys of their
+    shingles, by document.
 
     Equal sets of a message go once. A shingle that several sets of a message hold is counted for them at once and
-    sent a single time without owners, whatever share of all rows has it.
+    sent a single time without owners (`more`), whatever share of all rows has it.
     """
 
     def message(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, n_shingles, h1, h2 = (np.concatenate(x) for x in zip(*(h[:4] for h in held)))
-        base, docs, keys = 0, [], []
-        for h in held:
-            docs.append(np.repeat(np.arange(len(h[1])) + base, h[1]))
-            keys.append(h[4])
-            base += len(h[1])
-        doc, key = np.concatenate(docs), np.concatenate(keys)
+        ids, known, count, h1, h2 = (np.concatenate(x) for x in zip(*(h[:5] for h in held)))
+        key = tc.mix(np.concatenate([h[5] for h in held]))
         first = np.zeros(len(ids), bool)
-        first[np.unique(np.stack([h1, h2, n_shingles.view(np.uint64)]), axis=1, return_index=True)[1]] = True
-        use = first[doc]
-        doc, key = doc[use], tc.mix(key[use])
+        first[np.unique(np.stack([h1, h2, count.astype(np.uint64), known.astype(np.uint64)]), axis=1, return_index=True)[1]] = True
+        doc = np.repeat(np.arange(len(ids)), count)
+        use = (first & known)[doc]
+        doc, key = doc[use], key[use]
         order = np.argsort(key, kind="stable")
         doc, key = doc[order], key[order]
         again = np.zeros(len(key), bool)
@@ -317,21 +319,18 @@ def _sets(n: int, buckets: int):
         several = again.copy()
         several[:-1] |= again[1:]
         local = np.bincount(doc[several], minlength=len(ids))
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.nulls(len(ids), k) for k in SENT_KINDS[:5]), pa.array(ids), pa.array(n_shingles), pa.array(tc.signed(h1)), pa.array(tc.signed(h2)), pa.array(local)], SENT_NAMES
-        )
+        table = np.stack([ids.view(np.uint64), known.astype(np.uint64), count.astype(np.uint64), h1, h2, local.astype(np.uint64)]).tobytes()
+        own = int.from_bytes(hashlib.blake2b(table, digest_size=8).digest(), "little", signed=True)
+        rows = [(own, None, table, None, None, None)]
         bucket = ((key >> tc.U(32)) * tc.U(buckets) >> tc.U(32)).astype(np.int64)  # ascends with the keys
         short, at = key.astype(np.uint32), np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = []
         for i in np.flatnonzero(np.diff(at)):
             mine = slice(at[i], at[i + 1])
-            own = ~several[mine]
-            d, k = doc[mine][own], short[mine][own]
-            by = np.argsort(d, kind="stable")
+            alone = ~several[mine]
+            d, k = doc[mine][alone], short[mine][alone]
             who, counts = np.unique(d, return_counts=True)
-            rows.append((int(i), k[by].tobytes(), ids[who].tobytes(), counts.astype(np.uint32).tobytes(), short[mine][several[mine] & ~again[mine]].tobytes()))
-        cols = list(zip(*rows)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, SENT_KINDS)), *(pa.nulls(len(rows), pa.int64()) for _ in range(5))], SENT_NAMES)
+            rows.append((own, int(i), who.astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), k[np.argsort(d, kind="stable")].tobytes(), short[mine][several[mine] & ~again[mine]].tobytes()))
+        yield _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -340,46 +339,61 @@ def _sets(n: int, buckets: int):
             known, number = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
             for first, data, offs in tc.chunks(batch.column(1)):
                 sets, bounds = shingle_sets(data, offs, n)
-                count = np.diff(bounds)
-                h1, h2 = tc.order_free(sets, bounds), tc.order_free(sets, bounds, 1)
-                use = known[first : first + len(count)]
-                rest = np.flatnonzero(~use)
-                if len(rest):  # rows without an id take part in nothing
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.nulls(len(rest), k) for k in SENT_KINDS[:6]), pa.array(count[rest]), pa.array(tc.signed(h1[rest])), pa.array(tc.signed(h2[rest])), pa.array(np.zeros(len(rest), np.int64))], SENT_NAMES
-                    )
-                held.append((number[first : first + len(count)][use], count[use], h1[use], h2[use], sets[np.repeat(use, count)]))
-                size += len(held[-1][4]) + len(count)
+                part = slice(first, first + len(offs) - 1)
+                held.append((number[part], known[part], np.diff(bounds), tc.order_free(sets, bounds), tc.order_free(sets, bounds, 1), sets))
+                size += len(sets) + len(offs)
                 if size > MESSAGE_KEYS:
                     yield from message(held)
                     held, size = [], 0
-        if size:
+        if held:
             yield from message(held)
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass documents on; for the documents of this bucket count the keys that others have too."""
-    keys, more, ids, names = [], [], [], ["doc_id", "n_shingles", "h1", "h2", "c"]
+    """Pass documents on; for each message count the keys of its documents that others have too in this bucket."""
+    parts: list[tuple] = []
     for batch in batches:
-        rows = batch.filter(batch.column(6).is_valid())
-        yield pa.RecordBatch.from_arrays(rows.columns[5:], names)
-        for k, who, counts, free in zip(*(batch.filter(batch.column(0).is_valid()).column(i).to_pylist() for i in (1, 2, 3, 4))):
-            keys.append(np.frombuffer(k, np.uint32))
-            ids.append(np.repeat(np.frombuffer(who, np.int64), np.frombuffer(counts, np.uint32)))
-            more.append(np.frombuffer(free, np.uint32))
-    if not keys:
-        return
-    key, own = np.concatenate(keys), np.concatenate(ids)
-    keys.clear()
-    ids.clear()
-    every = np.sort(np.concatenate([key, *more]))
+        documents = batch.column(1).is_null()
+        yield batch.filter(documents)
+        parts += list(zip(*(batch.filter(batch.column(1).is_valid()).column(i).to_pylist() for i in range(6))))
+    keys = [np.frombuffer(p[4], np.uint32) for p in parts]
+    every = np.sort(np.concatenate([*keys, *(np.frombuffer(p[5], np.uint32) for p in parts)])) if parts else np.zeros(0, np.uint32)
     twice = every[1:][every[1:] == every[:-1]]
     if len(twice):
-        at = np.minimum(np.searchsorted(twice, key), len(twice) - 1)
-        doc, c = np.unique(own[twice[at] == key], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(doc), *(pa.nulls(len(doc), pa.int64()) for _ in range(3)), pa.array(c)], names)
+        rows = []
+        for p, key in zip(parts, keys):
+            hit = twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key
+            doc = np.repeat(np.frombuffer(p[2], np.uint32), np.frombuffer(p[3], np.uint32))[hit]
+            who, counts = np.unique(doc, return_counts=True)
+            if len(who):
+                rows.append((p[0], p[1], who.tobytes(), counts.astype(np.uint32).tobytes(), None, None))
+        yield _rows(rows)
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A message's rows, its documents first -> doc_id, n_shingles, h1, h2, c: how many shingles others have too."""
+
+    def done(tables: list[np.ndarray], more: np.ndarray) -> pa.RecordBatch:
+        ids, known, count, h1, h2, local = np.concatenate(tables, axis=1)  # several: the same rows of the table once more
+        c = local.astype(np.int64) + np.tile(more, len(tables))
+        return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64), mask=known == 0), *(pa.array(x.view(np.int64)) for x in (count, h1, h2)), pa.array(c)], ["doc_id", "n_shingles", "h1", "h2", "c"])
+
+    now, tables, more = None, [], np.zeros(0, np.int64)
+    for batch in batches:
+        for own, bucket, docs, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if own != now and tables:
+                yield done(tables, more)
+                tables = []
+            now = own
+            if bucket is None:
+                tables.append(np.frombuffer(docs, np.uint64).reshape(6, -1))
+                more = np.zeros(tables[-1].shape[1], np.int64)
+            else:
+                more[np.frombuffer(docs, np.uint32)] += np.frombuffer(counts, np.uint32)
+    if tables:
+        yield done(tables, more)
 
 
 def _elements(n: int):
@@ -613,15 +627,15 @@ def jaccard_join(docs: DataFrame, *, shingle: int = 5, percent: int = 80, cell_s
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(partitions(spark), total // BUCKET_BYTES)
     sent = base.mapInArrow(_sets(shingle, buckets), SENT)
-    sent = sent.withColumn("to", F.coalesce("bucket", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(buckets)).cast("int")))
-    met = cut_lineage(sent.repartitionById(buckets, F.col("to")).drop("to").mapInArrow(_meet, MADE))
-    del sent
+    to = F.coalesce("bucket", F.pmod("message", F.lit(buckets)).cast("int"))
+    met = sent.withColumn("to", to).repartitionById(buckets, F.col("to")).drop("to").mapInArrow(_meet, SENT)
+    made = met.repartition(partitions(spark), "message").sortWithinPartitions("message", F.asc_nulls_first("bucket")).mapInArrow(_sum, MADE)
+    made = cut_lineage(made)
+    del sent, met
     release(spark)
-    made = met.filter("n_shingles is not null").drop("c")
-    full = made.filter("n_shingles > 0 and doc_id is not null")
-    counts = met.filter("c > 0").groupBy("doc_id").agg(F.sum("c").alias("c"))
     same = ["n_shingles", "h1", "h2"]
-    reps = cut_lineage(full.join(counts, "doc_id", "left").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("c").alias("c")))
+    full = made.filter("n_shingles > 0 and doc_id is not null")
+    reps = cut_lineage(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("c").alias("c")))
     some = reps.filter(F.col("c") * 100 >= F.col("n_shingles") * percent).select(F.col("rep").alias("doc_id")).distinct()
     some = cut_lineage(some)
     found = base.filter("doc_id is not null").join(F.broadcast(some) if some.count() <= BROADCAST_IDS else some, "doc_id", "left_semi")
