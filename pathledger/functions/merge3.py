@@ -55,13 +55,22 @@ def matches(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]] | None:
     return out + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
 
 
-def _reconciled(base: list[bytes], local: list[bytes], remote: list[bytes], merged: list[bytes]) -> bool:
-    """Each line's copies in the result must be those of base plus what either side added or took away."""
-    count = lambda side: pd.Series(side).value_counts().to_dict() if side else {}
-    b, m, p, q = map(count, (base, merged, local, remote))
-    for line in {*b, *m, *p, *q}:
-        n, dl, dr = b.get(line, 0), p.get(line, 0) - b.get(line, 0), q.get(line, 0) - b.get(line, 0)
-        if m.get(line, 0) not in {n + dl + dr, n + (dl if dl == dr else dl + dr)}:
+def _runs(lines: list[bytes]) -> list[tuple[int, int]]:
+    """[first, end) of runs of two or more equal lines in a row."""
+    starts = [i for i in range(len(lines)) if i == 0 or lines[i] != lines[i - 1]] + [len(lines)]
+    return [(a, b) for a, b in pairwise(starts) if b - a > 1]
+
+
+def _reconciled(base: list[bytes], gaps: list[tuple[int, int, list[bytes], list[bytes], list[bytes]]]) -> bool:
+    """Within a run of equal base lines copies can't be told apart, so what the gaps that touch it take away or add
+    must lie between what either side did there. gaps: (first, end, local, remote, taken)."""
+    for first, end in _runs(base):
+        line, local, remote, got = base[first], 0, 0, 0
+        for a, b, p, q, taken in gaps:
+            if a <= end and b >= first:
+                had = base[a:b].count(line)
+                local, remote, got = local + p.count(line) - had, remote + q.count(line) - had, got + taken.count(line) - had
+        if not min(local, remote, 0) <= got <= max(local, remote, 0):
             return False
     return True
 
@@ -69,14 +78,14 @@ def _reconciled(base: list[bytes], local: list[bytes], remote: list[bytes], merg
 def merge3(base: bytes | None, local: bytes | None, remote: bytes | None) -> tuple[str, bytes | None]:
     """('clean', bytes), ('conflict', None) or ('binary', None)."""
     base, local, remote = base or b"", local or b"", remote or b""
+    if max(map(len, (base, local, remote))) > MOST_BYTES:
+        return "conflict", None
     if any(map(is_binary, (base, local, remote))):
         return "binary", None
     if local == remote or remote == base:
         return "clean", local
     if local == base:
         return "clean", remote
-    if max(map(len, (base, local, remote))) > MOST_BYTES:
-        return "conflict", None
     b, p, q = map(split_lines, (base, local, remote))
     one, two = matches(b, p), matches(b, q)
     if one is None or two is None:
@@ -84,16 +93,15 @@ def merge3(base: bytes | None, local: bytes | None, remote: bytes | None) -> tup
     in_p, in_q = dict(one), dict(two)
     sync = [(-1, -1, -1)] + [(i, in_p[i], in_q[i]) for i in range(len(b)) if i in in_p and i in in_q] + [(len(b), len(p), len(q))]
     out: list[bytes] = []
+    gaps = []
     for (i, j, k), (i2, j2, k2) in pairwise(sync):
         gap, left, right = b[i + 1 : i2], p[j + 1 : j2], q[k + 1 : k2]
-        if left == right or right == gap:
-            out += left
-        elif left == gap:
-            out += right
-        else:
+        if left != right and left != gap and right != gap:
             return "conflict", None
-        out += b[i2 : i2 + 1]
-    return ("clean", b"".join(out)) if _reconciled(b, p, q, out) else ("conflict", None)
+        taken = right if left == gap else left
+        gaps.append((i + 1, i2, left, right, taken))
+        out += taken + b[i2 : i2 + 1]
+    return ("clean", b"".join(out)) if _reconciled(b, gaps) else ("conflict", None)
 
 
 @F.pandas_udf(SCHEMA)

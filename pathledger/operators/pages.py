@@ -54,8 +54,10 @@ def index_levels(made: DataFrame, fanout: int = FANOUT) -> DataFrame:
     while True:
         now = cut_lineage(now.withColumn("parent", F.floor(F.col("page") / fanout).cast("bigint")))
         out.append(now)
-        if level >= MOST_DEPTH or now.count() <= 1:
+        if now.count() <= 1:
             break
+        if level >= MOST_DEPTH:
+            raise ValueError(f"more than {MOST_DEPTH} levels of pages")
         level += 1
         rows = now.select(F.col("parent").alias("page"), F.col("page").alias("rank"), canonical_row(F.col("first"), F.col("page_cid")).alias("row"), "first", "last")
         now = _hashed(rows, "first", "last").withColumn("level", F.lit(level))
@@ -84,15 +86,49 @@ def externalize(df: DataFrame, blocks: str = "bk", limit: int = EXTERNAL_BYTES)
 def reachable(edges: DataFrame, roots: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     """Every node at or below a root, with its least depth: one join per level of the DAG.
 
-    edges: parent, child. roots: node. The frontier holds new nodes only, so cycles end.
+    edges: parent, child. roots: node. The frontier holds new nodes only, so cycles end. A DAG deeper than
+    `most_depth` is an error: a part of what is reachable must never pass for the whole.
     """
     seen = cut_lineage(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier, level = seen, 0
-    while level < most_depth:
+    while True:
         level += 1
         found = edges.join(frontier.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).distinct()
         frontier = cut_lineage(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
+        if level > most_depth:
+            raise ValueError(f"nodes deeper than {most_depth}")
         seen = cut_lineage(seen.unionByName(frontier))
     return seen
+
+
+def unequal_pages(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Leaves that one tree alone has, found from the roots down, and how many pages were read for it.
+
+    old, new: index_levels(). A page is read only if no page of the other side's has its id; equal subtrees are never
+    entered. Equal roots read nothing. A taller tree descends alone until both are level.
+    """
+    top = [t.agg(F.max("level")).first()[0] for t in (old, new)]
+    if None in top:
+        return old.filter("level = 0"), new.filter("level = 0"), sum(t.count() for t in (old, new))
+    ids = lambda t: t.select("page_cid").distinct()
+    level, read = max(top), 0
+    now = [t.filter(F.col("level") == k) for t, k in zip((old, new), top)]
+    while True:
+        here = [level <= k for k in top]
+        if all(here):
+            now = [cut_lineage(now[i].join(ids(now[1 - i]), "page_cid", "left_anti")) for i in (0, 1)]
+        read += sum(n.count() for n, on in zip(now, here) if on)
+        if level == 0:
+            return now[0], now[1], read
+        level -= 1
+        for i, t in enumerate((old, new)):
+            if here[i]:
+                up = now[i].select(F.col("page").alias("parent"))
+                now[i] = t.filter(F.col("level") == level).join(up, "parent", "left_semi")
+
+
+def same_root(old: DataFrame, new: DataFrame) -> bool:
+    """Snapshots are equal exactly if their roots (root()) are."""
+    return old.first()["root"] == new.first()["root"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pathledger.functions import paths
 from pathledger.functions.merge3 import merge3_udf
 from pathledger.operators.diff import same_content
+from pathledger.runtime import cut_lineage
 
 FIELDS = ["key", "p", "t", "x", "sz", "pcid", "lt"]
 SLOTS = 32
@@ -74,8 +75,58 @@ def parked_copy_exists(conflicts: DataFrame, local: DataFrame) -> DataFrame:
     return conflicts.join(parked, (F.col("l.p") == F.col("origin")) & (F.col("l.pcid") == F.col("parked")), "left_semi")
 
 
-def free_slot(names: DataFrame, taken: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """The first of `slots` candidate names that nobody has: name for slot 0, then `name~1`, ..."""
-    k = F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))
-    tried = names.select("name", k.alias("slot")).withColumn("candidate", F.when(F.col("slot") == 0, F.col("name")).otherwise(F.concat("name", F.lit("~"), F.col("slot").cast("string"))))
-    return tried.join(taken.select(F.col("name").alias("candidate")), "candidate", "left_anti").groupBy("name").agg(F.min("slot").alias("slot"))
+def copy_paths(conflicts: DataFrame, local: DataFrame, blocked: DataFrame, label: str, seq: int, slots: int = SLOTS) -> DataFrame:
+    """p, copy_name: where each losing version (p, t, pcid) is kept.
+
+    Candidates carry the label, then `label 2`, `label 3`, ... One is taken if no local entry has its key, or if
+    that entry is this very copy already. Keys that the reconcile itself writes or deletes (`blocked`) are out, and of two conflicts
+    that want one name the lesser path gets it. A conflict without a free slot is an error: nothing may be lost.
+    """
+    n = F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))
+    name = paths.conflict_copy_name(F.col("p"), F.when(F.col("slot") == 0, F.lit(label)).otherwise(F.concat(F.lit(f"{label} "), (F.col("slot") + 1).cast("string"))), F.lit(seq))
+    tried = conflicts.select("p", "t", "pcid", n.alias("slot")).withColumn("copy_name", name).withColumn("ckey", F.lower("copy_name"))
+    there = local.select(F.col("key").alias("ckey"), F.col("t").alias("has_t"), F.col("pcid").alias("has_pcid"))
+    free = F.col("has_t").isNull() | (F.col("has_t").eqNullSafe(F.col("t")) & F.col("has_pcid").eqNullSafe(F.col("pcid")))
+    open_ = cut_lineage(tried.join(there, "ckey", "left").filter(free).join(blocked.select(F.col("key").alias("ckey")), "ckey", "left_anti").select("p", "slot", "copy_name", "ckey"))
+    done = None
+    left = conflicts.select("p").distinct()
+    while True:
+        wish = open_.groupBy("p").agg(F.min_by(F.struct("copy_name", "ckey"), "slot").alias("w")).select("p", "w.*")
+        if not left.join(wish, "p", "left_anti").isEmpty():
+            raise ValueError(f"all {slots} names for a conflict copy are taken")
+        won = cut_lineage(wish.groupBy("ckey").agg(F.min(F.struct("p", "copy_name")).alias("w")).select("ckey", "w.*"))
+        done = won if done is None else done.unionByName(won)
+        left = left.join(won, "p", "left_anti")
+        if left.isEmpty():
+            return done.select("p", "copy_name")
+        open_ = cut_lineage(open_.join(won.select("p"), "p", "left_anti").join(won.select("ckey"), "ckey", "left_anti"))
+
+
+def execute(base: DataFrame, local: DataFrame, remote: DataFrame, blobs: DataFrame, label: str, seq: int) -> DataFrame:
+    """key, action, p, pcid, content, copy_name: the whole plan of a reconcile.
+
+    Verdicts first; the same key under two spellings is a conflict whatever the content. Conflicting files with a
+    common base try a line merge: a clean one is written as `merge`. Every other conflict takes the remote side and
+    keeps the local one under a free copy name (`keep_both`), unless it lies parked with the same content already (`take`).
+    """
+    seen = resolve(three_way(base, local, remote), label, seq)
+    spelled = F.col("l").isNotNull() & F.col("r").isNotNull() & (F.col("l.p") != F.col("r.p"))
+    seen = cut_lineage(seen.withColumn("verdict", F.when(spelled, "ConflictCopy").otherwise(F.col("verdict"))))
+    conflict = seen.filter("verdict = 'ConflictCopy'")
+    merged = merge_conflicts(conflict.filter("l.t = 0 and r.t = 0 and b.t = 0 and l.p = r.p"), blobs).filter("status = 'clean'").select("key", "content")
+    merged = cut_lineage(merged)
+    rest = conflict.join(merged, "key", "left_anti")
+    parked = parked_copy_exists(rest, local).select("key").distinct()
+    keep = rest.join(parked, "key", "left_anti").select("key", "l.p", "l.t", "l.pcid")
+    blocked = remote.select("key").unionByName(base.join(remote, "key", "left_anti").select("key"))
+    names = copy_paths(keep, local, blocked, label, seq).join(keep.select("p", "key"), "p").select("key", F.col("copy_name").alias("copy"))
+    v = F.col("verdict")
+    action = (
+        F.when(F.col("content").isNotNull(), "merge").when(F.col("copy").isNotNull(), "keep_both").when(v == "ConflictCopy", "take")
+        .when(v == "FastForwardToRemote", "take").when(v == "TakeRemoteDeletion", "delete")
+        .when((v == "DeleteVsEditKeepEdit") & F.col("l").isNull(), "take").otherwise("none")
+    )
+    out = seen.drop("copy_name").join(merged, "key", "left").join(names, "key", "left").withColumn("action", action)
+    side = F.when(F.col("action").isin("merge", "delete"), F.col("l")).when(F.col("action") != "none", F.col("r"))
+    pcid = F.when(F.col("action") == "merge", F.sha2("content", 256)).when(F.col("action") != "delete", side["pcid"])
+    return out.select("key", "action", side["p"].alias("p"), pcid.alias("pcid"), "content", F.col("copy").alias("copy_name"))

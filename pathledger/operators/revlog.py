@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,7 +74,8 @@ def cas_replay(attempts: DataFrame) -> DataFrame:
 
 
 def commit(spark: SparkSession, folder: str, space: str, expected: int | None, payload: bytes) -> int | None:
-    """Create `<folder>/<space>/<seq>` exclusively; None if another writer has that seq or the base is stale."""
+    """Write aside, then rename to `<folder>/<space>/<seq>` unless it exists; None if another writer has that seq or
+    the base is stale. A crash before the rename leaves no revision."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{space}")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -82,14 +84,19 @@ def commit(spark: SparkSession, folder: str, space: str, expected: int | None, p
     if head != expected:
         return None
     seq = 0 if head is None else head + 1
+    aside = jvm.org.apache.hadoop.fs.Path(f"{folder}/{space}/_{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(bytearray(payload))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.valueOf("NONE")
     try:
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/{space}/{seq}"), False)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{folder}/{space}/{seq}")), options)
     except Exception as e:  # noqa: BLE001
+        fs.delete(aside, False)
         if "already exists" in str(e) or "FileAlreadyExists" in str(e):
             return None
         raise
-    out.write(bytearray(payload))
-    out.close()
     return seq
 
 
@@ -111,3 +118,29 @@ def status(heads: DataFrame, base: DataFrame) -> DataFrame:
         .when(F.col("base_seq") < F.col("head_seq"), F.concat(F.lit("behind "), (F.col("head_seq") - F.col("base_seq")).cast("string"))).otherwise("diverged")
     )
     return j.select("space_id", "base_seq", "head_seq", verdict.alias("verdict"))
+
+
+def by_seq(revisions: DataFrame, space: str | int, seq: int) -> DataFrame:
+    """The one revision of a space with that seq; two of them are an error."""
+    out = revisions.filter((F.col("space_id") == space) & (F.col("seq") == seq))
+    if out.limit(2).count() > 1:
+        raise ValueError(f"{space}: seq {seq} isn't unique")
+    return out
+
+
+def catch_up(pull, commit, attempts: int = MOST_ATTEMPTS):
+    """What a start does: pull, then commit; a lost race pulls again."""
+    for _ in range(attempts):
+        pull()
+        out = commit()
+        if out is not None:
+            return out
+    raise RuntimeError(f"{attempts} attempts lost the race")
+
+
+def staging_report(pages: DataFrame, lists: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One row: distinct pages, block lists and blocks that a commit uploads."""
+    one = lambda df, kind: df.select("cid", F.lit(kind).alias("kind"))
+    every = one(pages, "pages").unionByName(one(lists, "blocklists")).unionByName(one(blocks, "blocks")).distinct()
+    n = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
+    return every.agg(n("pages"), n("blocklists"), n("blocks"))

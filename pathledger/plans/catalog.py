@@ -86,7 +86,7 @@ def manifest_leaves(spark, sf):
     f"""WITH leaf AS ({LEAF_SQL}),
 i1 AS (SELECT page // 256 AS page, min(first) AS first, count(*) AS n, sha256(string_agg(first || chr(31) || page_cid, '|' ORDER BY page)) AS page_cid FROM leaf GROUP BY page // 256),
 i2 AS (SELECT sha256(string_agg(first || chr(31) || page_cid, '|' ORDER BY page)) AS page_cid FROM i1)
-SELECT CASE WHEN (SELECT count(*) FROM leaf) = 1 THEN (SELECT page_cid FROM leaf) WHEN (SELECT count(*) FROM i1) = 1 THEN (SELECT page_cid FROM i1) ELSE (SELECT page_cid FROM i2) END AS root,
+SELECT CASE WHEN (SELECT count(*) FROM leaf) = 1 THEN (SELECT max(page_cid) FROM leaf) WHEN (SELECT count(*) FROM i1) = 1 THEN (SELECT max(page_cid) FROM i1) ELSE (SELECT page_cid FROM i2) END AS root,
 CASE WHEN (SELECT count(*) FROM leaf) = 1 THEN 1 WHEN (SELECT count(*) FROM i1) = 1 THEN 2 ELSE 3 END AS levels,
 (SELECT count(*) FROM leaf) + CASE WHEN (SELECT count(*) FROM leaf) = 1 THEN 0 ELSE (SELECT count(*) FROM i1) END + CASE WHEN (SELECT count(*) FROM i1) = 1 THEN 0 ELSE 1 END AS pages""",
 )
@@ -288,9 +288,11 @@ def commit_debounce(spark, sf):
 ECHO_SQL = "SELECT event_id, user_id AS path, epoch_us(ts) // 86400000000 AS mtime, event_type AS pcid, epoch_us(ts) // 1000 AS ts_ms FROM events"
 
 
-@query("echo_suppression", f"""WITH e AS ({ECHO_SQL}), m AS (SELECT path, mtime, pcid, ts_ms - 1000 AS recorded_ms FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts_ms DESC) AS k FROM e WHERE event_id % 5 = 0) WHERE k = 1),
-u AS (SELECT event_id FROM (SELECT e.event_id, row_number() OVER (PARTITION BY e.path ORDER BY e.ts_ms, e.event_id) AS k FROM e JOIN m ON e.path = m.path AND e.mtime = m.mtime AND e.pcid = m.pcid WHERE e.ts_ms >= m.recorded_ms AND e.ts_ms - m.recorded_ms <= 300000) WHERE k = 1)
-SELECT * FROM e WHERE event_id NOT IN (SELECT event_id FROM u)""")
+@query("echo_suppression", f"""WITH e AS ({ECHO_SQL}), m AS (SELECT path, recorded_ms, max({{'recorded_ms': recorded_ms, 'mtime': mtime, 'pcid': pcid}}) AS m FROM (SELECT path, mtime, pcid, ts_ms - 1000 AS recorded_ms FROM e WHERE event_id % 5 = 0) GROUP BY 1, 2),
+u AS (SELECT path, ts_ms AS moment, 1 AS kind, event_id, mtime, pcid, NULL AS m FROM e UNION ALL SELECT path, recorded_ms, 0, NULL, NULL, NULL, m FROM m),
+t AS (SELECT *, last_value(m IGNORE NULLS) OVER (PARTITION BY path ORDER BY moment, kind, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cur FROM u),
+h AS (SELECT *, coalesce(mtime = cur.mtime AND pcid = cur.pcid AND moment - cur.recorded_ms < 300000, FALSE) AS hit FROM t WHERE kind = 1)
+SELECT event_id, path, mtime, pcid, moment AS ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY path, cur, hit ORDER BY moment, event_id) AS nth FROM h) WHERE NOT hit OR nth > 1""")
 def echo_suppression(spark, sf):
     us = F.col("us")
     e = micros(spark, sf).select("event_id", F.col("user_id").alias("path"), F.floor(us / F.lit(86400000000)).alias("mtime"), F.col("event_type").alias("pcid"), F.expr("us div 1000").alias("ts_ms"))
@@ -348,9 +350,9 @@ def derived_filter(spark, sf):
     return table(spark, sf, "documents").select("doc_id", paths.classify(p, F.col("doc_id") % 3 == 0, F.col("doc_id") % 5 == 0).cast("int").alias("t"))
 
 
-@query("casefold_collisions", "SELECT lower(p) AS key, count(*) AS n, min(p) AS first_p, max(p) AS last_p FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END || '/' || CAST(doc_id // 3 AS VARCHAR) AS p FROM documents) GROUP BY 1 HAVING min(p) <> max(p)")
+@query("casefold_collisions", "SELECT lower(p) AS key, count(*) AS n, min(p) AS first_p, max(p) AS last_p FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'DIR' ELSE 'dir' END || '/' || CAST(doc_id // 3 AS VARCHAR) AS p FROM documents) GROUP BY 1 HAVING min(p) <> max(p)")
 def casefold_collisions(spark, sf):
-    p = F.concat(F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.col("source")), F.lit("/"), F.expr("doc_id div 3").cast("string"))
+    p = F.concat(F.when(F.col("doc_id") % 2 == 0, "DIR").otherwise("dir"), F.lit("/"), F.expr("doc_id div 3").cast("string"))
     return snapshot.casefold_collisions(table(spark, sf, "documents").select(p.alias("p"), paths.casefold_key(p).alias("key")))
 
 
@@ -410,9 +412,10 @@ def humanized_age(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", paths.humanize_seconds(F.col("o_orderkey") * F.col("o_orderkey")).alias("age"))
 
 
-@query("object_keys", "SELECT p_partkey, 'blocks/' || substr(h, 1, 2) || '/' || h AS key, TRUE AS valid FROM (SELECT p_partkey, sha256(p_name) AS h FROM part)")
+@query("object_keys", "SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN '/' WHEN 2 THEN '../' ELSE '' END || 'blocks/' || CASE WHEN p_partkey % 5 = 3 THEN 'zz' ELSE substr(h, 1, 2) END || '/' || h AS key, p_partkey % 5 IN (0, 4) AS valid FROM (SELECT p_partkey, sha256(p_name) AS h FROM part)")
 def object_keys(spark, sf):
-    key = paths.object_key("blocks", F.sha2("p_name", 256))
+    k, good = F.col("p_partkey") % 5, paths.object_key("blocks", F.sha2("p_name", 256))
+    key = F.when(k == 1, F.concat(F.lit("/"), good)).when(k == 2, F.concat(F.lit("../"), good)).when(k == 3, F.regexp_replace(good, "^blocks/..", "blocks/zz")).otherwise(good)
     return table(spark, sf, "part").select("p_partkey", key.alias("key"), (paths.valid_object_key(key) & paths.parse_object_key(key).isNotNull()).alias("valid"))
 
 
@@ -425,21 +428,26 @@ def cdc_chunks(spark, sf):
     return c.groupBy("doc_id").agg(F.sum("len").alias("total"), (F.max("pos") + 1 == F.count("*")).alias("dense"))
 
 
-@query("reassemble_verify", "SELECT doc_id, sha256(text) AS pcid, TRUE AS ok FROM documents WHERE octet_length(encode(text)) > 0")
+@query("reassemble_verify", "SELECT doc_id, sha256(text || CASE WHEN doc_id % 10 = 3 THEN '!' ELSE '' END) AS pcid, doc_id % 10 NOT IN (3, 4) AS ok FROM documents WHERE octet_length(encode(text)) > 0")
 def reassemble_verify(spark, sf):
     d = table(spark, sf, "documents")
     c = cdc.chunk(d, "text", ["doc_id"], SECRET, CHUNKS)
     cut = c.join(d.select("doc_id", F.col("text").cast("binary").alias("b")), "doc_id").select("doc_id", "pos", "cid", F.expr("substring(b, cast(offset + 1 as int), cast(len as int))").alias("bytes"))
-    whole = blocks.reassemble(cut.select("doc_id", "pos", "cid"), cut.select("cid", "bytes"), "doc_id")
-    want = d.select("doc_id", F.sha2("text", 256).alias("pcid"), F.octet_length("text").cast("bigint").alias("sz"))
+    pieces = cut.select("doc_id", "pos", F.when((F.col("doc_id") % 10 == 4) & (F.col("pos") == 0), F.lit("lost")).otherwise(F.col("cid")).alias("cid"))
+    whole = blocks.reassemble(pieces, cut.select("cid", "bytes"), "doc_id")
+    named = F.concat("text", F.when(F.col("doc_id") % 10 == 3, "!").otherwise(""))
+    want = d.select("doc_id", F.sha2(named, 256).alias("pcid"), F.octet_length("text").cast("bigint").alias("sz"))
     return blocks.verified(whole, want, "doc_id").select("doc_id", "pcid", "ok")
 
 
-@query("merge3_lines", "SELECT doc_id, 'clean' AS status, sha256('head' || chr(10) || text || chr(10) || 'tail' || chr(10)) AS merged FROM documents WHERE octet_length(encode(text)) > 0")
+@query("merge3_lines", """SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'conflict' WHEN doc_id % 4 = 2 THEN 'binary' ELSE 'clean' END AS status,
+CASE WHEN doc_id % 4 IN (0, 3) THEN sha256('head' || chr(10) || text || chr(10) || 'tail' || chr(10)) END AS merged FROM documents WHERE octet_length(encode(text)) > 0""")
 def merge3_lines(spark, sf):
     d = table(spark, sf, "documents").filter("octet_length(text) > 0")
     base = F.concat("text", F.lit("\n"))
-    m = d.select("doc_id", merge3_udf(base.cast("binary"), F.concat(F.lit("head\n"), base).cast("binary"), F.concat(base, F.lit("tail\n")).cast("binary")).alias("m"))
+    k = F.col("doc_id") % 4  # 1: both sides write another first line; 2: one side is binary
+    right = F.when(k == 1, F.concat(F.lit("other\n"), base)).when(k == 2, F.concat(F.lit("\0"), base)).otherwise(F.concat(base, F.lit("tail\n")))
+    m = d.select("doc_id", merge3_udf(base.cast("binary"), F.concat(F.lit("head\n"), base).cast("binary"), right.cast("binary")).alias("m"))
     return m.select("doc_id", "m.status", F.sha2("m.content", 256).alias("merged"))
 
 

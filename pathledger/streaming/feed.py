@@ -60,14 +60,21 @@ def debounce_stream(events: DataFrame, keys: list[str], ts: str, gap: str = "300
 
 
 def suppress_echo(events: DataFrame, marks: DataFrame, ttl_ms: int = ECHO_TTL_MS) -> DataFrame:
-    """Events without those that a mark explains: same path, mtime and content, within the TTL. A mark works once.
+    """Events without those that a mark explains: same path, mtime and content, younger than the TTL. A mark works once.
 
-    events: event_id, path, mtime, pcid, ts_ms. marks: path, mtime, pcid, recorded_ms; the latest mark of a path holds.
+    events: event_id, path, mtime, pcid, ts_ms. marks: path, mtime, pcid, recorded_ms. The mark that an event meets is
+    the last one of its path recorded before it or at the same time (of marks at one time the greatest). The first event that
+    matches its mark consumes it; others leave it as it is.
     """
-    latest = marks.groupBy("path").agg(F.max_by(F.struct("mtime", "pcid", "recorded_ms"), "recorded_ms").alias("m")).select("path", "m.*")
-    hit = events.join(latest, ["path", "mtime", "pcid"]).filter((F.col("ts_ms") >= F.col("recorded_ms")) & (F.col("ts_ms") - F.col("recorded_ms") <= ttl_ms))
-    used = hit.groupBy("path").agg(F.min_by("event_id", F.struct("ts_ms", "event_id")).alias("event_id"))
-    return events.join(used.select("event_id"), "event_id", "left_anti")
+    stamp = F.struct("recorded_ms", "mtime", "pcid")
+    tagged = events.select("path", F.col("ts_ms").alias("at"), F.lit(None).cast(marks.select(stamp.alias("m")).schema["m"].dataType).alias("m"), F.struct(*events.columns).alias("e"))
+    one = marks.groupBy("path", F.col("recorded_ms").alias("at")).agg(F.max(stamp).alias("m")).withColumn("e", F.lit(None).cast(tagged.schema["e"].dataType))
+    w = W.partitionBy("path").orderBy("at", F.col("e").isNotNull(), "e.event_id")
+    met = tagged.unionByName(one).withColumn("m", F.last("m", ignorenulls=True).over(w)).filter("e is not null")
+    hit = (F.col("e.mtime") == F.col("m.mtime")) & (F.col("e.pcid") == F.col("m.pcid")) & (F.col("at") - F.col("m.recorded_ms") < ttl_ms)
+    hit = F.coalesce(hit, F.lit(False))
+    nth = F.row_number().over(W.partitionBy("path", "m", hit).orderBy("at", "e.event_id"))
+    return met.withColumns({"hit": hit, "nth": nth}).filter("not hit or nth > 1").select("e.*")
 
 
 def user_changes(events: DataFrame, index: DataFrame, control: str = ".pathledger") -> DataFrame:
@@ -165,7 +172,7 @@ class EchoProcessor(StatefulProcessor):
                     self.mark.update((int(r.mtime), r.pcid, int(r.ts_ms)))
                     continue
                 m = self.mark.get() if self.mark.exists() else None
-                if m and r.ts_ms - m[2] > self.ttl:
+                if m and r.ts_ms - m[2] >= self.ttl:
                     self.mark.clear()
                     m = None
                 if m and m[0] == r.mtime and m[1] == r.pcid:

@@ -127,8 +127,6 @@ def test_resolve_matrix(spark):
     mk = lambda s: snapshot.from_content(spark.createDataFrame(rows[s], "p string, c string"), F.col("p"), F.col("c"))
     got = {r.key: r.verdict for r in reconcile.resolve(reconcile.three_way(mk("b"), mk("l"), mk("r"))).collect()}
     assert got == want
-    slots = reconcile.free_slot(spark.createDataFrame([("n",)], "name string"), spark.createDataFrame([("n",), ("n~1",)], "name string"))
-    assert slots.first().slot == 2
 
 
 def test_gc_guards_and_cas(spark, tmp_path):
