@@ -157,14 +157,13 @@ def fingerprint_with_edit(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     narrow = cut_lineage(base.select("doc_id", F.octet_length("text").alias("n")))
-    bin_of = id_bins(narrow, "doc_id")
-    weights = {r.b: r.w for r in narrow.groupBy(bin_of.alias("b")).agg(F.sum(F.col("n") + 64).alias("w")).collect()}  # at most 4097 rows
+    add_bin, weights = id_bins(narrow, "doc_id", F.col("n") + 64)
     shards = max(1, 2 * partitions(spark))
     cut = balanced_cuts(weights, shards) or {0: 0}
     cuts = F.broadcast(spark.createDataFrame(list(cut.items()), "bin int, shard int"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    dealt = base.withColumns({"bin": bin_of, "key": key}).join(cuts, "bin").select("shard", "key", "doc_id", "text")
-    low = narrow.withColumns({"bin": bin_of, "key": key}).join(cuts, "bin").groupBy("shard").agg(F.min("key").alias("key"))
+    dealt = add_bin(base).withColumn("key", key).join(cuts, "bin").select("shard", "key", "doc_id", "text")
+    low = add_bin(narrow).withColumn("key", key).join(cuts, "bin").groupBy("shard").agg(F.min("key").alias("key"))
     used = sorted(r.shard for r in low.collect())  # a row a shard
     before = spark.createDataFrame([(s, used[i - 1]) for i, s in enumerate(used)] or [(0, 0)], "shard int, into int")
     heads = dealt.join(F.broadcast(low), ["shard", "key"]).groupBy("shard").agg(F.min("text").alias("text"))  # a row a shard

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pathledger.llm.common import balanced_cuts, checkpoint_dir, cut_lineage, id_bins, partitions
 
 ROLL_BYTES = 64 << 20
+#: Payload of a shard, which one task writes; there are at least as many shards as shuffle partitions.
+SHARD_BYTES = 256 << 20
 # Fixed value: the date in every record, so that equal input gives equal bytes.
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "file string, shard int, sequence int, records bigint, bytes bigint, sha256 string"
@@ -118,7 +120,7 @@ def write_warc(pages: DataFrame, folder: str, *, shards: int | None = None, roll
     """Write one record per row (page_id, url, html) below `folder` and return the manifest.
 
     Records lie in page_id order; shards are contiguous ranges of page_id of about equal payload bytes, derived
-    from an exact histogram, so the same input gives the same files byte for byte. Of records with equal payloads
+    from an exact histogram of page_id, so the same input gives the same files byte for byte. Of records with equal payloads
     of at least `least_revisit_bytes`, the one with the largest page_id is the response and the others are
     revisits; among repeated rows of that page_id the first is the response. Null html is an empty payload, a null
     url is named by the page, null page_ids come first. An empty table gives no files and an empty manifest.
@@ -127,12 +129,11 @@ def write_warc(pages: DataFrame, folder: str, *, shards: int | None = None, roll
     is written last and is the commit. Files without a manifest line don't belong to the archive.
     """
     spark = pages.sparkSession
-    shards = shards or partitions(spark)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     sha = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
     narrow = cut_lineage(rows.select("page_id", sha.alias("sha"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size")))
-    bin_of = id_bins(narrow, "page_id")
-    weights = {r.b: r.w for r in narrow.groupBy(bin_of.alias("b")).agg(F.sum(F.col("size") + 300).alias("w")).collect()}  # at most 4097 rows
+    add_bin, weights = id_bins(narrow, "page_id", F.col("size") + 300)
+    shards = shards or max(partitions(spark), -(-sum(weights.values()) // SHARD_BYTES))
     cuts = spark.createDataFrame(list(balanced_cuts(weights, shards).items()) or [(0, 0)], "bin int, shard int")
     same = narrow.groupBy("sha").agg(F.max("page_id").alias("ref"), F.count("*").alias("n"), F.max("size").alias("size")).filter((F.col("n") > 1) & (F.col("size") >= least_revisit_bytes)).select("sha", "ref")
     marks = narrow.select("page_id", "sha").join(same, "sha").filter("ref is not null")
@@ -140,7 +141,7 @@ def write_warc(pages: DataFrame, folder: str, *, shards: int | None = None, roll
     both = rows.select("page_id", F.lit(1).alias("kind"), "url", "html", sha.alias("sha"), F.lit(None).cast("bigint").alias("ref")).unionByName(
         marks.select("page_id", F.lit(0).alias("kind"), none.alias("url"), none.alias("html"), "sha", "ref")
     )
-    dealt = both.withColumn("bin", bin_of).join(F.broadcast(cuts), "bin").select("shard", "page_id", "kind", "url", "html", "sha", "ref")
+    dealt = add_bin(both).join(F.broadcast(cuts), "bin").select("shard", "page_id", "kind", "url", "html", "sha", "ref")
     ranged = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "sha", "url")
     manifest = cut_lineage(ranged.mapInArrow(_writer(folder, roll_bytes), MANIFEST))
     commit(spark, folder, manifest)
@@ -155,6 +156,9 @@ def commit(spark: SparkSession, folder: str, manifest: DataFrame) -> None:
         for line in manifest.orderBy("shard", "sequence").toJSON().toLocalIterator():
             out.write(line.encode() + b"\n")
     fs.move(f"{path}/_temp-manifest", f"{path}/_MANIFEST.json")
+    for left in fs.get_file_info(pafs.FileSelector(path)):  # of attempts that failed
+        if left.base_name.startswith("_temp-"):
+            fs.delete_file(left.path)
 
 
 def members(stream) -> Iterator[bytes]:

@@ -58,6 +58,32 @@ def test_sharding(docs, empty):
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
+def test_bins_of_wide_and_clustered_ids(spark):
+    from pathledger.llm.common import id_bins
+
+    ids = [-9 * 10**18, 9 * 10**18, *range(3000), *([77] * 400)]
+    d = spark.createDataFrame([(i,) for i in ids] + [(None,)], "k bigint").withColumn("w", F.lit(1))
+    add, weights = id_bins(d, "k", F.col("w"), bins=50)
+    rows = [(r.k, r.bin) for r in add(d).collect()]
+    got = collections.Counter(b for _, b in rows)
+    assert dict(got) == {b: w for b, w in weights.items() if w}
+    assert all(w <= len(ids) // 50 + 1 for b, w in got.items() if b != dict(rows)[77])
+    order = [b for k, b in sorted(r for r in rows if r[0] is not None)]
+    assert order == sorted(order) and dict(rows)[None] == -1
+
+
+def test_sharding_of_wide_and_repeated_ids(spark):
+    rows = [(-9 * 10**18, "a"), (9 * 10**18, "b"), (None, "n"), *((5, "same") for _ in range(300)), *((5, f"t{i}") for i in range(200)), *((i, "x" * (i % 7)) for i in range(400))]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 4, bins=20).collect()
+    assert len(got) == len(rows)
+    total = sum(r.size for r in got)
+    for s in range(4):
+        mine = [r for r in got if r.shard == s]
+        assert abs(sum(r.size for r in mine) - total / 4) <= 8 and sorted(r.slot for r in mine) == list(range(len(mine)))
+    order = [r.shard for r in sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.shard))]
+    assert order == sorted(order)
+
+
 def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
