@@ -1,4 +1,4 @@
-"""Stupid-backoff scores: bigram count tables partitioned by hash, joined to exploded n-grams, summed per document."""
+"""Stupid-backoff scores: n-gram count tables partitioned by hash, joined to exploded n-grams, summed per document."""
 
 from __future__ import annotations
 
@@ -11,35 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathledger.llm import textcore as tc
-from pathledger.llm.common import cut_lineage, partitions
+from pathledger.llm.common import partitions
 
+ORDER = 3
 BACKOFF = 0.4
-LEAST_COUNT = 2
 MESSAGE_WORDS = 1_000_000
 BUCKET_WORDS = 4_000_000
-#: Stand-ins for hashes of words: the symbol before a text's first word, and words outside a given vocabulary.
-START, UNKNOWN = tc.U(0x5354415254), tc.U(0x554E4B)
-ROW = "message bigint, kind int, bucket int, keys binary, counts binary, ids binary, nulls binary, n_words binary, pairs binary, docs binary, tf binary, left binary, right binary"
-TEXT, WORD, PAIR = -1, 0, 1
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(tc.signed(h)), pa.array(n)], ["h", "n"])
-
-    for batch in batches:
-        for _, data, offs in tc.chunks(batch.column(0)):
-            held.append(tc.words(data, offs)[0])
-            size += len(held[-1])
-            if size > 2 * MESSAGE_WORDS:
-                yield flush()
-                size = 0
-    yield flush()
+#: Stand-in for the hash of the symbol before a text's first word.
+START = tc.U(0x5354415254)
+ROW = "message bigint, n int, bucket int, keys binary, counts binary, ids binary, nulls binary, n_words binary, words binary, places binary"
+#: In column n: the row tells what a message's documents are; else it is the order of the n-grams in the row.
+TEXT = 0
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,108 +50,127 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in fields], [n for n, _ in fields])
 
 
-def _explode(known: np.ndarray | None, buckets: int, least: int):
-    """Messages of whole texts: the distinct words and bigrams with their counts, dealt by ranges of their hashes, and
-    one row (TEXT) that says how the texts are made of them. known: sorted hashes of a closed vocabulary."""
-
-    def deal(message: int, kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[dict]:
-        bucket = ((keys >> tc.U(32)) * tc.U(buckets) >> tc.U(32)).astype(np.int64)  # ascends with the keys
-        at = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(at)):
-            own = slice(at[b], at[b + 1])
-            yield {"message": message, "kind": kind, "bucket": int(b), "keys": _pack(keys[own]), "counts": _pack(counts[own].astype(np.uint64))}
-
-    def message(ids: list, words: list, docs: list) -> Iterator[pa.RecordBatch]:
-        w, doc = np.concatenate(words), np.concatenate(docs).astype(np.uint32)
-        word, where, count = np.unique(w, return_inverse=True, return_counts=True)
-        first = np.ones(len(w), bool)
-        first[1:] = doc[1:] != doc[:-1]
-        before = np.concatenate([[START], w[:-1]])
-        before[first] = START
-        left = np.concatenate([[0], where[:-1] + 1])
-        left[first] = 0  # 0 is the start, k + 1 the k-th word
-        gram = tc.mix(before * tc.GRAM[0] + w * tc.GRAM[1])
-        order = np.argsort(gram, kind="stable")  # documents ascend within each bigram
-        gram, doc = gram[order], doc[order]
-        new = np.ones(len(gram), bool)
-        new[1:] = gram[1:] != gram[:-1]
-        use = new.copy()
-        use[1:] |= doc[1:] != doc[:-1]
-        heads, uses = np.flatnonzero(new), np.flatnonzero(use)
-        tf = np.diff(uses, append=len(gram)).astype(np.uint32)
-        pairs = np.diff(np.searchsorted(uses, heads), append=len(uses)).astype(np.uint32)
-        texts = np.bincount(np.concatenate(docs), minlength=len(ids)).astype(np.uint32)
-        row = {
-            "kind": TEXT, "ids": np.array([x if x is not None else 0 for x in ids], np.int64).tobytes(), "nulls": np.array([x is None for x in ids]).tobytes(), "n_words": _pack(texts),
-            "pairs": _pack(pairs), "docs": _pack(doc[uses]), "tf": _pack(tf), "left": _pack(left[order[heads]].astype(np.uint32)),
-        }
-        if least > 1:
-            row["right"] = _pack(where[order[heads]].astype(np.uint32))
-        digest = hashlib.blake2b(gram.tobytes(), digest_size=8)
-        for k in ("ids", "nulls", "docs", "tf"):
-            digest.update(row[k])
+def ngrams(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n-gram that ends with each word; before a text's first word stand start symbols."""
+    out, past = words * tc.GRAM[0], np.zeros(len(words), np.int64)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(words)), 0))
+    place = np.arange(len(words))
+    for k in range(1, n):
+        past = place - k
+        out = out + np.where(past >= start, words[np.maximum(past, 0)], START) * tc.GRAM[k]
+    return tc.mix(out + tc.U(n))
+
+
+def _firsts(n_words: np.ndarray) -> np.ndarray:
+    first = np.zeros(int(n_words.sum()), bool)
+    full = n_words[n_words > 0].astype(np.int64)
+    first[np.cumsum(full) - full] = True
+    return first
+
+
+def _explode(order: int, buckets: int, texts: bool):
+    """Messages of whole texts. Either the row that holds their words, in order, or their distinct n-grams with counts,
+    dealt by ranges of the hash. Both runs cut the same messages and give them the same name."""
+
+    def message(ids: list[pa.Array], words: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        w, n_words = np.concatenate(words), np.concatenate(counts).astype(np.uint32)
+        known = pa.concat_arrays(ids)
+        number, null = known.fill_null(0).to_numpy(), known.is_null().to_numpy(zero_copy_only=False)
+        digest = hashlib.blake2b(w.tobytes(), digest_size=8)
+        for a in (n_words, number, null):
+            digest.update(a.tobytes())
         own = int.from_bytes(digest.digest(), "little", signed=True)
-        yield _rows([row | {"message": own, "bucket": own % buckets}])
-        kinds = ((WORD, word, count), (PAIR, gram[heads], np.diff(heads, append=len(gram))))
-        yield _rows([r for k, keys, counts in kinds for r in deal(own, k, keys, counts)])
+        if texts:
+            word, place = np.unique(w, return_inverse=True)
+            yield _rows([{"message": own, "n": TEXT, "ids": number.tobytes(), "nulls": null.tobytes(), "n_words": _pack(n_words), "words": word.tobytes(), "places": _pack(place.astype(np.uint32))}])
+            return
+        first = _firsts(n_words)
+        for n in range(1, order + 1):
+            key, count = np.unique(ngrams(w, first, n), return_counts=True)
+            bucket = ((key >> tc.U(32)) * tc.U(buckets) >> tc.U(32)).astype(np.int64)  # ascends with the keys
+            at = np.searchsorted(bucket, np.arange(buckets + 1))
+            rows = []
+            for b in np.flatnonzero(np.diff(at)):
+                mine = slice(at[b], at[b + 1])
+                rows.append({"message": own, "n": n, "bucket": int(b), "keys": _pack(np.diff(key[mine], prepend=tc.U(0))), "counts": _pack(count[mine].astype(np.uint32))})
+            yield _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words, docs, size = [], [], [], 0
+        ids, words, counts, size = [], [], [], 0
         for batch in batches:
-            column = batch.column(0).to_pylist()
             for lo, data, offs in tc.chunks(batch.column(1)):
                 h, doc, _, _ = tc.words(data, offs)
-                if known is not None:
-                    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                    h = np.where(known[at] == h, h, UNKNOWN) if len(known) else np.full(len(h), UNKNOWN)
+                ids.append(batch.column(0).slice(lo, len(offs) - 1))
                 words.append(h)
-                docs.append(doc + len(ids))
-                ids += column[lo : lo + len(offs) - 1]
+                counts.append(np.bincount(doc, minlength=len(offs) - 1))
                 size += len(h)
                 if size > MESSAGE_WORDS:
-                    yield from message(ids, words, docs)
-                    ids, words, docs, size = [], [], [], 0
+                    yield from message(ids, words, counts)
+                    ids, words, counts, size = [], [], [], 0
         if size:
-            yield from message(ids, words, docs)
+            yield from message(ids, words, counts)
 
     return run
 
 
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of messages -> counts of the corpus, in the same order; rows of texts pass. A range of hashes is whole here."""
+    """A bucket of the count tables: sums the messages' counts and answers each with the corpus's, in the same order."""
     parts: list[tuple] = []
     for batch in batches:
-        texts = np.array(batch.column(1)) == TEXT
-        yield batch.filter(pa.array(texts))
-        parts += list(zip(*(batch.filter(pa.array(~texts)).column(i).to_pylist() for i in range(5))))
-    for kind in (WORD, PAIR):
-        mine = [p for p in parts if p[1] == kind]
-        if not mine:
-            continue
-        keys = [_unpack(p[3], np.uint64) for p in mine]
-        gram, where = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.zeros(len(gram), np.uint64)
-        np.add.at(count, where, np.concatenate([_unpack(p[4], np.uint64) for p in mine]))
+        parts += list(zip(*(batch.column(i).to_pylist() for i in range(5))))
+    for n in sorted({p[1] for p in parts}):
+        mine = [p for p in parts if p[1] == n]
+        keys = [np.cumsum(_unpack(p[3], np.uint64), dtype=np.uint64) for p in mine]
+        every = np.concatenate(keys)
+        order = np.argsort(every)
+        new = np.diff(every[order], prepend=~every[order[:1]]) != 0
+        group = np.cumsum(new) - 1
+        count = np.bincount(group, weights=np.concatenate([_unpack(p[4], np.uint32) for p in mine])[order].astype(np.float64))  # exact up to 2**53
+        total = np.empty(len(every), np.uint64)
+        total[order] = count.astype(np.uint64)[group]
         at = 0
         for p, k in zip(mine, keys):
-            yield _rows([{"message": p[0], "kind": kind, "bucket": p[2], "counts": _pack(count[where[at : at + len(k)]])}])
+            yield _rows([{"message": p[0], "n": n, "bucket": p[2], "counts": _pack(total[at : at + len(k)])}])
             at += len(k)
 
 
-def _score(total: int, full: int, backoff: float, least: int):
+def _score(order: int, total: int, full: int, backoff: float, leave_out: bool):
     """Sorted rows of messages -> one row per document of each message."""
 
-    def done(texts: list[dict], counts: dict) -> pa.RecordBatch:
+    def done(texts: list[dict], counts: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
         t = texts[0]  # further ones are equal messages: the same rows of the table once more
-        word, gram = (np.concatenate([c for (k, _), c in counts.items() if k == kind]).astype(np.float64) for kind in (WORD, PAIR))
-        value = np.log(gram) - np.log(np.concatenate([[full], word]))[_unpack(t["left"], np.uint32)]
-        seen = gram >= least
-        if least > 1:
-            value = np.where(seen, value, np.log(backoff * word[_unpack(t["right"], np.uint32)] / total))
-        pairs, docs, tf = (_unpack(t[k], np.uint32) for k in ("pairs", "docs", "tf"))
-        ids, null, n = np.frombuffer(t["ids"], np.int64), np.frombuffer(t["nulls"], bool), _unpack(t["n_words"], np.uint32)
-        sums = [np.bincount(docs, weights=np.repeat(x, pairs) * tf, minlength=len(ids)) * len(texts) for x in (value, ~seen)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(sums[0]), pa.array(n.astype(np.int64) * len(texts)), pa.array(sums[1].astype(np.int64))], ["doc_id", "log_score", "n_words", "backoffs"])
+        n_words = _unpack(t["n_words"], np.uint32).astype(np.int64)
+        w, first = np.frombuffer(t["words"], np.uint64)[_unpack(t["places"], np.uint32)], _firsts(n_words)
+        doc = np.repeat(np.arange(len(n_words)), n_words)
+        ctx, ctx_own = np.full(len(w), float(total)), n_words[doc].astype(np.float64)
+        value, level = np.zeros(len(w)), np.zeros(len(w), np.int64)
+        for n in range(1, order + 1):
+            gram = ngrams(w, first, n)
+            by = np.argsort(gram, kind="stable")  # documents ascend within each
+            new = np.diff(gram[by], prepend=~gram[by[:1]]) != 0
+            group = np.cumsum(new) - 1
+            have, own = np.empty(len(w)), np.zeros(len(w))
+            have[by] = np.concatenate(counts[n]).astype(np.float64)[group]
+            if leave_out:
+                use = new.copy()
+                use[1:] |= np.diff(doc[by]) != 0
+                at = np.flatnonzero(use)
+                own[by] = np.repeat(np.diff(at, append=len(by)), np.diff(at, append=len(by)))
+            else:
+                ctx_own = np.zeros(len(w))
+            rest = have - own
+            seen = rest > 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                here = np.log(np.maximum(rest, 1.0) if n == 1 else rest) - np.log(np.maximum(ctx - ctx_own, 1.0))
+            use = seen if n > 1 else np.ones(len(w), bool)
+            value, level = np.where(use, here, value), np.where(use, n, level)
+            # what precedes the next word: this order's n-gram of the word before; the start symbols at a text's begin
+            ctx, ctx_own = np.roll(have, 1), np.roll(own, 1)
+            ctx[first], ctx_own[first] = full, 1
+        value += (order - level) * np.log(backoff)
+        sums = [np.bincount(doc, weights=x, minlength=len(n_words)) * len(texts) for x in (value, level < order)]
+        ids, null = np.frombuffer(t["ids"], np.int64), np.frombuffer(t["nulls"], bool)
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(sums[0]), pa.array(n_words * len(texts)), pa.array(sums[1].astype(np.int64))], ["doc_id", "log_score", "n_words", "backoffs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, texts, counts = None, [], {}
@@ -177,71 +178,44 @@ def _score(total: int, full: int, backoff: float, least: int):
             for i in range(batch.num_rows):
                 r = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
                 if r["message"] != now and texts:
-                    yield done(texts, counts)
+                    yield done(texts, {n: list(c.values()) for n, c in counts.items()})
                     texts, counts = [], {}
                 now = r["message"]
-                if r["kind"] == TEXT:
+                if r["n"] == TEXT:
                     texts.append(r)
                 else:
-                    counts[r["kind"], r["bucket"]] = _unpack(r["counts"], np.uint64)
+                    counts.setdefault(r["n"], {})[r["bucket"]] = _unpack(r["counts"], np.uint64)
         if texts:
-            yield done(texts, counts)
+            yield done(texts, {n: list(c.values()) for n, c in counts.items()})
 
     return run
 
 
-def most_frequent(counts: DataFrame, n: int):
-    """The n words (h, n) of highest frequency class, ties by hash: about n rows reach the driver, whatever the tasks.
+def stupid_backoff(docs: DataFrame, *, order: int = ORDER, backoff: float = BACKOFF, leave_out: bool = True) -> DataFrame:
+    """doc_id, n_words, log_score, backoffs, mean_score: one row per doc_id.
 
-    A class is a count up to 1,024 and a 64th of a doubling above, so a histogram of some thousand rows finds the
-    last class, and one of 4,096 hash ranges how much of that is needed.
-    """
-    kind = F.when(F.col("n") <= 1024, F.col("n")).otherwise(1024 + F.floor(F.log2(F.col("n") / 1024) * 64)).cast("bigint")
-    classed = counts.withColumn("class", kind)
-    left, last = n, None
-    for r in sorted(classed.groupBy("class").count().collect(), key=lambda r: -r["class"]):
-        last = r["class"]
-        if r["count"] >= left:
-            break
-        left -= r["count"]
-    else:
-        return counts.toPandas().sort_values(["n", "h"], ascending=[False, True]).reset_index(drop=True)  # fewer than n words
-    part = F.shiftright("h", 52)
-    edge, got = 0, 0
-    for r in sorted(classed.filter(F.col("class") == last).groupBy(part.alias("p")).count().collect(), key=lambda r: r["p"]):
-        edge, got = r["p"], got + r["count"]
-        if got >= left:
-            break
-    top = classed.filter((F.col("class") > last) | ((F.col("class") == last) & (part <= edge))).toPandas()
-    return top.sort_values(["class", "h"], ascending=[False, True]).head(n).reset_index(drop=True)
-
-
-def stupid_backoff(docs: DataFrame, *, vocabulary: int | None = None, backoff: float = BACKOFF, least: int = LEAST_COUNT) -> DataFrame:
-    """doc_id, n_words, log_score, backoffs, mean_score: one row per doc_id, scored against all documents' counts.
-
-    Words are split at ASCII white space, A-Z lower-cased; all of them have counts of their own. With a `vocabulary`,
-    words beyond that many most frequent ones (ties by hash) are one unknown word. A bigram seen `least` times or more
-    scores count(u v) / count(u), any other `backoff` * count(v) / words; the first word follows a start symbol.
-    log_score is the sum of natural logarithms, mean_score that over n_words.
-
-    Null, empty and blank texts have n_words 0, log_score 0 and a null mean. Rows that share a doc_id add up. An
-    empty table gives an empty result; further columns are ignored.
-
-    Words and bigrams are 64-bit hashes. A message of whole texts sends each distinct one once, with its count, to its
-    hash range, which answers with the corpus's count; so the commonest bigram weighs no more than a number per
-    message, and no count table reaches the driver.
+    Words are split at ASCII white space, A-Z lower-cased; all of them and all n-grams up to `order` have counts. A
+    word scores count(n-gram) / count(its first n - 1 words) for the longest n-gram that is counted, times `backoff` for each
+    order less than `order`; start symbols precede a text's first word. With `leave_out` a text is scored by all other
+    texts: its own n-grams are taken off the counts (over the whole corpus nothing would ever back off), and a word that no other text has
+    counts as 1. log_score is the sum of natural logarithms, mean_score that over n_words, backoffs the words scored
+    below the full order.
+
+    Null, empty and blank texts have n_words 0, log_score 0 and a null mean. Rows that share a doc_id add up, each one
+    a text of its own. An empty table gives an empty result; further columns are ignored.
+
+    Words and n-grams are 64-bit hashes. A message of whole texts sends each distinct n-gram once, with its count, to its
+    hash range of the count table, which answers with the corpus's count; so the commonest n-gram weighs no more than a
+    number per message, and no count table reaches the driver.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total, full = base.select("text").mapInArrow(_tally, "n bigint, texts bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
-    known = None
-    if vocabulary is not None:
-        counts = cut_lineage(base.select("text").mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
-        known = np.sort(most_frequent(counts, vocabulary).h.to_numpy(np.int64).view(np.uint64))
     buckets = max(partitions(spark), total // BUCKET_WORDS)
-    packed = base.mapInArrow(_explode(known, buckets, least), ROW)
-    counted = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_total, ROW)
-    scored = counted.repartition(partitions(spark), "message").sortWithinPartitions("message", "kind", "bucket").mapInArrow(_score(total, full, backoff, least), "doc_id bigint, log_score double, n_words bigint, backoffs bigint")
+    counted = base.mapInArrow(_explode(order, buckets, False), ROW).repartitionById(buckets, F.col("bucket")).mapInArrow(_total, ROW)
+    texts = base.mapInArrow(_explode(order, buckets, True), ROW)
+    ordered = counted.unionByName(texts).repartition(partitions(spark), "message").sortWithinPartitions("message", "n", "bucket")
+    scored = ordered.mapInArrow(_score(order, total, full, backoff, leave_out), "doc_id bigint, log_score double, n_words bigint, backoffs bigint")
     none = base.select("doc_id", F.lit(0.0).alias("log_score"), F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("backoffs"))
     out = scored.unionByName(none).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("log_score").alias("log_score"), F.sum("backoffs").alias("backoffs"))
     return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

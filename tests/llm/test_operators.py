@@ -313,65 +313,65 @@ def test_decontamination_finds_substitutions_anywhere(spark):
     assert got == {(i, i): n - len(cut) for i, n, cut in cases}
 
 
-def test_stupid_backoff(docs, empty):
-    got = {r.doc_id: r for r in lm_score.stupid_backoff(docs, vocabulary=200).collect()}
-    uni, rows = collections.Counter(), [(i, words(t)) for i, t, _ in DOCS]
-    for _, w in rows:
-        uni.update(w)
-    total = sum(uni.values())
-    from pathledger.llm import textcore as tc
-
-    def h(w):
-        data = np.frombuffer(w.encode(), np.uint8)
-        return int(tc.signed(tc.words(data, np.array([0, len(data)]))[0])[0])
-
-    known = {w for w, _ in sorted(uni.items(), key=lambda x: (-x[1], h(x[0])))[:200]}
-    put = lambda w: w if w in known else None
-    c, bi = collections.Counter(), collections.Counter()
-    for _, w in rows:
-        ids = [put(x) for x in w]
-        c.update(ids)
-        if ids:
-            c["<s>"] += 1
-        bi.update(zip(["<s>", *ids], ids))
-    want = collections.Counter()
-    for i, w in rows:
-        ids = [put(x) for x in w]
-        want[i] += sum(math.log(bi[u, v] / c[u]) if bi[u, v] >= 2 else math.log(0.4 * c[v] / total) for u, v in zip(["<s>", *ids], ids))
-    assert set(got) == {i for i, _, _ in DOCS}
-    for i in got:
-        assert got[i].log_score == pytest.approx(want[i], abs=1e-6), i
-    assert got[17].n_words == 0 and got[17].mean_score is None
-    assert lm_score.stupid_backoff(empty).count() == 0
+def brute_backoff(rows, order, backoff, leave_out):
+    def grams(w):
+        out = collections.Counter()
+        for n in range(1, order + 1):
+            pad = ["<s>"] * (n - 1) + w
+            out.update(tuple(pad[k : k + n]) for k in range(len(w)))
+        for n in range(1, order):
+            out["<s>",] += 0
+            out[("<s>",) * n] += bool(w)
+        return out
+
+    texts = [(i, words(t)) for i, t in rows]
+    every, total = collections.Counter(), sum(len(w) for _, w in texts)
+    for _, w in texts:
+        every.update(grams(w))
+    score, backs, n_words = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, w in texts:
+        own = grams(w) if leave_out else collections.Counter()
+        n_words[i] += len(w)
+        score[i] += 0
+        for k in range(len(w)):
+            for n in range(order, 0, -1):
+                g = tuple((["<s>"] * (n - 1) + w)[k : k + n])
+                c = every[g] - own[g]
+                if n == 1:
+                    rest = total - (len(w) if leave_out else 0)
+                    score[i] += math.log(max(c, 1) / max(rest, 1)) + (order - 1) * math.log(backoff)
+                    backs[i] += order > 1
+                elif c > 0:
+                    score[i] += math.log(c / (every[g[:-1]] - own[g[:-1]])) + (order - n) * math.log(backoff)
+                    backs[i] += n < order
+                    break
+    return score, backs, n_words
 
 
 @pytest.mark.parametrize("message", [lm_score.MESSAGE_WORDS, 500])
-@pytest.mark.parametrize("least", [1, 2])
-def test_stupid_backoff_counts_every_word(spark, docs, least, message, monkeypatch):
+@pytest.mark.parametrize(("order", "leave_out"), [(3, True), (3, False), (2, True), (4, True), (1, False)])
+def test_stupid_backoff(spark, docs, order, leave_out, message, monkeypatch):
     monkeypatch.setattr(lm_score, "MESSAGE_WORDS", message)
-    many = [f"w{k} x{k}" for k in range(40_000)]  # 80,000 words, more than 16-bit ids
-    rows = [*((i, t) for i, t, _ in DOCS), *((1000 + k, " ".join(many[k * 100 : k * 100 + 101])) for k in range(400)), (None, "a b"), (None, "a b")]
-    uni, bi, want = collections.Counter(), collections.Counter(), collections.Counter()
-    for _, t in rows:
-        w = words(t)
-        uni.update(["<s>", *w] if w else [])
-        bi.update(zip(["<s>", *w], w))
-    total = sum(uni.values()) - uni["<s>"]
-    for i, t in rows:
-        w = words(t)
-        want[i] += sum(math.log(bi[p] / uni[p[0]]) if bi[p] >= least else math.log(0.4 * uni[p[1]] / total) for p in zip(["<s>", *w], w))
-    d = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r for r in lm_score.stupid_backoff(d, least=least).collect()}
-    assert set(got) == set(want) and got[None].n_words == 4
+    rows = [*((i, t) for i, t, _ in DOCS), (None, "a b"), (None, "a b"), (40, "a b c"), (41, "the the the")]
+    if order == 3:  # more than 65,536 words
+        rows += [(1000 + k, " ".join(f"w{j} x{j}" for j in range(k * 100, k * 100 + 101))) for k in range(400)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("x") for c in CLASH})
+    got = {r.doc_id: r for r in lm_score.stupid_backoff(d, order=order, leave_out=leave_out).collect()}
+    score, backs, n_words = brute_backoff(rows, order, 0.4, leave_out)
+    assert set(got) == set(n_words)
     for i in got:
-        assert got[i].log_score == pytest.approx(want[i], rel=1e-9, abs=1e-6), i
-        assert least > 1 or got[i].backoffs == 0
-
+        assert got[i].n_words == n_words[i]
+        assert got[i].log_score == pytest.approx(score[i], rel=1e-9, abs=1e-6), i
+        assert got[i].backoffs == backs[i]
+        assert (got[i].mean_score is None) == (n_words[i] == 0)
+    assert leave_out or sum(backs.values()) == 0
 
-def test_lm_query_takes_bigrams_that_occur_once_as_seen(spark):
-    import __spark_entry__
 
-    assert __spark_entry__.queries()["op1_lm_scoring"](spark, "/root/testdata/sf0.001").filter("backoffs > 0").count() == 0
+def test_backoff_of_empty_tables_and_hot_ngrams(spark, empty):
+    assert lm_score.stupid_backoff(empty).count() == 0
+    d = spark.createDataFrame([(i, "of the of the of the") for i in range(300)], "doc_id bigint, text string").repartition(4)
+    rows = lm_score.stupid_backoff(d).collect()
+    assert len(rows) == 300 and len({r.log_score for r in rows}) == 1 and rows[0].backoffs == 0
 
 
 def test_warc_round_trip(spark, tmp_path):
