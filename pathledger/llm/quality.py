@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from pathledger.llm import textcore as tc
 
-#: Bounds of the fit: labelled documents, and bytes of the longest text among them.
+#: Bounds of the fit: labelled documents, bytes of the longest text among them, and lines of them all, whose features
+#: (244 bytes a line) reach the driver.
 FIT_DOCUMENTS = 4000
 FIT_BYTES = 1 << 16
+FIT_LINES = 400_000
 THRESHOLD = 0.7
 BAD, GOOD = 0, 1
 
@@ -76,8 +78,8 @@ def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     last, head = (data[np.maximum(ends - 1, 0)], data[np.minimum(starts, max(len(data) - 1, 0))]) if len(data) else (np.zeros(len(starts), np.uint8),) * 2
     f[:, 17] = np.isin(last, list(b".!?:"))
     f[:, 18] = _classes[1][head]
-    text = np.concatenate([[0], np.cumsum(tc.TABLE[data] * tc.powers(len(data)))]).astype(np.uint64) if len(data) else np.zeros(1, np.uint64)
-    whole = tc.mix((text[ends] - text[starts]) * tc.powers(len(data) + 1, True)[starts] + size.astype(np.uint64))
+    whole = np.zeros(len(starts), np.uint64)
+    whole[size > 0] = tc.words(data, offs, ~_NEWLINE, lower=False)[0]
     dup = np.lexsort((whole, owner))
     same = np.zeros(len(whole), bool)
     same[1:] = (whole[dup][1:] == whole[dup][:-1]) & (owner[dup][1:] == owner[dup][:-1])
@@ -190,13 +192,21 @@ def fit(x: np.ndarray, first: np.ndarray, size: np.ndarray, quality: np.ndarray,
     return crf
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES) -> Crf:
-    """Fit on at most `most` labelled documents of at most `most_bytes` bytes, the first by a hash of doc_id."""
+def train(docs: DataFrame, labels: DataFrame, *, most: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES, most_lines: int = FIT_LINES) -> Crf:
+    """Fit on at most `most` labelled documents of at most `most_bytes` bytes, the first by a hash of doc_id, while they
+    have `most_lines` lines in all. Of several rows of a doc_id the one with the least features is taken; several
+    labels count as the least."""
     names = ["doc_id", "text"]
     one = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     pool = docs.select(*names).filter(F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2))
-    lots = pool.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).select("doc_id").join(one, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    chosen = docs.select(*names).join(F.broadcast(lots), "doc_id")  # at most `most` ids
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("lines")
+    short = pool.filter(F.octet_length(text) <= most_bytes).groupBy("doc_id").agg(F.sum(lines).alias("lines"))
+    lots = short.join(one, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()  # three numbers each
+    kept = [r for r, n in zip(lots, np.cumsum([r.lines for r in lots])) if n <= most_lines]
+    lots = docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in kept], "doc_id bigint, quality int")
+    chosen = docs.select(*names).filter(F.octet_length(text) <= most_bytes).join(F.broadcast(lots), "doc_id")  # at most `most` ids
+    chosen = chosen.select("doc_id", "quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = FIT_DOCUMENTS, most
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), batch.column(1).slice(lo, rows), pa.array(flat, pa.binary()), pa.array(sizes, pa.binary())], ["doc_id", "quality", "x", "size"])
 
     got = chosen.select(F.col("doc_id").cast("bigint"), "quality", F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, quality int, x binary, size binary").toPandas()
-    got = got.sort_values("doc_id").drop_duplicates("doc_id")
+    got = got.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
     if got.empty:
         return Crf(np.zeros(3 * OWN + 1), np.zeros((2, 2)), np.ones(3 * OWN + 1))
     xs = [np.frombuffer(b, np.float32).reshape(-1, 3 * OWN + 1) for b in got.x]

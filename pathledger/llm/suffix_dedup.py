@@ -32,14 +32,18 @@ HOT_RUNS = 4096
 STEP = 5
 
 
-def byte_hash(data: np.ndarray, n: int) -> np.ndarray:
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(tc.TABLE[data] * tc.powers(len(data)), out=total[1:])
+def byte_hash(data: np.ndarray) -> np.ndarray:
+    """Running sums over the mixed hashes of 8 bytes at each place: repetitive bytes have no structure left that a
+    polynomial modulo 2**64 would fall for."""
+    g = tc.byte_grams(data, 8)
+    total = np.zeros(len(g) + 1, np.uint64)
+    np.cumsum(g * tc.powers(len(g)), out=total[1:])
     return total
 
 
 def span_hash(total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return tc.mix((total[b] - total[a]) * tc.powers(len(total), True)[a] + (b - a).astype(np.uint64))
+    """Hashes of the bytes [a, b), 8 at least."""
+    return tc.mix((total[b - 7] - total[a]) * tc.powers(len(total), True)[a] + (b - a).astype(np.uint64))
 
 
 def runs(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -66,7 +70,7 @@ def runs(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = G
     i = np.flatnonzero(head)
     first, last, anchor, d = start[i], start[np.append(i[1:], len(start)) - 1], at[i], doc[i]
     lo, hi = first - anchor, last - anchor
-    total = byte_hash(data, n)
+    total = byte_hash(data)
     body = tc.mix(span_hash(total, first, last + length) + (lo + 200).astype(np.uint64) * tc.GRAM[30])
     return g[anchor], body, d, anchor - offs[d], lo, hi
 
