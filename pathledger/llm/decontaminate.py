@@ -44,6 +44,12 @@ def spaced(h: np.ndarray, doc: np.ndarray, mask: str, salt: int) -> tuple[np.nda
     return tc.mix(out[at]), at
 
 
+def hundredths(similarity: float) -> int:
+    if abs(similarity * 100 - round(similarity * 100)) > 1e-9:
+        raise ValueError("similarity must be a number of hundredths")
+    return round(similarity * 100)
+
+
 def best_segment(same: np.ndarray, similarity: float, least: int) -> tuple[int, int, int] | None:
     """(start, end, matches) of the run of a diagonal with most matches, of these the longest and then the first, among
     the runs of `least` words or more whose share of matches is `similarity` at least; None without any.
@@ -51,7 +57,7 @@ def best_segment(same: np.ndarray, similarity: float, least: int) -> tuple[int,
     Score +1 a match and -s/(1-s) a mismatch: a run has a score of zero or more iff its share is s or more.
     """
     # exact integer weights: similarity is a fraction in hundredths
-    p = round(similarity * 100)
+    p = hundredths(similarity)
     score = np.where(same, 100 - p, -p).cumsum()
     prefix = np.concatenate([[0], score])
     hits = np.concatenate([[0], same.cumsum()])
@@ -66,7 +72,7 @@ def best_segment(same: np.ndarray, similarity: float, least: int) -> tuple[int,
 
 def allowed(n: int, similarity: float) -> int:
     """Substitutions that a run of n words may have."""
-    return n - -(-round(similarity * 100) * n // 100)
+    return n - -(-hundredths(similarity) * n // 100)
 
 
 def masks_for(n: int, least: int, similarity: float, masks: tuple[str, ...] = MASKS) -> tuple[str, ...]:
@@ -134,14 +140,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ..
 
     Words are runs of letters, digits and bytes above ASCII, A-Z lower-cased. Spaced seeds ignore the positions
     that a mask leaves out, and every run that counts has a place for one of the masks, so substituted words don't hide a
-    passage; other `masks` may lose some. Null and empty texts match nothing; repeated
+    passage; other `masks` may lose some. An item of one word marks every document that holds it. Null and empty texts match nothing; repeated
     rows of a document or item give one row (the best run); other columns are ignored; an empty table gives none.
 
     The benchmark is a stated query set: it is held in blocks of at most `block_bytes` of text, each broadcast with
-    that bound and run against all rows, so a larger benchmark means more passes and never a larger broadcast.
+    that bound (a longer item is an error) and run against all rows, so a larger benchmark means more passes and never a larger broadcast.
     """
     sized = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = sized.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    total, longest = sized.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
+    if longest > max(block_bytes, BLOCK_BYTES):
+        raise ValueError(f"a benchmark item of {longest} bytes is larger than a block")
     count = max(1, -(-2 * total // block_bytes))
     out = None
     for b in range(count):

@@ -11,6 +11,7 @@ Voronoi regions of several pivots, in chunks that any number of tasks share.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -296,8 +297,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, SENT_KINDS)], SENT_NAMES)
 
 
-def _sets(n: int, buckets: int):
-    """Messages of whole documents: one row (bucket null) says what they are, one per bucket has the short keys of their
+def _sets(make, buckets: int):
+    """Messages of whole documents, whose sets `make` gives: one row (bucket null) says what they are, one per bucket has the short keys of their
     shingles, by document.
 
     Equal sets of a message go once. A shingle that several sets of a message hold is counted for them at once and
@@ -338,7 +339,7 @@ def _sets(n: int, buckets: int):
             ids = batch.column(0)
             known, number = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
             for first, data, offs in tc.chunks(batch.column(1)):
-                sets, bounds = shingle_sets(data, offs, n)
+                sets, bounds = make(data, offs)
                 part = slice(first, first + len(offs) - 1)
                 held.append((number[part], known[part], np.diff(bounds), tc.order_free(sets, bounds), tc.order_free(sets, bounds, 1), sets))
                 size += len(sets) + len(offs)
@@ -396,13 +397,13 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(tables, more)
 
 
-def _elements(n: int):
-    """(doc_id, text) -> doc_id, a set hash, el: the sorted shingles. Texts without any give no row."""
+def _elements(make):
+    """(doc_id, text) -> doc_id, a set hash, el: the sorted set. Texts without any give no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offs in tc.chunks(batch.column(1)):
-                sets, bounds = shingle_sets(data, offs, n)
+                sets, bounds = make(data, offs)
                 out = [batch.column(0).slice(first, len(offs) - 1), pa.array(tc.signed(tc.order_free(sets, bounds))), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tc.signed(sets)))]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "h1", "el"]).filter(pa.array(np.diff(bounds) > 0))
 
@@ -609,24 +610,13 @@ def links(candidates: DataFrame, *, percent: int, cell_shingles: int = CELL_SHIN
     return out if found is None else out.unionByName(found)
 
 
-def jaccard_join(docs: DataFrame, *, shingle: int = 5, percent: int = 80, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id: documents linked by 100 * |A & B| >= percent * |A | B|, closed transitively.
-
-    Sets are distinct shingles of `shingle` words (A-Z lower-cased, split at ASCII white space); a shorter text is
-    one shingle of all its words. Null, empty and blank texts have empty sets and link with nothing. Equal sets (by
-    size and two independent 64-bit hashes) become one representative before anything is compared, so copies cost
-    nothing. Rows that share a doc_id are one document; rows without one come out with the component of an equal set, or
-    null. Repeated rows come out as often as they came in; an empty table gives an empty result; further columns are
-    ignored.
-
-    The join is exact for any `percent` above 0: no cap on partners or candidates. Distances are counted over the
-    shingles' 64-bit hashes.
-    """
+def grouped(docs: DataFrame, make, percent: int, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """doc_id, n, component_id of the sets that `make` gives of each text; component_id is null for empty sets."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(partitions(spark), total // BUCKET_BYTES)
-    sent = base.mapInArrow(_sets(shingle, buckets), SENT)
+    sent = base.mapInArrow(_sets(make, buckets), SENT)
     to = F.coalesce("bucket", F.pmod("message", F.lit(buckets)).cast("int"))
     met = sent.withColumn("to", to).repartitionById(buckets, F.col("to")).drop("to").mapInArrow(_meet, SENT)
     made = met.repartition(partitions(spark), "message").sortWithinPartitions("message", F.asc_nulls_first("bucket")).mapInArrow(_sum, MADE)
@@ -639,7 +629,24 @@ def jaccard_join(docs: DataFrame, *, shingle: int = 5, percent: int = 80, cell_s
     some = reps.filter(F.col("c") * 100 >= F.col("n_shingles") * percent).select(F.col("rep").alias("doc_id")).distinct()
     some = cut_lineage(some)
     found = base.filter("doc_id is not null").join(F.broadcast(some) if some.count() <= BROADCAST_IDS else some, "doc_id", "left_semi")
-    sets = found.mapInArrow(_elements(shingle), "doc_id bigint, h1 bigint, el array<bigint>").dropDuplicates(["doc_id", "h1"])
+    sets = found.mapInArrow(_elements(make), "doc_id bigint, h1 bigint, el array<bigint>").dropDuplicates(["doc_id", "h1"])
     near = components(links(cut_lineage(sets.select("doc_id", "el")), percent=percent, cell_shingles=cell_shingles)).withColumnRenamed("node", "rep")
     best = reps.join(near, "rep", "left").select(*same, F.least("rep", F.coalesce("component", "rep")).alias("component"))
-    return made.join(best, same, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return made.join(best, same, "left").select("doc_id", F.col("n_shingles").alias("n"), F.col("component").alias("component_id"))
+
+
+def jaccard_join(docs: DataFrame, *, shingle: int = 5, percent: int = 80, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id: documents linked by 100 * |A & B| >= percent * |A | B|, closed transitively.
+
+    Sets are distinct shingles of `shingle` words (A-Z lower-cased, split at ASCII white space); a shorter text is
+    one shingle of all its words. Null, empty and blank texts have empty sets and link with nothing. Equal sets (by
+    size and two independent 64-bit hashes) become one representative before anything is compared, so copies cost
+    nothing. Rows that share a doc_id are one document; rows without one come out with the component of an equal set, or
+    null. Repeated rows come out as often as they came in; an empty table gives an empty result; further columns are
+    ignored.
+
+    The join is exact for any `percent` above 0: no cap on partners or candidates. Distances are counted over the
+    shingles' 64-bit hashes.
+    """
+    found = grouped(docs, functools.partial(shingle_sets, n=shingle), percent, cell_shingles)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathledger.llm import textcore as tc
-from pathledger.llm.common import balanced_cuts, components, cut_lineage, id_bins, partitions
+from pathledger.llm.common import balanced_cuts, cut_lineage, id_bins, partitions, release
+from pathledger.llm.jaccard_join import BROADCAST_IDS, grouped
 
 #: Common words of four languages; each place where one stands is a spot.
 ANCHORS = (
@@ -143,8 +144,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush(True)
 
 
-def fingerprint_with_edit(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+def fingerprint_with_edit(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_group.
 
     A document's edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of
     the next document in ascending doc_id; after the last comes the first. Null texts are empty; null ids come
@@ -155,6 +156,10 @@ def fingerprint_with_edit(docs: DataFrame) -> DataFrame:
     range's first document, so text moves once.
     """
     spark = docs.sparkSession
+    near = near_duplicates(docs, percent).filter("component_id <> doc_id").groupBy("doc_id").agg(F.min("component_id").alias("near_group"))
+    copies = cut_lineage(near)  # the documents that aren't the first of their group
+    few = copies.count() <= BROADCAST_IDS
+    release(spark)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     narrow = cut_lineage(base.select("doc_id", F.octet_length("text").alias("n")))
     add_bin, weights = id_bins(narrow, "doc_id", F.col("n") + 64)
@@ -171,37 +176,16 @@ def fingerprint_with_edit(docs: DataFrame) -> DataFrame:
     rows = dealt.select("shard", "key", F.lit(0).alias("tail"), "doc_id", "text").unionByName(tails)
     ranged = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "tail", "key", "text")
     out = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ranged.mapInArrow(_pairs, out)
+    made = ranged.mapInArrow(_pairs, out)
+    return made.join(F.broadcast(copies) if few else copies, "doc_id", "left").withColumn("near_group", F.coalesce("near_group", "doc_id"))
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, data, offs in tc.chunks(batch.column(1)):
-            sig, at = signatures(data, offs)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(offs) - 1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tc.signed(sig)))], ["doc_id", "sig"])
-
-
-def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id, component_id: documents linked by a SpotSigs Jaccard of `least` or more, closed transitively.
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, component_id: documents linked by a SpotSigs Jaccard of `percent` or more, closed transitively.
 
-    Sets meet only in partitions of like set length, and there through their prefix: a link shares one of the first
-    n - ceil(least * n) + 1 signatures in the order of their values. Equal sets become one representative first.
-    Texts without words link only with equal texts. Exact; nothing is capped.
+    Sets of unlike length can't be that similar: documents meet only within classes of set length (1.5 apart, a set in
+    each class that a link could lead to), there by a part of their signatures that linked sets must share, and are
+    compared only where the lengths allow a link. Equal sets become one representative first. A text without content
+    links only with equal texts. Exact; nothing is capped. Null ids get the component of an equal set, or null.
     """
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = cut_lineage(base.mapInArrow(_sets_of, "doc_id bigint, sig array<bigint>").withColumn("n", F.size("sig")))
-    classes = sets.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    classes = cut_lineage(classes)
-    # the hash of a set orders nothing: values are hashes already, so their own order is as good as random
-    own = F.floor(F.log("n") / F.lit(-np.log(least))).cast("int")
-    prefix = F.slice("sig", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
-    one = classes.select("rep", "n", F.explode(prefix).alias("s"), own.alias("part"))
-    left, right = one.alias("x"), one.select(F.col("rep").alias("rep2"), F.col("n").alias("n2"), "s", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    pairs = left.join(right, ["s", "part"]).filter("rep <> rep2").filter(F.least("n", "n2") >= F.lit(least) * F.greatest("n", "n2")).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-    s = classes.select("rep", "sig")
-    checked = pairs.join(s.withColumnsRenamed({"rep": "a", "sig": "sa"}), "a").join(s.withColumnsRenamed({"rep": "b", "sig": "sb"}), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = checked.filter(both >= F.lit(least) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    found = components(links).withColumnRenamed("node", "rep")
-    best = classes.join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    return sets.join(best, "sig").select("doc_id", "component_id")
+    return grouped(docs, signatures, percent).select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -406,8 +406,46 @@ def test_fingerprints(unique, empty):
     assert got[3].fingerprint == got[12].fingerprint == got[13].fingerprint != got[4].fingerprint
     assert got[12].near_next == 1.0 and got[17].fingerprint == got[18].fingerprint
     assert spotsigs.fingerprint_with_edit(empty).count() == 0
-    near = {r.doc_id: r.component_id for r in spotsigs.near_duplicates(unique, 0.8).collect()}
+    near = {r.doc_id: r.component_id for r in spotsigs.near_duplicates(unique).collect()}
     assert near[12] == near[13] == 3 and near[4] == 4
+    assert {i: r.near_group for i, r in got.items()} == near
+    sets = {i: set(x.tolist()) for i, x in enumerate(spotsigs._lists(texts))}
+    for i in got:  # likeness of the printed fingerprints
+        e, n = texts[i], texts[(i + 1) % len(texts)]
+        parts = lambda t: {t[k : k + spotsigs.HEX] for k in range(0, len(t), spotsigs.HEX)}
+        mine, edited, nxt = parts(got[i].fingerprint), parts(got[i].edited_fingerprint), parts(got[(i + 1) % len(texts)].fingerprint)
+        assert got[i].near_edited == pytest.approx(len(mine & edited) / len(mine | edited))
+        assert got[i].near_next == pytest.approx(len(mine & nxt) / len(mine | nxt))
+    assert near == brute_links(sets, 80)
+
+
+def test_fingerprint_groups_against_brute_force(crowd):
+    docs, texts = crowd
+    sets = dict(enumerate(set(x.tolist()) for x in spotsigs._lists([texts[i] for i in range(len(texts))])))
+    for percent in (70, 80):
+        got = {r.doc_id: r.component_id for r in spotsigs.near_duplicates(docs, percent).collect()}
+        assert got == brute_links(sets, percent)
+    assert len(set(got.values())) < len(got)
+
+
+def test_signatures_are_chains_after_common_words():
+    """The rule, word by word: an anchor with the three content words after it, and content that no such chain holds."""
+    text = "alpha the beta gamma delta epsilon zeta of the eta theta iota kappa"
+    anchors = set(spotsigs.ANCHORS)
+    w = text.split()
+    content = [k for k, x in enumerate(w) if x not in anchors]
+    chains = set()
+    for at, name in [(-1, "^"), *((k, x) for k, x in enumerate(w) if x in anchors)]:
+        chains.add((name, *[w[k] for k in content if k > at][:3]))
+    held = {x for c in chains for x in c[1:]}
+    for k in content:
+        if w[k] not in held:
+            chains.add(("", *[w[j] for j in content if j >= k][:3]))
+    assert len(spotsigs._lists([text])[0]) == len(chains)
+    again = spotsigs._lists([text.replace("kappa", "lambda")])[0]
+    changed = {c for c in chains if "kappa" in c}
+    assert len(np.setdiff1d(spotsigs._lists([text])[0], again)) == len(changed)
+
 
 
 def test_signatures_cover_texts_without_anchors(spark):
