@@ -39,6 +39,12 @@ def report(classified: DataFrame, most: float = GUARD_FRACTION) -> DataFrame:
     )
 
 
+def full_report(classified: DataFrame, heads: DataFrame, retained: DataFrame) -> DataFrame:
+    """report() with how many spaces and revisions the reachable set was drawn from."""
+    more = heads.agg(F.count("*").alias("spaces")).crossJoin(retained.agg(F.count("*").alias("retained_revisions")))  # one row each
+    return report(classified).crossJoin(F.broadcast(more))
+
+
 def future_skew(listed: DataFrame, now: int) -> DataFrame:
     return listed.agg(F.max(F.col("mtime") - now).alias("skew")).select(F.when(F.col("skew") > 0, F.col("skew")).alias("future_seconds"))
 

@@ -409,3 +409,47 @@ def chunked_bytes(spark, sf):
     cut = c.select("doc_id", "pos", "cid", F.expr("substring(b, cast(offset + 1 as int), cast(len as int))").alias("bytes")).filter(F.col("cid") == F.sha2("bytes", 256))
     whole = F.aggregate(F.array_sort(F.collect_list(F.struct("pos", "bytes"))), F.lit(b""), lambda acc, s: F.concat(acc, s["bytes"]))
     return cut.groupBy("doc_id").agg(F.sha2(whole, 256).alias("pcid"))
+
+
+@query("poll_ticks", "SELECT o_orderkey, coalesce(CAST(sum(greatest((t + 29) // 30, 1) * 30) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS starts_at FROM (SELECT *, o_orderkey * 7 % 101 AS t FROM orders)")
+def poll_ticks(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") * 7 % 101).alias("took"))
+    return feed.poll_ticks(o, "o_custkey", "o_orderkey", "took").select("o_orderkey", "starts_at")
+
+
+@query("commit_retries", """WITH RECURSIVE a AS (SELECT o_custkey AS key, o_orderkey AS n, CASE WHEN o_orderkey % 23 = 0 THEN 'permanent' WHEN o_orderkey % 4 = 0 THEN 'ok' ELSE 'fault' END AS outcome, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+t AS (SELECT key, n, k, outcome, CASE WHEN outcome = 'fault' THEN 10 ELSE NULL END AS delay, CASE WHEN outcome = 'fault' THEN 1 ELSE 0 END AS run FROM a WHERE k = 1
+UNION ALL SELECT a.key, a.n, a.k, a.outcome, CASE WHEN a.outcome = 'fault' THEN least(10 * power(2, t.run), 300)::BIGINT END, CASE WHEN a.outcome = 'fault' THEN t.run + 1 ELSE 0 END FROM t JOIN a ON a.key = t.key AND a.k = t.k + 1 WHERE t.outcome <> 'permanent') SELECT key, n, delay FROM t""")
+def commit_retries(spark, sf):
+    k = F.col("o_orderkey")
+    outcome = F.when(k % 23 == 0, "permanent").when(k % 4 == 0, "ok").otherwise("fault")
+    return feed.commit_retries(table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), k.alias("n"), outcome.alias("outcome")))
+
+
+@query("stale_until_now", "SELECT user_id, s + 172800 AS alert_at FROM (SELECT user_id, s, coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY s), (SELECT max(epoch_us(ts) // 1000000) FROM events WHERE FALSE), 4000000000) AS n FROM (SELECT user_id, epoch_us(ts) // 1000000 AS s FROM events)) WHERE n - s > 172800")
+def stale_until_now(spark, sf):
+    e = table(spark, sf, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
+    return feed.stale_alerts(e, "user_id", "s", 172_800, now=4_000_000_000)
+
+
+@query("space_metrics", """SELECT space_id, count(*) FILTER (WHERE kind = 'commit') AS commits, count(*) FILTER (WHERE kind = 'reconcile' OR (kind = 'pull' AND n > 0)) AS pulls_applied, CAST(coalesce(sum(n) FILTER (WHERE kind = 'reconcile'), 0) AS BIGINT) AS conflicts,
+count(*) FILTER (WHERE kind = 'feed_error') AS feed_errors, count(*) FILTER (WHERE kind = 'stale_alert') AS stale_alerts, 7 AS started_at, max(ts) FILTER (WHERE kind IN ('head_seen', 'pull', 'reconcile')) AS last_head_seen, max(ts) FILTER (WHERE kind = 'commit') AS last_commit,
+count(*) FILTER (WHERE kind = 'quarantine') AS quarantines, max(ts) FILTER (WHERE kind = 'quarantine') AS last_quarantine, arg_max(cause, ts) FILTER (WHERE kind = 'quarantine') AS last_quarantine_error,
+coalesce(max(ts) FILTER (WHERE kind = 'quarantine') > coalesce(max(ts) FILTER (WHERE kind = 'recovered'), -1), FALSE) AS quarantined
+FROM (SELECT user_id AS space_id, event_id AS ts, event_id % 3 AS n, 'e' || event_id AS cause, CASE event_id % 8 WHEN 0 THEN 'commit' WHEN 1 THEN 'pull' WHEN 2 THEN 'reconcile' WHEN 3 THEN 'head_seen' WHEN 4 THEN 'feed_error' WHEN 5 THEN 'stale_alert' WHEN 6 THEN 'quarantine' ELSE 'recovered' END AS kind FROM events) GROUP BY 1""")
+def space_metrics(spark, sf):
+    names = F.array(*map(F.lit, ["commit", "pull", "reconcile", "head_seen", "feed_error", "stale_alert", "quarantine", "recovered"]))
+    k = F.col("event_id")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("space_id"), k.alias("ts"), (k % 3).alias("n"), F.concat(F.lit("e"), k.cast("string")).alias("cause"), F.element_at(names, (k % 8 + 1).cast("int")).alias("kind"))
+    return feed.space_metrics(e, 7)
+
+
+@query("gc_full_report", """SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS spaces, (SELECT count(*) FROM conversations) AS retained_revisions, count(*) AS scanned, count(*) FILTER (WHERE p_partkey % 3 = 0) AS reachable,
+count(*) FILTER (WHERE p_partkey % 3 <> 0 AND 4320000 - p_size * 86400 < 864000 + 3600) AS kept_by_grace, count(*) FILTER (WHERE p_partkey % 3 <> 0 AND 4320000 - p_size * 86400 >= 864000 + 3600) AS sweepable FROM part""")
+def gc_full_report(spark, sf):
+    from pathledger.operators import gc  # noqa: PLC0415
+
+    part = table(spark, sf, "part")
+    listed = part.select(F.col("p_partkey").alias("key"), (F.col("p_size") * 86400).cast("bigint").alias("mtime"))
+    state = gc.classify(listed, listed.filter("key % 3 = 0").select("key"), 50 * 86400, 10 * 86400)
+    return gc.full_report(state, revlog.heads(revisions(spark, sf)), revisions(spark, sf)).drop("blocked")

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is configured (tests)."""
+    """The shared folder of the session; where none is configured, a temporary one in local mode and an error elsewhere."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pathledger-")
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = path or tempfile.mkdtemp(prefix="pathledger-")
     spark.sparkContext.setCheckpointDir(path)
     return jsc.getCheckpointDir().get()
 

@@ -64,27 +64,98 @@ def load_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select("m.*").fillna(0)
 
 
-def materialize(files: DataFrame, folder: str) -> None:
-    """Write p, content as files: temporary name, then rename, on each executor's view of a shared folder."""
+def materialize(entries: DataFrame, folder: str) -> None:
+    """Write entries (p, t, x, lt, content) below a shared local folder: folders, files with their exec bit, links.
+
+    Files go to a temporary name, then are renamed; what lies there already is replaced unless it is a folder with content. Nothing is
+    written through a link: a parent that is one is an error, as is an untrusted path, before anything is written.
+    Derived entries (type 2) are left out. A retry repeats harmlessly.
+    """
+
+    def place(root: str, p: str) -> str:
+        import os
+
+        to = root
+        for part in p.split("/")[:-1]:
+            to = os.path.join(to, part)
+            if os.path.islink(to):
+                raise ValueError(f"{p}: a parent is a link")
+        os.makedirs(to, exist_ok=True)
+        return os.path.join(to, p.split("/")[-1])
 
     def write(rows):
         import os
         import uuid
 
         for r in rows:
-            to = os.path.join(folder, r.p)
-            os.makedirs(os.path.dirname(to) or folder, exist_ok=True)
-            name = os.path.join(os.path.dirname(to), f".{os.path.basename(to)}.{uuid.uuid4().hex}.ft-tmp")
-            with open(name, "wb") as f:
-                f.write(r.content or b"")
-                f.flush()
-                os.fsync(f.fileno())
-            os.replace(name, to)
-
-    bad = files.filter(~paths.is_trusted(F.col("p"))).limit(1).count()
+            to = place(folder, r.p)
+            if os.path.isdir(to) and not os.path.islink(to):
+                if r.t == 3:
+                    continue
+                os.rmdir(to)  # fails where it isn't empty
+            aside = os.path.join(os.path.dirname(to), f".{os.path.basename(to)}.{uuid.uuid4().hex}.ft-tmp")
+            if r.t == 3:
+                if os.path.lexists(to):
+                    os.remove(to)
+                os.makedirs(to, exist_ok=True)
+                continue
+            if r.t == 1:
+                os.symlink(r.lt, aside)
+            else:
+                with open(aside, "wb") as f:
+                    f.write(r.content or b"")
+                    f.flush()
+                    os.fsync(f.fileno())
+                os.chmod(aside, 0o755 if r.x else 0o644)
+            os.replace(aside, to)
+
+    bad = entries.filter(~paths.is_trusted(F.col("p"))).limit(1).count()
     if bad:
         raise ValueError("untrusted path")
-    files.select("p", "content").foreachPartition(write)
+    rows = entries.filter("t <> 2").select("p", "t", "x", "lt", "content")
+    rows.filter("t = 3").foreachPartition(write)  # folders first, so that no file takes a folder's name
+    rows.filter("t <> 3").foreachPartition(write)
+
+
+def walk_tree(spark: SparkSession, folder: str, ignore: list[str] | None = None, control: str = ".pathledger") -> DataFrame:
+    """p, is_dir, is_symlink, lt, x, sz, mtime, route of everything below a shared local folder; links aren't followed.
+
+    One round per level: the folders of a level are listed by tasks, and only those that snapshot.scan() routes as items are
+    entered, so ignored, derived and control folders cost one row. Folders that can't be listed have route `unreadable`.
+    """
+    import os
+
+    from pathledger.operators.snapshot import scan  # noqa: PLC0415
+    from pathledger.runtime import cut_lineage  # noqa: PLC0415
+
+    schema = "p string, is_dir boolean, is_symlink boolean, lt string, x boolean, sz bigint, mtime bigint, readable boolean"
+
+    def look(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for p in pdf.p:
+                try:
+                    with os.scandir(os.path.join(folder, p)) as found:
+                        for e in found:
+                            st, link = e.stat(follow_symlinks=False), e.is_symlink()
+                            is_dir = e.is_dir(follow_symlinks=False)
+                            if link or is_dir or e.is_file(follow_symlinks=False):  # no sockets, pipes, devices
+                                rows.append((f"{p}/{e.name}".lstrip("/"), is_dir, link, os.readlink(e.path) if link else None, bool(st.st_mode & 0o100) and not is_dir and not link, st.st_size, int(st.st_mtime), True))
+                except OSError:
+                    rows.append((p, True, False, None, False, 0, 0, False))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"sz": "int64", "mtime": "int64"})
+
+    now, out = spark.createDataFrame([("",)], "p string"), None
+    while True:
+        seen = scan(now.mapInPandas(look, schema).filter(F.col("p") != control), ignore or [])
+        seen = cut_lineage(seen.withColumn("route", F.when(~F.col("readable"), "unreadable").otherwise(F.col("route"))))
+        out = seen if out is None else out.unionByName(seen)
+        now = seen.filter("is_dir and readable and route = 'item'").select("p")
+        if now.isEmpty():
+            return out.drop("readable")
+        now = now.repartition(spark.sparkContext.defaultParallelism)
 
 
 def dumps(metrics: dict) -> str:

@@ -14,6 +14,7 @@ THROTTLE_MS = 50
 DEBOUNCE_MS = 300
 ECHO_TTL_MS = 300_000
 STALE_SECONDS = 300
+POLL_SECONDS = 30
 
 # Watcher kinds that count, everything else is dropped.
 KINDS = {"Create": "Added", "Modify": "Modified", "Remove": "Removed"}
@@ -95,6 +96,26 @@ def sync_metrics(events: DataFrame, space: str, kind: str, ts: str) -> DataFrame
     return events.groupBy(space).agg(*(n(k).alias(f"{k}s") for k in kinds), last("commit").alias("last_commit"), last("pull").alias("last_pull"))
 
 
+def space_metrics(events: DataFrame, started_at: int) -> DataFrame:
+    """All twelve fields of a space's metrics from its events (space_id, kind, n, ts, cause).
+
+    kind: commit, pull (counts if n files were applied), reconcile (n conflicts), head_seen, feed_error, stale_alert,
+    quarantine (with its cause) or recovered. A space is quarantined while nothing recovered since.
+    """
+    kind, ts = F.col("kind"), F.col("ts")
+    n = lambda *k: F.count_if(kind.isin(*k))
+    last = lambda *k: F.max(F.when(kind.isin(*k), ts))
+    out = events.groupBy("space_id").agg(
+        n("commit").alias("commits"), F.count_if((kind == "reconcile") | ((kind == "pull") & (F.col("n") > 0))).alias("pulls_applied"),
+        F.coalesce(F.sum(F.when(kind == "reconcile", F.col("n"))), F.lit(0)).alias("conflicts"), n("feed_error").alias("feed_errors"), n("stale_alert").alias("stale_alerts"),
+        F.lit(started_at).cast("bigint").alias("started_at"), last("head_seen", "pull", "reconcile").alias("last_head_seen"), last("commit").alias("last_commit"),
+        n("quarantine").alias("quarantines"), last("quarantine").alias("last_quarantine"), last("recovered").alias("_up"),
+        F.max_by(F.when(kind == "quarantine", F.col("cause")), F.when(kind == "quarantine", ts)).alias("last_quarantine_error"),
+    )
+    down = F.col("last_quarantine").isNotNull() & (F.col("_up").isNull() | (F.col("_up") < F.col("last_quarantine")))
+    return out.withColumn("quarantined", down).drop("_up")
+
+
 def head_feed(revisions: DataFrame) -> DataFrame:
     """Head per space over an append-only stream of revisions: run in update mode."""
     return revisions.groupBy("space_id").agg(F.max("seq").alias("head_seq"), F.max_by("revision_id", "seq").alias("head_revision"))
@@ -111,10 +132,11 @@ def backoff(attempts: DataFrame, first: int = 5, most: int = 300, healthy: int =
     return streak.withColumn("delay", F.least(F.lit(first) * F.pow(F.lit(2), F.least(at, F.lit(20))), F.lit(most)).cast("bigint")).drop("streak")
 
 
-def stale_alerts(seen: DataFrame, space: str, ts: str, limit: int = STALE_SECONDS) -> DataFrame:
-    """One alert for each silence longer than the limit, at the moment it is due. ts in seconds."""
+def stale_alerts(seen: DataFrame, space: str, ts: str, limit: int = STALE_SECONDS, now: int | None = None) -> DataFrame:
+    """One alert for each silence longer than the limit, at the moment it is due; the last silence lasts until `now`. ts
+    in seconds."""
     w = W.partitionBy(space).orderBy(ts)
-    return seen.withColumn("next", F.lead(ts).over(w)).filter(F.col("next") - F.col(ts) > limit).select(space, (F.col(ts) + limit).alias("alert_at"))
+    return seen.withColumn("next", F.coalesce(F.lead(ts).over(w), F.lit(now))).filter(F.col("next") - F.col(ts) > limit).select(space, (F.col(ts) + limit).alias("alert_at"))
 
 
 def changed_counters(samples: DataFrame, space: str, order: str, counters: list[str]) -> DataFrame:
@@ -124,6 +146,133 @@ def changed_counters(samples: DataFrame, space: str, order: str, counters: list[
     return samples.withColumn("_prev", F.lag(now).over(w)).filter(~F.col("_prev").eqNullSafe(now)).drop("_prev")
 
 
+def poll_ticks(runs: DataFrame, space: str, order: str, took: str, every: int = POLL_SECONDS) -> DataFrame:
+    """When each poll starts: on multiples of `every`; ticks that fall into a run are skipped, not made up for."""
+    w = W.partitionBy(space).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    steps = F.greatest(F.ceil(F.col(took) / every), F.lit(1)) * every
+    return runs.withColumn("starts_at", F.coalesce(F.sum(steps).over(w), F.lit(0)).cast("bigint"))
+
+
+def polled(writer, every: int = POLL_SECONDS):
+    """A stream's writer on the same schedule: Spark skips missed ticks as well."""
+    return writer.trigger(processingTime=f"{every} seconds")
+
+
+def commit_retries(attempts: DataFrame, first: int = 10, most: int = 300) -> DataFrame:
+    """key, n, delay: what follows each commit attempt (key, n, outcome: ok, fault or permanent).
+
+    Consecutive faults double the delay up to `most`, a success starts anew (delay null). A permanent fault ends the
+    series: it has no delay, and no later attempt of the key comes out.
+    """
+    w = W.partitionBy("key").orderBy("n")
+    before = F.coalesce(F.sum((F.col("outcome") == "permanent").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    run = F.sum((F.col("outcome") == "ok").cast("int")).over(w)
+    at = F.row_number().over(W.partitionBy("key", "run").orderBy("n")) - F.when(F.col("run") > 0, 2).otherwise(1)
+    alive = attempts.withColumns({"before": before, "run": run}).filter("before = 0")
+    delay = F.least(F.lit(first) * F.pow(F.lit(2), F.least(at, F.lit(20))), F.lit(most)).cast("bigint")
+    return alive.select("key", "n", F.when(F.col("outcome") == "fault", delay).alias("delay"))
+
+
+class ChangedProcessor(StatefulProcessor):
+    """changed_counters() as a stream: the last counters of a space, as JSON."""
+
+    def __init__(self, order: str, counters: list[str]):
+        self.order, self.counters = order, counters
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "v string")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        last = self.last.get()[0] if self.last.exists() else None
+        for pdf in rows:
+            pdf = pdf.sort_values(self.order)
+            keep = []
+            for v in zip(*(pdf[c] for c in self.counters)):
+                now = repr(tuple(None if pd.isna(x) else x.item() if hasattr(x, "item") else x for x in v))
+                keep.append(now != last)
+                last = now
+            yield pdf[keep]
+        self.last.update((last,))
+
+    def close(self) -> None:
+        pass
+
+
+def changed_counters_stream(samples: DataFrame, space: str, order: str, counters: list[str]) -> DataFrame:
+    return samples.groupBy(space).transformWithStateInPandas(ChangedProcessor(order, counters), samples.schema, "append", "processingTime")
+
+
+class CasProcessor(StatefulProcessor):
+    """Compare-and-swap of a space's log as a stream: the state is its head."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "seq long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        head = self.head.get()[0] if self.head.exists() else -1
+        for pdf in rows:
+            pdf = pdf.sort_values("attempt_no")
+            ok, seq = [], []
+            for e in pdf.expected:
+                hit = head == -1 if pd.isna(e) else head == int(e) and head >= 0
+                head += hit
+                ok.append(bool(hit))
+                seq.append(head if hit else None)
+            yield pd.DataFrame({"space_id": pdf.space_id, "attempt_no": pdf.attempt_no, "accepted": ok, "seq": pd.array(seq, "Int64")})
+        self.head.update((int(head),))
+
+    def close(self) -> None:
+        pass
+
+
+def cas_stream(attempts: DataFrame) -> DataFrame:
+    """attempts: space_id, attempt_no, expected -> space_id, attempt_no, accepted, seq."""
+    kind = attempts.schema["space_id"].dataType.simpleString()
+    return attempts.groupBy("space_id").transformWithStateInPandas(CasProcessor(), f"space_id {kind}, attempt_no bigint, accepted boolean, seq bigint", "append", "processingTime")
+
+
+class StaleProcessor(StatefulProcessor):
+    """stale_alerts() as a stream: a timer on each space's last sign of life, which the next one takes back."""
+
+    def __init__(self, space: str, ts: str, limit: int):
+        self.space, self.ts, self.limit = space, ts, limit * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        last, alerts = self.last.get()[0] if self.last.exists() else None, []
+        for pdf in rows:
+            for t in sorted(int(x.timestamp() * 1000) for x in pdf[self.ts]):
+                if last is not None and t <= last:
+                    continue
+                if last is not None:
+                    self.handle.deleteTimer(last + self.limit)
+                    if t - last > self.limit and not (timerValues.getCurrentWatermarkInMs() >= last + self.limit):
+                        alerts.append(last + self.limit)
+                last = t
+        if last is not None:
+            self.last.update((last,))
+            self.handle.registerTimer(last + self.limit)
+        yield self.out(key, alerts)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        yield self.out(key, [expiredTimerInfo.getExpiryTimeInMs()])
+
+    def out(self, key, alerts: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({self.space: pd.Series([key[0]] * len(alerts), dtype=object if isinstance(key[0], str) else None), "alert_ms": pd.Series(alerts, dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def stale_alerts_stream(seen: DataFrame, space: str, ts: str, limit: int = STALE_SECONDS, late: str = "0 seconds") -> DataFrame:
+    """Alerts (space, alert_ms) once the watermark passes the last sign of life by the limit. ts is a timestamp."""
+    kind = seen.schema[space].dataType.simpleString()
+    return seen.withWatermark(ts, late).groupBy(space).transformWithStateInPandas(StaleProcessor(space, ts, limit), f"{space} {kind}, alert_ms bigint", "append", "eventTime")
+
+
 class ThrottleProcessor(StatefulProcessor):
     """throttle() as a stream: one long of state per key, dropped by its TTL."""
 

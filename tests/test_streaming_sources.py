@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pathledger.runtime import table
@@ -55,10 +56,80 @@ def test_object_store_round_trip(spark, tmp_path):
     assert objects.put(b, store) == 2
     assert objects.put(b, store) == 0
     assert [bytes(r.body) for r in objects.get(spark, store, b.filter("key like '%y'")).collect()] == [b"2"]
-    f = spark.createDataFrame([("d/a.txt", b"hi")], "p string, content binary")
+    f = spark.createDataFrame([("d/a.txt", 0, False, None, b"hi")], "p string, t int, x boolean, lt string, content binary")
     objects.materialize(f, f"{tmp_path}/tree")
     w = objects.walk(spark, f"{tmp_path}/tree", content=True).collect()
     assert [(r.p, r.sz, bytes(r.content)) for r in w] == [("d/a.txt", 2, b"hi")]
     m = spark.createDataFrame([(1, 2)], "commits bigint, pulls bigint")
     objects.save_metrics(m, f"{tmp_path}/m")
     assert objects.load_metrics(spark, f"{tmp_path}/m").first().conflicts == 0
+
+
+def test_materialize_and_walk_a_tree(spark, tmp_path):
+    top = tmp_path / "t"
+    cols = "p string, t int, x boolean, lt string, content binary"
+    rows = [("a", 3, False, None, None), ("a/run.sh", 0, True, None, b"#!"), ("a/b/deep.txt", 0, False, None, b"x"), ("ln", 1, False, "a/run.sh", None), ("target", 2, False, None, None), ("empty", 3, False, None, None)]
+    d = spark.createDataFrame(rows, cols)
+    for _ in range(2):  # a retry changes nothing
+        objects.materialize(d, str(top))
+    for extra in ("target/skip.o", ".pathledger/state", "logs/x.log", "a/.DS_Store"):
+        (top / extra).parent.mkdir(parents=True, exist_ok=True)
+        (top / extra).write_bytes(b"1")
+    got = {r.p: r for r in objects.walk_tree(spark, str(top), ["logs/"]).collect()}
+    assert {p: r.route for p, r in got.items()} == {"a": "item", "a/run.sh": "item", "a/b": "item", "a/b/deep.txt": "item", "ln": "item", "target": "derived", "empty": "item", "logs": "ignored", "a/.DS_Store": "junk"}
+    assert got["a/run.sh"].x and not got["a/b/deep.txt"].x and got["ln"].lt == "a/run.sh" and got["ln"].t == 1 and got["a"].t == 3
+    objects.materialize(spark.createDataFrame([("a/b/deep.txt", 1, False, "../run.sh", None), ("empty", 0, False, None, b"now a file")], cols), str(top))
+    assert (top / "a/b/deep.txt").is_symlink() and (top / "empty").read_bytes() == b"now a file"
+    for bad in ("ln2/x", "../up"):
+        (top / "ln2").is_symlink() or (top / "ln2").symlink_to(tmp_path)
+        with pytest.raises(Exception, match="link|untrusted"):
+            objects.materialize(spark.createDataFrame([(bad, 0, False, None, b"")], cols), str(top))
+
+
+def test_listing_and_deletes(spark, tmp_path):
+    for name in ("blocks/aa/1", "blocks/bb/2", "manifest/aa/3"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    got = objects.listing(spark, f"file://{tmp_path}", "blocks/").collect()
+    assert sorted(r.key for r in got) == ["blocks/aa/1", "blocks/bb/2"] and all(r.mtime > 0 for r in got)
+    assert objects.dumps({"b": 1, "a": 2}).index('"a"') < objects.dumps({"b": 1, "a": 2}).index('"b"')
+
+
+def test_cas_stream_equals_batch(spark, tmp_path):
+    from pathledger.operators import revlog
+
+    rows = [("s", 1, None), ("s", 2, None), ("s", 3, 0), ("s", 4, 0), ("s", 5, 1), ("t", 1, 0), ("t", 2, None), ("t", 3, 0)]
+    a = spark.createDataFrame(rows, "space_id string, attempt_no bigint, expected bigint").coalesce(1)
+    got = stream_of(spark, a, tmp_path, feed.cas_stream, "cas")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, revlog.cas_replay(a).collect()), key=str)
+
+
+def test_watchdog_stream_equals_batch(spark, tmp_path):
+    rows = [("s", i, v, v // 2) for i, v in enumerate([1, 1, 2, 2, 3, 2])] + [("t", 0, None, 1), ("t", 1, None, 1)]
+    a = spark.createDataFrame(rows, "space string, n bigint, x bigint, y bigint").coalesce(1)
+    got = stream_of(spark, a, tmp_path, lambda s: feed.changed_counters_stream(s, "space", "n", ["x", "y"]), "dog")
+    want = feed.changed_counters(a, "space", "n", ["x", "y"])
+    assert sorted((r.space, r.n) for r in got.collect()) == sorted((r.space, r.n) for r in want.collect()) == [("s", 0), ("s", 2), ("s", 4), ("s", 5), ("t", 0)]
+
+
+def test_stale_stream(spark, tmp_path):
+    """Silences of more than 300 seconds within the data alert as they end, the last ones once the watermark is past."""
+    at = [("a", 0), ("a", 200), ("a", 900), ("b", 0), ("b", 100), ("c", 5000)]
+    d = spark.createDataFrame(at, "space string, s bigint").withColumn("ts", F.timestamp_seconds("s")).coalesce(1)
+    got = stream_of(spark, d, tmp_path, lambda s: feed.stale_alerts_stream(s, "space", "ts"), "stale")
+    assert sorted((r.space, r.alert_ms) for r in got.collect()) == [("a", 500_000), ("a", 1_200_000), ("b", 400_000)]
+
+
+def test_debounce_stream(spark, tmp_path):
+    rows = [("p", 0), ("p", 200), ("p", 400), ("p", 2000), ("q", 10**7)]
+    d = spark.createDataFrame(rows, "path string, ms bigint").withColumn("ts", F.timestamp_millis("ms")).coalesce(1)
+    got = stream_of(spark, d, tmp_path, lambda s: feed.debounce_stream(s, ["path"], "ts", late="1 second"), "deb")
+    assert sorted((r.path, r.n) for r in got.collect()) == [("p", 1), ("p", 3)]
+
+
+def test_polls_run_on_a_schedule(spark):
+    class Writer:
+        def trigger(self, **kw):
+            return kw
+
+    assert feed.polled(Writer()) == {"processingTime": "30 seconds"}
