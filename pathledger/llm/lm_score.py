@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathledger.llm import textcore as tc
-from pathledger.llm.common import partitions
+from pathledger.llm.common import cut_lineage, partitions, release
 
 ORDER = 3
 BACKOFF = 0.4
@@ -35,13 +35,14 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """The numbers' bytes by significance, so that equal high bytes stand together."""
-    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    """The numbers' bytes by significance, so that equal high bytes stand together, compressed after their length."""
+    raw = a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
 def _unpack(b: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    size, raw = np.dtype(kind).itemsize, pa.Codec("zstd").decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
@@ -82,7 +83,7 @@ def _explode(order: int, buckets: int, texts: bool):
         own = int.from_bytes(digest.digest(), "little", signed=True)
         if texts:
             word, place = np.unique(w, return_inverse=True)
-            yield _rows([{"message": own, "n": TEXT, "ids": number.tobytes(), "nulls": null.tobytes(), "n_words": _pack(n_words), "words": word.tobytes(), "places": _pack(place.astype(np.uint32))}])
+            yield _rows([{"message": own, "n": TEXT, "ids": number.tobytes(), "nulls": null.tobytes(), "n_words": _pack(n_words), "words": _pack(np.diff(word, prepend=tc.U(0))), "places": _pack(place.astype(np.uint32))}])
             return
         first = _firsts(n_words)
         for n in range(1, order + 1):
@@ -140,7 +141,7 @@ def _score(order: int, total: int, full: int, backoff: float, leave_out: bool):
     def done(texts: list[dict], counts: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
         t = texts[0]  # further ones are equal messages: the same rows of the table once more
         n_words = _unpack(t["n_words"], np.uint32).astype(np.int64)
-        w, first = np.frombuffer(t["words"], np.uint64)[_unpack(t["places"], np.uint32)], _firsts(n_words)
+        w, first = np.cumsum(_unpack(t["words"], np.uint64), dtype=np.uint64)[_unpack(t["places"], np.uint32)], _firsts(n_words)
         doc = np.repeat(np.arange(len(n_words)), n_words)
         ctx, ctx_own = np.full(len(w), float(total)), n_words[doc].astype(np.float64)
         value, level = np.zeros(len(w)), np.zeros(len(w), np.int64)
@@ -212,7 +213,8 @@ def stupid_backoff(docs: DataFrame, *, order: int = ORDER, backoff: float = BACK
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total, full = base.select("text").mapInArrow(_tally, "n bigint, texts bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
     buckets = max(partitions(spark), total // BUCKET_WORDS)
-    counted = base.mapInArrow(_explode(order, buckets, False), ROW).repartitionById(buckets, F.col("bucket")).mapInArrow(_total, ROW)
+    counted = cut_lineage(base.mapInArrow(_explode(order, buckets, False), ROW).repartitionById(buckets, F.col("bucket")).mapInArrow(_total, ROW))
+    release(spark)  # the n-grams themselves aren't needed any more
     texts = base.mapInArrow(_explode(order, buckets, True), ROW)
     ordered = counted.unionByName(texts).repartition(partitions(spark), "message").sortWithinPartitions("message", "n", "bucket")
     scored = ordered.mapInArrow(_score(order, total, full, backoff, leave_out), "doc_id bigint, log_score double, n_words bigint, backoffs bigint")
