@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,14 @@ __all__ = ["balanced_cuts", "checkpoint_dir", "components", "cut_lineage", "id_b
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of plans that nothing refers to any more, before the next large one."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark drop shuffle files of plans that nothing refers to any more, before the next large one.
+
+    The cleaner works behind: what the first collection frees it finds and drops by the second.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions(spark: SparkSession) -> int:

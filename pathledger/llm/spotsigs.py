@@ -159,6 +159,7 @@ def fingerprint_with_edit(docs: DataFrame, percent: int = 80) -> DataFrame:
     near = near_duplicates(docs, percent).filter("component_id <> doc_id").groupBy("doc_id").agg(F.min("component_id").alias("near_group"))
     copies = cut_lineage(near)  # the documents that aren't the first of their group
     few = copies.count() <= BROADCAST_IDS
+    del near
     release(spark)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     narrow = cut_lineage(base.select("doc_id", F.octet_length("text").alias("n")))
