@@ -199,7 +199,7 @@ class ChangedProcessor(StatefulProcessor):
 
 
 def changed_counters_stream(samples: DataFrame, space: str, order: str, counters: list[str]) -> DataFrame:
-    return samples.groupBy(space).transformWithStateInPandas(ChangedProcessor(order, counters), samples.schema, "append", "processingTime")
+    return samples.groupBy(space).transformWithStateInPandas(ChangedProcessor(order, counters), samples.schema, "append", "None")
 
 
 class CasProcessor(StatefulProcessor):
@@ -228,7 +228,7 @@ class CasProcessor(StatefulProcessor):
 def cas_stream(attempts: DataFrame) -> DataFrame:
     """attempts: space_id, attempt_no, expected -> space_id, attempt_no, accepted, seq."""
     kind = attempts.schema["space_id"].dataType.simpleString()
-    return attempts.groupBy("space_id").transformWithStateInPandas(CasProcessor(), f"space_id {kind}, attempt_no bigint, accepted boolean, seq bigint", "append", "processingTime")
+    return attempts.groupBy("space_id").transformWithStateInPandas(CasProcessor(), f"space_id {kind}, attempt_no bigint, accepted boolean, seq bigint", "append", "None")
 
 
 class StaleProcessor(StatefulProcessor):

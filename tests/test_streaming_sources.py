@@ -8,18 +8,21 @@ from pathledger.streaming import feed
 SF = "/root/testdata/sf0.001"
 
 
-def stream_of(spark, df, tmp_path, make, name, mode="append"):
+def stream_of(spark, df, tmp_path, make, name, mode="append", ends=True):
+    """ends: False for processing-time state, whose timers keep a query of all available data running."""
     df.write.parquet(f"{tmp_path}/in")
     s = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     q = make(s).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination(180)
+    done = q.awaitTermination(180 if ends else 45)
+    assert done or not ends
+    q.stop()
     assert q.exception() is None
     return spark.table(name)
 
 
 def test_throttle_stream_equals_batch(spark, tmp_path):
     e = table(spark, SF, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")).coalesce(1)
-    got = stream_of(spark, e, tmp_path, lambda s: feed.throttle_stream(s, ["user_id"], "ms", "event_id", 86_400_000), "thr")
+    got = stream_of(spark, e, tmp_path, lambda s: feed.throttle_stream(s, ["user_id"], "ms", "event_id", 86_400_000), "thr", ends=False)
     want = feed.throttle(e, ["user_id"], "ms", "event_id", 86_400_000)
     assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in want.collect())
 
@@ -32,7 +35,7 @@ def test_throttle_rule(spark):
 def test_echo_stream(spark, tmp_path):
     rows = [(True, "a", 1, "h", 0), (False, "a", 1, "h", 10), (False, "a", 1, "h", 20), (True, "b", 1, "h", 0), (False, "b", 1, "h", 10**7), (False, "c", 1, "h", 5), (True, "d", 1, "h", 0), (False, "d", 2, "h", 5)]
     e = spark.createDataFrame(rows, "mark boolean, path string, mtime bigint, pcid string, ts_ms bigint").coalesce(1)
-    got = stream_of(spark, e, tmp_path, feed.suppress_echo_stream, "echo")
+    got = stream_of(spark, e, tmp_path, feed.suppress_echo_stream, "echo", ends=False)
     assert sorted((r.path, r.ts_ms) for r in got.collect()) == [("a", 20), ("b", 10**7), ("c", 5), ("d", 5)]
 
 
