@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+SHIFTS = np.arange(1, 64, dtype=np.uint64)
 SPAN_SCHEMA = "pos int, offset bigint, len bigint, cid string"
 
 
@@ -49,11 +50,13 @@ def spans(data: bytes, gear: np.ndarray, profile: Profile) -> list[tuple[int, in
 
     def first(hits: np.ndarray, bits: int, begin: int, lo: int, hi: int) -> int | None:
         """The first cut in [lo, hi); the hash begins at `begin`, so its first 63 values are redone."""
-        fp = 0
-        for i in range(begin, min(begin + 63, hi)):
-            fp = ((fp << 1) + int(table[i])) & 0xFFFFFFFFFFFFFFFF
-            if i >= lo and fp >> (64 - bits) == 0:
-                return i
+        stop = min(begin + 63, hi)
+        if lo < stop:  # what came before the restart is shifted out of the bulk value
+            fresh = rolling[begin:stop] - (rolling[begin - 1] << SHIFTS[: stop - begin])
+            at = np.flatnonzero((fresh >> np.uint64(64 - bits)) == 0) + begin
+            at = at[at >= lo]
+            if len(at):
+                return int(at[0])
         k = np.searchsorted(hits, max(lo, begin + 63))
         return int(hits[k]) if k < len(hits) and hits[k] < hi else None
 
