@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pathledger.functions import content
+from pathledger.functions import cdc, content
 from pathledger.functions.merge3 import MOST_BYTES, merge3
 from pathledger.operators import diff, pages, reconcile, revlog
 from pathledger.streaming import feed
@@ -151,3 +151,38 @@ def test_commit_leaves_no_half_revision(spark, tmp_path):
     assert revlog.catch_up(lambda: None, lambda: next(tries)) == 5
     with pytest.raises(RuntimeError):
         revlog.catch_up(lambda: None, lambda: None, 2)
+
+
+def corpus(n, seed):
+    x, out = seed | 1, bytearray()
+    while len(out) < n:
+        x ^= x >> 12
+        x ^= (x << 25) & 0xFFFFFFFFFFFFFFFF
+        x ^= x >> 27
+        out += ((x * 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")
+    return bytes(out[:n])
+
+
+def cuts(data, profile=cdc.SOURCE_CODE):
+    return cdc.spans(data, cdc.gear_table(bytes([0x5A]) * 32), profile)
+
+
+def test_a_byte_replaced_moves_two_chunks_at_most():
+    data = corpus(1_500_000, 0xDE17A)
+    other = data[:750_000] + bytes([data[750_000] ^ 1]) + data[750_001:]
+    a, b = ({s[o : o + n] for o, n in cuts(s)} for s in (data, other))
+    assert len(b - a) <= 2 and len(a & b) >= 0.9 * len(a)
+
+
+def test_a_byte_inserted_loses_two_boundaries_at_most():
+    data = corpus(1_500_000, 0xBEEF)
+    other = data[:700_000] + b"!" + data[700_000:]
+    a = {len(data) - o for o, _ in cuts(data) if o > 700_000} | {o for o, _ in cuts(data) if o <= 700_000}
+    b = {len(other) - o for o, _ in cuts(other) if o > 700_001} | {o for o, _ in cuts(other) if o <= 700_000}
+    assert len(a - b) <= 2 and len(a & b) >= 0.9 * len(a)
+
+
+def test_large_binaries_have_a_quarter_of_the_chunks():
+    data = corpus(8 << 20, 0xB16B00B5)
+    small, large = cuts(data), cuts(data, cdc.LARGE_BINARY)
+    assert len(small) >= 4 * len(large) and sum(n for _, n in large) == len(data)
