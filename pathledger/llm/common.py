@@ -14,15 +14,15 @@ from pathledger.runtime import checkpoint_dir, cut_lineage, table
 __all__ = ["balanced_cuts", "checkpoint_dir", "components", "cut_lineage", "id_bins", "partitions", "release", "table"]
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, rounds: int = 2, pause: float = 0.5) -> None:
     """Let Spark drop shuffle files of plans that nothing refers to any more, before the next large one.
 
-    The cleaner works behind: what the first collection frees it finds and drops by the second.
+    The cleaner works behind: what one collection frees it finds and drops by the next, later after a large job.
     """
-    for _ in range(2):
+    for _ in range(rounds):
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(pause)
 
 
 def partitions(spark: SparkSession) -> int:
