@@ -15,7 +15,7 @@ from pathledger.llm.common import cut_lineage, partitions, release
 
 ORDER = 3
 BACKOFF = 0.4
-MESSAGE_WORDS = 1_000_000
+MESSAGE_WORDS = 3_000_000
 BUCKET_WORDS = 4_000_000
 #: Stand-in for the hash of the symbol before a text's first word.
 START = tc.U(0x5354415254)
@@ -142,14 +142,14 @@ def _score(order: int, total: int, full: int, backoff: float, leave_out: bool):
         t = texts[0]  # further ones are equal messages: the same rows of the table once more
         n_words = _unpack(t["n_words"], np.uint32).astype(np.int64)
         w, first = np.cumsum(_unpack(t["words"], np.uint64), dtype=np.uint64)[_unpack(t["places"], np.uint32)], _firsts(n_words)
-        doc = np.repeat(np.arange(len(n_words)), n_words)
+        doc = np.repeat(np.arange(len(n_words), dtype=np.int32), n_words)
         ctx, ctx_own = np.full(len(w), float(total)), n_words[doc].astype(np.float64)
-        value, level = np.zeros(len(w)), np.zeros(len(w), np.int64)
+        value, level = np.zeros(len(w)), np.zeros(len(w), np.int8)
         for n in range(1, order + 1):
             gram = ngrams(w, first, n)
             by = np.argsort(gram, kind="stable")  # documents ascend within each
             new = np.diff(gram[by], prepend=~gram[by[:1]]) != 0
-            group = np.cumsum(new) - 1
+            group = np.cumsum(new, dtype=np.int32) - 1
             have, own = np.empty(len(w)), np.zeros(len(w))
             have[by] = np.concatenate(counts[n]).astype(np.float64)[group]
             if leave_out:
@@ -164,7 +164,7 @@ def _score(order: int, total: int, full: int, backoff: float, leave_out: bool):
             with np.errstate(divide="ignore", invalid="ignore"):
                 here = np.log(np.maximum(rest, 1.0) if n == 1 else rest) - np.log(np.maximum(ctx - ctx_own, 1.0))
             use = seen if n > 1 else np.ones(len(w), bool)
-            value, level = np.where(use, here, value), np.where(use, n, level)
+            value[use], level[use] = here[use], n
             # what precedes the next word: this order's n-gram of the word before; the start symbols at a text's begin
             ctx, ctx_own = np.roll(have, 1), np.roll(own, 1)
             ctx[first], ctx_own[first] = full, 1
