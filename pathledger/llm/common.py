@@ -14,11 +14,12 @@ from pathledger.runtime import checkpoint_dir, cut_lineage, table
 __all__ = ["balanced_cuts", "checkpoint_dir", "components", "cut_lineage", "id_bins", "partitions", "release", "table"]
 
 
-def release(spark: SparkSession, rounds: int = 2, pause: float = 0.5) -> None:
+def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of plans that nothing refers to any more, before the next large one.
 
     The cleaner works behind: what one collection frees it finds and drops by the next, later after a large job.
     """
+    rounds, pause = (2, 0.5) if partitions(spark) <= 16 else (4, 2.0)
     for _ in range(rounds):
         gc.collect()
         spark._jvm.System.gc()
