@@ -1,4 +1,4 @@
-"""Queries op1 to op10 and the pipeline, each over its whole table, with SQL where SQL can express it."""
+"""Queries op1 to op13 and the pipeline, each over its whole table, with SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -101,6 +101,33 @@ def op2_suffix_array_dedup(spark, sf_dir):
     return dedup(table(spark, sf_dir, "documents"))
 
 
+def _merkle_sql() -> str:
+    from pathledger.llm.merkle import sql
+
+    return sql()
+
+
+@query("op11_merkle_dataset_manifest", _merkle_sql())
+def op11_merkle_dataset_manifest(spark, sf_dir):
+    from pathledger.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_url_filters")
+def op12_url_filters(spark, sf_dir):
+    from pathledger.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark, sf_dir):
+    from pathledger.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
