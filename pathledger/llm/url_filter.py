@@ -2,7 +2,8 @@
 
 Everything grows as joins and aggregates over distinct urls: words of the corpus are counted, the letter runs of urls meet the
 counts through their substrings, a task segments one run at a time, and counts of segments by class become log odds that are
-joined back. No vocabulary, host list or model is collected or broadcast.
+joined back. No vocabulary, host list or model is collected or broadcast. While urls are taken apart a 32-byte digest of
+host and path stands for them, so that a very long one isn't copied to each of its parts.
 """
 
 from __future__ import annotations
@@ -103,15 +104,15 @@ def segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def tokens_of(urls: DataFrame, words: DataFrame) -> DataFrame:
-    """host, path, n, tokens: `h:word` and `p:word` as segmented, and `h:#3`, `p:#3` for a number of three digits."""
+    """u, n, tokens of urls (u, host, path, n): `h:word` and `p:word` as segmented, and `h:#3`, `p:#3` for a number of three digits."""
     cut = lambda side, text: F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+|\p{Nd}+"), F.lit(0)), lambda x: F.struct(F.lit(side).alias("side"), x.alias("run")))
-    parts = urls.select("host", "path", F.explode(F.concat(cut("h:", F.col("host")), cut("p:", F.col("path")))).alias("part")).select("host", "path", "part.*")
+    parts = urls.select("u", F.explode(F.concat(cut("h:", F.col("host")), cut("p:", F.col("path")))).alias("part")).select("u", "part.*")
     is_number = F.col("run").rlike(r"^\p{Nd}")
     cuts = segmented(parts.filter(~is_number).select("run").distinct(), words)
-    own = parts.filter(is_number).select("host", "path", F.array(F.concat("side", F.lit("#"), F.length("run").cast("string"))).alias("own"))
-    named = parts.filter(~is_number).join(cuts, "run").select("host", "path", F.expr("transform(words, w -> concat(side, w))").alias("own"))
-    found = own.unionByName(named).groupBy("host", "path").agg(F.flatten(F.collect_list("own")).alias("tokens"))  # one url's
-    return urls.join(found, ["host", "path"], "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    own = parts.filter(is_number).select("u", F.array(F.concat("side", F.lit("#"), F.length("run").cast("string"))).alias("own"))
+    named = parts.filter(~is_number).join(cuts, "run").select("u", F.expr("transform(words, w -> concat(side, w))").alias("own"))
+    found = own.unionByName(named).groupBy("u").agg(F.flatten(F.collect_list("own")).alias("tokens"))  # one url's
+    return urls.select("u", "n").join(found, "u", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
 
 
 def log_odds(urls: DataFrame, seeds=SEEDS) -> tuple[DataFrame, float]:
@@ -141,14 +142,14 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     spark = pages.sparkSession
     folder = f"{checkpoint_dir(spark)}/urls-{uuid.uuid4().hex}"
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    urls = rows.groupBy("host", "path").agg(F.count("*").alias("n"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("u", F.unhex(F.sha2(F.concat_ws("/", F.octet_length("host"), "host", "path").cast("binary"), 256)))
+    urls = rows.groupBy("u").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.count("*").alias("n"))
     tokens_of(urls, corpus_words(pages.select("url", "html"), seeds)).write.parquet(f"{folder}/urls")
     urls = spark.read.parquet(f"{folder}/urls")
     weights, prior = log_odds(urls, seeds)
-    summed = urls.select("host", "path", F.explode("tokens").alias("token")).join(weights, "token").groupBy("host", "path").agg(F.sum("weight").alias("weight"))
+    summed = urls.select("u", F.explode("tokens").alias("token")).join(weights, "token").groupBy("u").agg(F.sum("weight").alias("weight"))
     decided = ruled(F.col("host"), F.col("path"), rules)
     odds = F.coalesce("weight", F.lit(0.0)) + prior
-    judged = rows.join(summed, ["host", "path"], "left").withColumns({"r": decided, "odds": odds})
+    judged = rows.join(summed, "u", "left").withColumns({"r": decided, "odds": odds})
     verdict = F.coalesce("r.verdict", F.when(F.col("odds") > 0, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), (1 / (1 + F.exp(-F.col("odds")))).alias("score"))
