@@ -144,7 +144,8 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("u", F.unhex(F.sha2(F.concat_ws("/", F.octet_length("host"), "host", "path").cast("binary"), 256)))
     urls = rows.groupBy("u").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.count("*").alias("n"))
-    tokens_of(urls, corpus_words(pages.select("url", "html"), seeds)).write.parquet(f"{folder}/urls")
+    corpus_words(pages.select("url", "html"), seeds).write.parquet(f"{folder}/words")  # counted once, asked for twice
+    tokens_of(urls, spark.read.parquet(f"{folder}/words")).write.parquet(f"{folder}/urls")
     urls = spark.read.parquet(f"{folder}/urls")
     weights, prior = log_odds(urls, seeds)
     summed = urls.select("u", F.explode("tokens").alias("token")).join(weights, "token").groupBy("u").agg(F.sum("weight").alias("weight"))
