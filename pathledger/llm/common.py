@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import gc
-import time
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,19 +10,29 @@ from pyspark.sql import functions as F
 
 from pathledger.runtime import checkpoint_dir, cut_lineage, table
 
-__all__ = ["balanced_cuts", "checkpoint_dir", "components", "cut_lineage", "id_bins", "partitions", "release", "table"]
+__all__ = ["balanced_cuts", "checkpoint_dir", "components", "cut_lineage", "frees_shuffles", "id_bins", "partitions", "table"]
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of plans that nothing refers to any more, before the next large one.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    The cleaner works behind: what one collection frees it finds and drops by the next, later after a large job.
+
+def frees_shuffles(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The shuffle files of an operator's queries go as each query ends, those of its result when that has been read.
+
+    What later steps need is checkpointed, so nothing reads them again; a result that is read twice is made twice.
     """
-    rounds, pause = (2, 0.5) if partitions(spark) <= 16 else (4, 2.0)
-    for _ in range(rounds):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(pause)
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        conf = docs.sparkSession.conf
+        before = conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")
+        try:
+            return operator(docs, *args, **kwargs)
+        finally:
+            conf.set(CLEANUP, before)
+
+    return run
 
 
 def partitions(spark: SparkSession) -> int:

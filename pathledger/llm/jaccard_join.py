@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathledger.llm import textcore as tc
-from pathledger.llm.common import components, cut_lineage, partitions, release
+from pathledger.llm.common import components, cut_lineage, frees_shuffles, partitions
 
 SALTS = 8
 LEAF = 48
@@ -438,7 +438,7 @@ def _join_cells(percent: int):
                 s.union(i, place.setdefault(x, i))
             s.join(np.arange(len(ids)), 0 if first else None)
             out = [(a, b) for a, b in s.edges() if a != b]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], FOUND)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=FOUND)
 
         for batch in batches:
             values, offs = _flat(batch.column(4))
@@ -610,6 +610,7 @@ def links(candidates: DataFrame, *, percent: int, cell_shingles: int = CELL_SHIN
     return out if found is None else out.unionByName(found)
 
 
+@frees_shuffles
 def grouped(docs: DataFrame, make, percent: int, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """doc_id, n, component_id of the sets that `make` gives of each text; component_id is null for empty sets."""
     spark = docs.sparkSession
@@ -621,8 +622,6 @@ def grouped(docs: DataFrame, make, percent: int, cell_shingles: int = CELL_SHING
     met = sent.withColumn("to", to).repartitionById(buckets, F.col("to")).drop("to").mapInArrow(_meet, SENT)
     made = met.repartition(partitions(spark), "message").sortWithinPartitions("message", F.asc_nulls_first("bucket")).mapInArrow(_sum, MADE)
     made = cut_lineage(made)
-    del sent, met
-    release(spark)
     same = ["n_shingles", "h1", "h2"]
     full = made.filter("n_shingles > 0 and doc_id is not null")
     reps = cut_lineage(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("c").alias("c")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathledger.llm import textcore as tc
-from pathledger.llm.common import cut_lineage, partitions, release
+from pathledger.llm.common import cut_lineage, frees_shuffles, partitions
 
 ORDER = 3
 BACKOFF = 0.4
@@ -192,6 +192,7 @@ def _score(order: int, total: int, full: int, backoff: float, leave_out: bool):
     return run
 
 
+@frees_shuffles
 def stupid_backoff(docs: DataFrame, *, order: int = ORDER, backoff: float = BACKOFF, leave_out: bool = True) -> DataFrame:
     """doc_id, n_words, log_score, backoffs, mean_score: one row per doc_id.
 
@@ -214,7 +215,6 @@ def stupid_backoff(docs: DataFrame, *, order: int = ORDER, backoff: float = BACK
     total, full = base.select("text").mapInArrow(_tally, "n bigint, texts bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
     buckets = max(partitions(spark), total // BUCKET_WORDS)
     counted = cut_lineage(base.mapInArrow(_explode(order, buckets, False), ROW).repartitionById(buckets, F.col("bucket")).mapInArrow(_total, ROW))
-    release(spark)  # the n-grams themselves aren't needed any more
     texts = base.mapInArrow(_explode(order, buckets, True), ROW)
     ordered = counted.unionByName(texts).repartition(partitions(spark), "message").sortWithinPartitions("message", "n", "bucket")
     scored = ordered.mapInArrow(_score(order, total, full, backoff, leave_out), "doc_id bigint, log_score double, n_words bigint, backoffs bigint")

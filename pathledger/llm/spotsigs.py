@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathledger.llm import textcore as tc
-from pathledger.llm.common import balanced_cuts, cut_lineage, id_bins, partitions, release
+from pathledger.llm.common import balanced_cuts, cut_lineage, frees_shuffles, id_bins, partitions
 from pathledger.llm.jaccard_join import BROADCAST_IDS, grouped
 
 #: Common words of four languages; each place where one stands is a spot.
@@ -144,6 +144,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush(True)
 
 
+@frees_shuffles
 def fingerprint_with_edit(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_group.
 
@@ -159,8 +160,6 @@ def fingerprint_with_edit(docs: DataFrame, percent: int = 80) -> DataFrame:
     near = near_duplicates(docs, percent).filter("component_id <> doc_id").groupBy("doc_id").agg(F.min("component_id").alias("near_group"))
     copies = cut_lineage(near)  # the documents that aren't the first of their group
     few = copies.count() <= BROADCAST_IDS
-    del near
-    release(spark)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     narrow = cut_lineage(base.select("doc_id", F.octet_length("text").alias("n")))
     add_bin, weights = id_bins(narrow, "doc_id", F.col("n") + 64)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathledger.llm import textcore as tc
-from pathledger.llm.common import cut_lineage, partitions, release
+from pathledger.llm.common import cut_lineage, frees_shuffles, partitions
 from pathledger.llm.induced import suffix_array
 
 LENGTH = 100
@@ -299,8 +299,6 @@ def removals(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> Data
     sent = sent.withColumn("to", F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")))
     met = sent.repartitionById(buckets, F.col("to")).drop("to").mapInArrow(_split_messages, "doc_id bigint, starts binary, open binary")
     met = cut_lineage(met)
-    del sent
-    release(spark)
     opens = met.filter("open is not null").groupBy("doc_id").agg(F.collect_list("open").alias("opens"))  # at most a document's own runs
     pieces = docs.select("doc_id", "text").join(opens, "doc_id").mapInArrow(_contexts(length), "h bigint, doc_id bigint, start bigint, n int, bytes binary")
     dealt = pieces.repartition(buckets, "h").sortWithinPartitions("h", "doc_id", "start")
@@ -341,6 +339,7 @@ def _cut(length: int, with_text: bool):
     return run
 
 
+@frees_shuffles
 def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept (bytes) and kept_text (without the
     bytes of characters that a cut has split): every whole text without the
