@@ -28,3 +28,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def last_scan(spark: SparkSession) -> dict[str, int]:
+    """rows and files that the file scans of the session's last query read, by Spark's own metrics."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last().executionId()
+    values, nodes = store.executionMetrics(last), store.planGraph(last).allNodes()
+    out = {"rows": 0, "files": 0}
+    for i in range(nodes.size()):
+        node = nodes.apply(i)
+        metrics = node.metrics()
+        if not any(metrics.apply(j).name() == "number of files read" for j in range(metrics.size())):
+            continue
+        for j in range(metrics.size()):
+            name = {"number of output rows": "rows", "number of files read": "files"}.get(metrics.apply(j).name())
+            value = values.get(metrics.apply(j).accumulatorId()) if name else None
+            if value is not None and value.isDefined():
+                out[name] += int(value.get().replace(",", ""))
+    return out

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+
+from pathledger.streaming.ordered import ordered
 
 THROTTLE_MS = 50
 DEBOUNCE_MS = 300
@@ -173,62 +176,37 @@ def commit_retries(attempts: DataFrame, first: int = 10, most: int = 300) -> Dat
     return alive.select("key", "n", F.when(F.col("outcome") == "fault", delay).alias("delay"))
 
 
-class ChangedProcessor(StatefulProcessor):
-    """changed_counters() as a stream: the last counters of a space, as JSON."""
-
-    def __init__(self, order: str, counters: list[str]):
-        self.order, self.counters = order, counters
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "v string")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        last = self.last.get()[0] if self.last.exists() else None
-        for pdf in rows:
-            pdf = pdf.sort_values(self.order)
-            keep = []
-            for v in zip(*(pdf[c] for c in self.counters)):
-                now = repr(tuple(None if pd.isna(x) else x.item() if hasattr(x, "item") else x for x in v))
-                keep.append(now != last)
-                last = now
-            yield pdf[keep]
-        self.last.update((last,))
-
-    def close(self) -> None:
-        pass
-
-
-def changed_counters_stream(samples: DataFrame, space: str, order: str, counters: list[str]) -> DataFrame:
-    return samples.groupBy(space).transformWithStateInPandas(ChangedProcessor(order, counters), samples.schema, "append", "None")
-
+def changed_counters_stream(samples: DataFrame, space: str, ts: str, order: str, counters: list[str], late: str) -> DataFrame:
+    """changed_counters() as a stream ordered by (ts in ms, order): a state of the last counters per space."""
 
-class CasProcessor(StatefulProcessor):
-    """Compare-and-swap of a space's log as a stream: the state is its head."""
+    def fold(last, rows):
+        out = []
+        for r in rows:
+            now = repr(tuple(r[c] for c in counters))
+            if last is None or now != last[0]:
+                out.append(r)
+            last = (now,)
+        return last, out
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "seq long")
+    return ordered(samples, [space], ts, late, fold, "v string", samples.schema, [order])
 
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        head = self.head.get()[0] if self.head.exists() else -1
-        for pdf in rows:
-            pdf = pdf.sort_values("attempt_no")
-            ok, seq = [], []
-            for e in pdf.expected:
-                hit = head == -1 if pd.isna(e) else head == int(e) and head >= 0
-                head += hit
-                ok.append(bool(hit))
-                seq.append(head if hit else None)
-            yield pd.DataFrame({"space_id": pdf.space_id, "attempt_no": pdf.attempt_no, "accepted": ok, "seq": pd.array(seq, "Int64")})
-        self.head.update((int(head),))
 
-    def close(self) -> None:
-        pass
+def cas_stream(attempts: DataFrame, ts: str, late: str) -> DataFrame:
+    """revlog.cas_replay() as a stream. attempts: space_id, attempt_no, expected and a time in ms, by which and by attempt_no
+    they are ordered -> space_id, attempt_no, accepted, seq. The state of a space is its head."""
 
+    def fold(head, rows):
+        now, out = head[0] if head else -1, []
+        for r in rows:
+            e = r["expected"]
+            hit = now == -1 if e is None else now == int(e) and now >= 0
+            now += hit
+            out.append({"space_id": r["space_id"], "attempt_no": r["attempt_no"], "accepted": bool(hit), "seq": now if hit else None})
+        return (now,), out
 
-def cas_stream(attempts: DataFrame) -> DataFrame:
-    """attempts: space_id, attempt_no, expected -> space_id, attempt_no, accepted, seq."""
-    kind = attempts.schema["space_id"].dataType.simpleString()
-    return attempts.groupBy("space_id").transformWithStateInPandas(CasProcessor(), f"space_id {kind}, attempt_no bigint, accepted boolean, seq bigint", "append", "None")
+    kind = attempts.schema["space_id"].dataType
+    schema = StructType([StructField("space_id", kind), StructField("attempt_no", LongType()), StructField("accepted", BooleanType()), StructField("seq", LongType())])
+    return ordered(attempts, ["space_id"], ts, late, fold, "seq long", schema, ["attempt_no"])
 
 
 class StaleProcessor(StatefulProcessor):
@@ -273,69 +251,89 @@ def stale_alerts_stream(seen: DataFrame, space: str, ts: str, limit: int = STALE
     return seen.withWatermark(ts, late).groupBy(space).transformWithStateInPandas(StaleProcessor(space, ts, limit), f"{space} {kind}, alert_ms bigint", "append", "eventTime")
 
 
-class ThrottleProcessor(StatefulProcessor):
-    """throttle() as a stream: one long of state per key, dropped by its TTL."""
+def throttle_stream(events: DataFrame, keys: list[str], ts: str, order: str, gap: int, late: str) -> DataFrame:
+    """throttle() as a stream; ts and gap in ms. The state of a key is the time of the last event forwarded."""
 
-    def __init__(self, gap: int, ts: str, order: str, ttl_ms: int = 3_600_000):
-        self.gap, self.ts, self.order, self.ttl = gap, ts, order, ttl_ms
+    def fold(last, rows):
+        now, out = last[0] if last else None, []
+        for r in rows:
+            if now is None or r[ts] - now >= gap:
+                now = int(r[ts])
+                out.append(r)
+        return (now,), out
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t long", self.ttl)
+    return ordered(events, keys, ts, late, fold, "t long", events.schema, [order])
 
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        last = self.last.get()[0] if self.last.exists() else None
-        for pdf in rows:
-            pdf = pdf.sort_values([self.ts, self.order])
-            keep = []
-            for t in pdf[self.ts]:
-                hit = last is None or t - last >= self.gap
-                last = int(t) if hit else last
-                keep.append(hit)
-            yield pdf[keep]
-        if last is not None:
-            self.last.update((last,))
 
-    def close(self) -> None:
-        pass
+def suppress_echo_stream(events: DataFrame, late: str, order: list[str] | None = None, ttl_ms: int = ECHO_TTL_MS) -> DataFrame:
+    """suppress_echo() as a stream of marks and events of a path (mark: true for a mark; path, mtime, pcid, ts_ms).
 
+    At one time marks come before events, of marks the greatest (mtime, pcid) counts, and events stand in `order`. A mark works
+    once or until its TTL is over.
+    """
+
+    def fold(mark, rows):
+        out = []
+        marks = [r for r in rows if r["mark"]]
+        if marks:
+            last = max(marks, key=lambda r: (r["mtime"], r["pcid"]))
+            mark = (int(last["mtime"]), last["pcid"], int(last["ts_ms"]))
+        for r in rows:
+            if r["mark"]:
+                continue
+            if mark and r["ts_ms"] - mark[2] >= ttl_ms:
+                mark = None
+            if mark and mark[0] == r["mtime"] and mark[1] == r["pcid"]:
+                mark = None
+            else:
+                out.append(r)
+        return mark, out
 
-def throttle_stream(events: DataFrame, keys: list[str], ts: str, order: str, gap: int) -> DataFrame:
-    """Needs the RocksDB state store provider."""
-    return events.groupBy(*keys).transformWithStateInPandas(ThrottleProcessor(gap, ts, order), events.schema, "append", "processingTime")
+    return ordered(events, ["path"], "ts_ms", late, fold, "mtime long, pcid string, recorded_ms long", events.schema, order or [])
 
 
-class EchoProcessor(StatefulProcessor):
-    """Marks and events of a path in one stream (column `mark`: true for a mark); a mark is consumed once or expires."""
+class QuietProcessor(StatefulProcessor):
+    """A burst ends when nothing has come for `gap` ms of processing time: each event takes the timer back and sets it anew."""
 
-    def __init__(self, ttl_ms: int = ECHO_TTL_MS):
-        self.ttl = ttl_ms
+    def __init__(self, keys: list[str], ts: str, gap: int):
+        self.keys, self.ts, self.gap = keys, ts, gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.mark = handle.getValueState("mark", "mtime long, pcid string, recorded_ms long", self.ttl)
+        self.handle = handle
+        self.burst = handle.getValueState("burst", "first_ms long, last_ms long, n long, due long")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        first, last, n, due = self.burst.get() if self.burst.exists() else (None, None, 0, None)
         for pdf in rows:
-            keep = []
-            for r in pdf.sort_values("ts_ms").itertuples():
-                if r.mark:
-                    self.mark.update((int(r.mtime), r.pcid, int(r.ts_ms)))
-                    continue
-                m = self.mark.get() if self.mark.exists() else None
-                if m and r.ts_ms - m[2] >= self.ttl:
-                    self.mark.clear()
-                    m = None
-                if m and m[0] == r.mtime and m[1] == r.pcid:
-                    self.mark.clear()
-                else:
-                    keep.append(r.Index)
-            yield pdf.loc[keep]
+            if len(pdf):
+                low, high = int(pdf[self.ts].min()), int(pdf[self.ts].max())
+                first, last, n = low if first is None else min(first, low), high if last is None else max(last, high), n + len(pdf)
+        if due is not None:
+            self.handle.deleteTimer(due)
+        due = timerValues.getCurrentProcessingTimeInMs() + self.gap
+        self.handle.registerTimer(due)
+        self.burst.update((first, last, n, due))
+        yield self.out(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        first, last, n, _ = self.burst.get()
+        self.burst.clear()
+        yield self.out(key, [(first, last, n)])
+
+    def out(self, key, bursts: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *b) for b in bursts], columns=[*self.keys, "first_ms", "last_ms", "n"])
 
     def close(self) -> None:
         pass
 
 
-def suppress_echo_stream(events: DataFrame) -> DataFrame:
-    return events.groupBy("path").transformWithStateInPandas(EchoProcessor(), events.schema, "append", "processingTime")
+def quiet_bursts_stream(events: DataFrame, keys: list[str], ts: str, gap: int = DEBOUNCE_MS) -> DataFrame:
+    """keys, first_ms, last_ms, n: one commit for each burst, `gap` ms after its last event came, whether or not another follows.
+
+    Unlike debounce_stream() it waits by the clock and not for a later event. Run it with a processing-time trigger.
+    """
+    schema = StructType([*(events.schema[k] for k in keys), *(StructField(c, LongType()) for c in ("first_ms", "last_ms", "n"))])
+    return events.groupBy(*keys).transformWithStateInPandas(QuietProcessor(keys, ts, gap), schema, "append", "processingTime")
 
 
 def seconds(ts: str) -> Column:

@@ -1,12 +1,12 @@
 import pytest
 from oracle import assert_same
 
-from pathledger.plans import sync_catalog  # noqa: F401
+from pathledger.plans import store_catalog, sync_catalog  # noqa: F401
 from pathledger.plans.catalog import ORACLES, QUERIES
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 #: Trees of a single leaf would pass these too easily.
-PAGED = {"manifest_leaves", "manifest_root", "page_diff", "page_diff_reads", "snapshot_diff_pruned", "casefold_collisions", "echo_suppression"}
+PAGED = {"stored_page_diff", "stored_page_diff_reads", "verified_manifest", "manifest_leaves", "manifest_root", "page_diff", "page_diff_reads", "snapshot_diff_pruned", "casefold_collisions", "echo_suppression"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

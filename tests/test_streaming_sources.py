@@ -20,11 +20,43 @@ def stream_of(spark, df, tmp_path, make, name, mode="append", ends=True):
     return spark.table(name)
 
 
-def test_throttle_stream_equals_batch(spark, tmp_path):
-    e = table(spark, SF, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")).coalesce(1)
-    got = stream_of(spark, e, tmp_path, lambda s: feed.throttle_stream(s, ["user_id"], "ms", "event_id", 86_400_000), "thr", ends=False)
+def shuffled_stream(spark, rows, last, tmp_path, make, name, files=8, seed=1):
+    """Rows in any order over many files, one a batch; then the row `last`, so late that all before it are released."""
+    import random
+
+    at = rows.collect()
+    random.Random(seed).shuffle(at)
+    for k in range(files):
+        spark.createDataFrame(at[k::files], rows.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    q = make(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    start = lambda: q.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    for _ in range(2):
+        run = start()
+        assert run.awaitTermination(300) and run.exception() is None
+        spark.createDataFrame([last], rows.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    return spark.read.schema(q.schema).parquet(f"{tmp_path}/out")
+
+
+def test_throttle_stream_of_shuffled_files_equals_batch(spark, tmp_path):
+    """Ten events share each millisecond, so ties hang on event_id; no order of arrival matters."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    e = table(spark, SF, "events").select("event_id", (F.col("user_id") % 3).alias("user_id"), (ms - ms % 40_000_000).alias("ms"))
+    got = shuffled_stream(spark, e, (-1, -1, 4 * 10**12), tmp_path, lambda s: feed.throttle_stream(s, ["user_id"], "ms", "event_id", 86_400_000, "10000 days"), "thr")
     want = feed.throttle(e, ["user_id"], "ms", "event_id", 86_400_000)
-    assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in want.collect())
+    assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in want.collect()) != []
+
+
+def test_stream_releases_what_the_watermark_has_passed(spark, tmp_path):
+    """Within `late` order of arrival is free; what is released comes without waiting for the end."""
+    rows = spark.createDataFrame([(i, "k", 10**6 + i * 1000) for i in range(40)], "id bigint, k string, t bigint")
+    for k, part in enumerate(([3, 1, 0, 2, 5], [4, 9, 7, 6, 8], list(range(39, 9, -1)))):
+        rows.filter(F.col("id").isin(part)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in")
+    q = feed.throttle_stream(s, ["k"], "t", "id", 2500, "6 seconds").writeStream.format("memory").queryName("rel").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    got = sorted(r.t for r in spark.table("rel").collect())
+    want = [r.t for r in feed.throttle(rows, ["k"], "t", "id", 2500).orderBy("t").collect()]
+    assert got == [t for t in want if t <= 10**6 + 33_000] and len(got) == 12
 
 
 def test_throttle_rule(spark):
@@ -32,11 +64,15 @@ def test_throttle_rule(spark):
     assert sorted(r.t for r in feed.throttle(d, ["k"], "t", "id", 50).collect()) == [0, 60, 120]
 
 
-def test_echo_stream(spark, tmp_path):
-    rows = [(True, "a", 1, "h", 0), (False, "a", 1, "h", 10), (False, "a", 1, "h", 20), (True, "b", 1, "h", 0), (False, "b", 1, "h", 10**7), (False, "c", 1, "h", 5), (True, "d", 1, "h", 0), (False, "d", 2, "h", 5)]
-    e = spark.createDataFrame(rows, "mark boolean, path string, mtime bigint, pcid string, ts_ms bigint").coalesce(1)
-    got = stream_of(spark, e, tmp_path, feed.suppress_echo_stream, "echo", ends=False)
-    assert sorted((r.path, r.ts_ms) for r in got.collect()) == [("a", 20), ("b", 10**7), ("c", 5), ("d", 5)]
+def test_echo_stream_of_shuffled_files_equals_batch(spark, tmp_path):
+    """Marks and events at one time, two marks at one time, events before their mark in the files."""
+    rows = [(True, "a", 1, "h", 0, 0), (False, "a", 1, "h", 10, 1), (False, "a", 1, "h", 20, 2), (True, "b", 1, "h", 0, 0), (False, "b", 1, "h", 10**7, 3), (False, "c", 1, "h", 5, 4), (True, "d", 1, "h", 0, 0), (False, "d", 2, "h", 5, 5)]
+    rows += [(False, "e", 1, "h", 7, 6), (True, "e", 1, "h", 7, 0), (False, "e", 1, "h", 7, 7), (True, "f", 1, "h", 3, 0), (True, "f", 2, "g", 3, 0), (False, "f", 1, "h", 4, 8), (False, "f", 2, "g", 4, 9)]
+    e = spark.createDataFrame([(*r[:4], r[4] + 10**9, r[5]) for r in rows], "mark boolean, path string, mtime bigint, pcid string, ts_ms bigint, event_id bigint")
+    for seed in (1, 2):
+        got = shuffled_stream(spark, e, (False, "z", 0, "", 10**12, -1), tmp_path / str(seed), lambda s: feed.suppress_echo_stream(s, "2000 days", ["event_id"]), "echo", seed=seed)
+        want = feed.suppress_echo(e.filter("not mark").drop("mark"), e.filter("mark").select("path", "mtime", "pcid", F.col("ts_ms").alias("recorded_ms")))
+        assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in want.collect()) == [2, 3, 4, 5, 7, 8]
 
 
 def test_head_feed_stream(spark, tmp_path):
@@ -98,19 +134,19 @@ def test_listing_and_deletes(spark, tmp_path):
     assert objects.dumps({"b": 1, "a": 2}).index('"a"') < objects.dumps({"b": 1, "a": 2}).index('"b"')
 
 
-def test_cas_stream_equals_batch(spark, tmp_path):
+def test_cas_stream_of_shuffled_files_equals_batch(spark, tmp_path):
     from pathledger.operators import revlog
 
     rows = [("s", 1, None), ("s", 2, None), ("s", 3, 0), ("s", 4, 0), ("s", 5, 1), ("t", 1, 0), ("t", 2, None), ("t", 3, 0)]
-    a = spark.createDataFrame(rows, "space_id string, attempt_no bigint, expected bigint").coalesce(1)
-    got = stream_of(spark, a, tmp_path, feed.cas_stream, "cas")
+    a = spark.createDataFrame([(*r, 10**9 + 50 * (r[1] // 3)) for r in rows], "space_id string, attempt_no bigint, expected bigint, at bigint")
+    got = shuffled_stream(spark, a, ("z", 1, None, 10**12), tmp_path, lambda s: feed.cas_stream(s, "at", "2000 days"), "cas")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, revlog.cas_replay(a).collect()), key=str)
 
 
-def test_watchdog_stream_equals_batch(spark, tmp_path):
+def test_watchdog_stream_of_shuffled_files_equals_batch(spark, tmp_path):
     rows = [("s", i, v, v // 2) for i, v in enumerate([1, 1, 2, 2, 3, 2])] + [("t", 0, None, 1), ("t", 1, None, 1)]
-    a = spark.createDataFrame(rows, "space string, n bigint, x bigint, y bigint").coalesce(1)
-    got = stream_of(spark, a, tmp_path, lambda s: feed.changed_counters_stream(s, "space", "n", ["x", "y"]), "dog")
+    a = spark.createDataFrame([(*r, 10**9 + r[1] // 2) for r in rows], "space string, n bigint, x bigint, y bigint, at bigint")
+    got = shuffled_stream(spark, a, ("z", 0, 0, 0, 10**12), tmp_path, lambda s: feed.changed_counters_stream(s, "space", "at", "n", ["x", "y"], "2000 days"), "dog")
     want = feed.changed_counters(a, "space", "n", ["x", "y"])
     assert sorted((r.space, r.n) for r in got.collect()) == sorted((r.space, r.n) for r in want.collect()) == [("s", 0), ("s", 2), ("s", 4), ("s", 5), ("t", 0)]
 
@@ -136,3 +172,99 @@ def test_polls_run_on_a_schedule(spark):
             return kw
 
     assert feed.polled(Writer()) == {"processingTime": "30 seconds"}
+
+
+def test_the_last_burst_ends_by_the_clock(spark, tmp_path):
+    """Two bursts of one key; nothing comes after the second, and it is committed all the same."""
+    import time
+
+    schema = "path string, ms bigint"
+    put = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    put(("p", 1), ("p", 2), ("q", 5))
+    s = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    q = feed.quiet_bursts_stream(s, ["path"], "ms", 1500).writeStream.format("memory").queryName("quiet").option("checkpointLocation", f"{tmp_path}/ck").trigger(processingTime="100 milliseconds").start()
+
+    def until(n):
+        end = time.time() + 60
+        while time.time() < end and spark.table("quiet").count() < n:
+            time.sleep(0.3)
+        return sorted(map(tuple, spark.table("quiet").collect()))
+
+    try:
+        assert until(2) == [("p", 1, 2, 2), ("q", 5, 5, 1)]
+        put(("p", 9),)
+        assert until(3) == [("p", 1, 2, 2), ("p", 9, 9, 1), ("q", 5, 5, 1)]
+    finally:
+        q.stop()
+
+
+def commit_all(spark, folder, space, n, start=0):
+    from pathledger.operators import revlog
+
+    for k in range(start, start + n):
+        assert revlog.commit(spark, folder, space, k - 1 if k else None, f"{space}{k}".encode()) == k
+
+
+def test_revision_feed_restarts_without_loss_or_repeats(spark, tmp_path):
+    from pathledger.sources import revisions
+
+    log = f"{tmp_path}/log"
+    commit_all(spark, log, "s", 4)
+    commit_all(spark, log, "t", 1)
+
+    def run(name):
+        q = revisions.revision_stream(spark, log).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        assert q.awaitTermination(120) and q.exception() is None
+        return sorted((r.space_id, r.seq, bytes(r.payload).decode()) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    assert run("a") == [("s", 3, "s3"), ("t", 0, "t0")]  # each head first
+    assert run("b") == [("s", 3, "s3"), ("t", 0, "t0")]
+    commit_all(spark, log, "s", 3, 4)
+    commit_all(spark, log, "u", 2)
+    want = [("s", k, f"s{k}") for k in range(3, 7)] + [("t", 0, "t0"), ("u", 0, "u0"), ("u", 1, "u1")]
+    assert run("c") == want
+
+
+def test_revision_reader_ranges():
+    from pathledger.sources import revisions
+
+    r = revisions.RevisionReader("/nowhere", "head")
+    assert r.initialOffset() == {} == r.latestOffset()
+    spans = lambda a, b: [(p.space, p.low, p.high) for p in r.partitions(a, b)]
+    assert spans({}, {"s": 2500}) == [("s", 0, 1024), ("s", 1024, 2048), ("s", 2048, 2500)]
+    assert spans({"s": 7}, {"s": 6}) == [("s", 5, 6)] and spans({"s": 6}, {"s": 6}) == []  # the head moved before the first batch was repeated
+
+
+def test_a_batch_commits_once_though_killed(spark, tmp_path):
+    """The query dies after the revision is in and before Spark knows: the repeated batch commits nothing more."""
+    from pathledger.operators import revlog
+    from pathledger.sources import revisions
+
+    log, died = f"{tmp_path}/log", []
+    sink = revisions.committing_sink(spark, log, "s", "q1")
+
+    def killed(df, batch_id):
+        sink(df, batch_id)
+        if batch_id in (1, 2) and batch_id not in died:
+            died.append(batch_id)
+            raise RuntimeError("killed")
+
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for _ in range(3):
+        s = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        q = s.writeStream.foreachBatch(killed).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        try:
+            q.awaitTermination(120)
+        except Exception as e:  # noqa: BLE001
+            assert "killed" in str(e)
+        if died == [1]:  # another writer gets in between
+            revlog.commit(spark, log, "s", 1, b'{"applied": {"q1": 1, "q2": 5}}')
+    assert died == [1, 2]
+    head, content = revisions.newest(spark, log, "s")
+    assert head == 3 and content["applied"] == {"q1": 2, "q2": 5}
+    data = [f"{log}/s/_data/q1-{k}" for k in range(3)]
+    assert sorted(r.id for r in spark.read.parquet(*data).collect()) == list(range(30))
+    lost = revisions.committing_sink(spark, log, "s", "q3", attempts=0)
+    with pytest.raises(RuntimeError, match="lost the race"):
+        lost(spark.range(1), 0)
