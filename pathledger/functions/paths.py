@@ -32,12 +32,12 @@ def depth(p: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFC")
+    return s.astype(object).str.normalize("NFC") if s.notna().any() else s
 
 
-def casefold_key(p: Column, normalize: bool = True) -> Column:
-    """lower(NFC(p)). Pure ASCII paths never leave the JVM's cheap branch when normalize is off."""
-    return F.lower(nfc(p)) if normalize else F.lower(p)
+def casefold_key(p: Column) -> Column:
+    """lower(NFC(p)). ASCII paths are in that form already and reach the Python worker as nulls."""
+    return F.lower(F.coalesce(nfc(F.when(F.octet_length(p) != F.length(p), p)), p))
 
 
 def canonicalize(p: Column) -> Column:

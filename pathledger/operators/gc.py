@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathledger.runtime import cut_lineage
+
 SKEW_SECONDS = 3600
 GUARD_LEAST = 32
 GUARD_FRACTION = 0.5
@@ -55,27 +57,46 @@ def heads_moved(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.select("space_id", F.col("head_seq").alias("before_seq")).join(b, "space_id", "full_outer").filter(~F.col("before_seq").eqNullSafe(F.col("after_seq")))
 
 
-def collect_garbage(listed: DataFrame, live: DataFrame, heads, now: int, grace: int, delete, *, dry_run: bool = True, batch: int = 500) -> dict:
-    """Plan, guards, then batches; before each batch the heads are read again. `delete` takes a DataFrame of keys.
+class Refused(RuntimeError):
+    """A guard stopped the collection. `deleted` says how many objects were gone by then."""
+
+    def __init__(self, why: str, deleted: int = 0):
+        super().__init__(f"{why}; {deleted} deleted")
+        self.deleted = deleted
+
+
+def guard_roots(heads: DataFrame, revisions: DataFrame, space: str | int) -> None:
+    """What isn't reachable from a known space is garbage, so the spaces must be the right ones and whole: some at all, the
+    caller's among them, and none with a head but without revisions."""
+    if heads.isEmpty():
+        raise Refused("the account owns no space, so everything would be garbage")
+    if heads.filter(F.col("space_id") == space).isEmpty():
+        raise Refused(f"space {space} isn't among the account's")
+    torn = heads.filter("head_seq is not null").join(revisions.select("space_id").distinct(), "space_id", "left_anti").limit(1).collect()
+    if torn:
+        raise Refused(f"space {torn[0].space_id} has a head but no revisions")
+
+
+def collect_garbage(listed: DataFrame, live: DataFrame, heads, revisions: DataFrame, space: str | int, now: int, grace: int, delete, *, most: float = GUARD_FRACTION, dry_run: bool = True) -> dict:
+    """The report of a sweep, after it. Every guard that stops it is an error (Refused).
 
-    `heads()` returns the current heads. Nothing is deleted in a dry run or behind a guard.
+    `heads()` returns the current heads (space_id, head_seq), `delete` takes a DataFrame (key, mtime) and is called once:
+    the sweep is one job whatever there is to delete, oldest first within its partitions. The heads are read again before and after it:
+    moved before, nothing is deleted; moved after, the error says how many objects a racing commit may miss. A dry run
+    deletes nothing and reports `blocked` where the sweep would be refused for its share of all objects.
     """
-    first = heads()
-    state = classify(listed, live, now, grace)
-    out = report(state).first().asDict()
-    out["deleted"] = 0
-    if first.isEmpty():
-        return out | {"blocked": True}
-    if dry_run or out["blocked"]:
+    first = cut_lineage(heads())
+    guard_roots(first, revisions, space)
+    state = cut_lineage(classify(listed, live, now, grace))
+    out = report(state, most).first().asDict() | {"spaces": first.count(), "retained_revisions": revisions.count(), "deleted": 0}
+    if dry_run or not out["sweepable"]:
         return out
-    from pathledger.operators.pages import ranked  # noqa: PLC0415
-    from pathledger.runtime import cut_lineage  # noqa: PLC0415
-
-    plan = cut_lineage(ranked(state.filter("state = 'sweepable'").withColumn("at", F.struct("mtime", "key")), "at"))
-    for low in range(0, out["sweepable"], batch):
-        if not heads_moved(first, heads()).isEmpty():
-            return out | {"blocked": True}
-        part = plan.filter((F.col("rank") >= low) & (F.col("rank") < low + batch))
-        delete(part.select("key"))
-        out["deleted"] += part.count()
+    if out["blocked"]:
+        raise Refused(f"{out['sweepable']} of {out['scanned']} objects would go")
+    if not heads_moved(first, heads()).isEmpty():
+        raise Refused("a head moved before the sweep")
+    delete(state.filter("state = 'sweepable'").select("key", "mtime").repartitionByRange("mtime", "key").sortWithinPartitions("mtime", "key"))
+    out["deleted"] = out["sweepable"]
+    if not heads_moved(first, heads()).isEmpty():
+        raise Refused("a head moved during the sweep: commit again where it moved", out["deleted"])
     return out

@@ -84,7 +84,7 @@ def copy_paths(conflicts: DataFrame, local: DataFrame, blocked: DataFrame, label
     """
     n = F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))
     name = paths.conflict_copy_name(F.col("p"), F.when(F.col("slot") == 0, F.lit(label)).otherwise(F.concat(F.lit(f"{label} "), (F.col("slot") + 1).cast("string"))), F.lit(seq))
-    tried = conflicts.select("p", "t", "pcid", n.alias("slot")).withColumn("copy_name", name).withColumn("ckey", F.lower("copy_name"))
+    tried = conflicts.select("p", "t", "pcid", n.alias("slot")).withColumn("copy_name", name).withColumn("ckey", paths.casefold_key(F.col("copy_name")))
     there = local.select(F.col("key").alias("ckey"), F.col("t").alias("has_t"), F.col("pcid").alias("has_pcid"))
     free = F.col("has_t").isNull() | (F.col("has_t").eqNullSafe(F.col("t")) & F.col("has_pcid").eqNullSafe(F.col("pcid")))
     open_ = cut_lineage(tried.join(there, "ckey", "left").filter(free).join(blocked.select(F.col("key").alias("ckey")), "ckey", "left_anti").select("p", "slot", "copy_name", "ckey"))

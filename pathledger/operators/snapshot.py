@@ -13,7 +13,7 @@ def from_content(df: DataFrame, path: Column, content: Column) -> DataFrame:
     """Entries of plain files, one block each; wide inputs go through functions.cdc.chunk instead."""
     cid = F.sha2(content, 256)
     return df.select(
-        path.alias("p"), F.lower(path).alias("key"), F.lit(0).cast("tinyint").alias("t"), F.lit(False).alias("x"), F.octet_length(content).cast("bigint").alias("sz"),
+        path.alias("p"), paths.casefold_key(path).alias("key"), F.lit(0).cast("tinyint").alias("t"), F.lit(False).alias("x"), F.octet_length(content).cast("bigint").alias("sz"),
         cid.alias("pcid"), F.array(cid).alias("bk"), F.lit(None).cast("string").alias("bk_ref"), F.lit(None).cast("string").alias("lt"), F.lit(None).cast("boolean").alias("wu"),
     )
 

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathledger.functions import paths
+from pathledger.runtime import cut_lineage
 
-METRICS_SCHEMA = "commits bigint, pulls bigint, conflicts bigint, feed_errors bigint, stale_alerts bigint, quarantines bigint, last_commit bigint, last_pull bigint"
+METRICS_SCHEMA = (
+    "space_id string, commits bigint, pulls_applied bigint, conflicts bigint, feed_errors bigint, stale_alerts bigint, started_at bigint, last_head_seen bigint, "
+    "last_commit bigint, quarantines bigint, quarantined boolean, last_quarantine bigint, last_quarantine_error string"
+)
 
 
 def walk(spark: SparkSession, folder: str, glob: str | None = None, content: bool = False) -> DataFrame:
@@ -34,19 +38,19 @@ def put(blobs: DataFrame, folder: str) -> int:
         raise ValueError("unsafe object key")
     fresh = blobs.select("key", "body").dropDuplicates(["key"])
     store = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    born = 0
     if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
-        fresh = fresh.join(spark.read.parquet(folder).select("key"), "key", "left_anti")
-    from pathledger.runtime import cut_lineage  # noqa: PLC0415
-
+        fresh = fresh.join(stored(spark, folder).select("key"), "key", "left_anti")
+        born = spark.read.schema("born bigint").parquet(folder).agg(F.coalesce(F.max("born"), F.lit(-1))).first()[0] + 1
     fresh = cut_lineage(fresh)
-    fresh.withColumn("shard", F.substring(F.sha2("key", 256), 1, 2)).write.mode("append").partitionBy("shard").parquet(folder)
+    fresh.select("key", "body", F.lit(born).cast("bigint").alias("born"), F.substring(F.sha2("key", 256), 1, 2).alias("shard")).write.mode("append").partitionBy("shard").parquet(folder)
     return fresh.count()
 
 
 def get(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
     """Bodies of the keys asked for; the shard makes Spark skip the other folders."""
     want = keys.select("key").distinct().withColumn("shard", F.substring(F.sha2("key", 256), 1, 2))
-    return spark.read.parquet(folder).join(want, ["shard", "key"], "left_semi").select("key", "body")
+    return stored(spark, folder).join(want, ["shard", "key"], "left_semi").select("key", "body")
 
 
 def remaining(store: DataFrame, doomed: DataFrame) -> DataFrame:
@@ -55,13 +59,46 @@ def remaining(store: DataFrame, doomed: DataFrame) -> DataFrame:
 
 
 def save_metrics(metrics: DataFrame, folder: str) -> None:
+    """feed.space_metrics() as one JSON object a line; times that never were are left out."""
     metrics.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(folder)
 
 
 def load_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Missing fields are zero and a broken line is a row of defaults."""
-    raw = spark.read.text(folder).select(F.from_json("value", METRICS_SCHEMA).alias("m"))
-    return raw.select("m.*").fillna(0)
+    """Counters that a line lacks are zero, times that it lacks null; a broken line is a row of defaults and a folder that isn't
+    there an empty table: metrics must never stop the work they are about."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], METRICS_SCHEMA)
+    raw = spark.read.text(folder).select(F.from_json("value", METRICS_SCHEMA).alias("m")).select("m.*")
+    return raw.fillna(0, ["commits", "pulls_applied", "conflicts", "feed_errors", "stale_alerts", "quarantines"]).fillna(False, ["quarantined"])
+
+
+TOMBS = "_tombstones"
+
+
+def bury(keys: DataFrame, folder: str) -> int:
+    """Delete objects by a tombstone each, in one job: what readers see is gone when the job commits, all of it or nothing.
+    Keys that aren't stored are passed over; returns how many objects went. compact() drops their bytes."""
+    spark = keys.sparkSession
+    doomed = stored(spark, folder).select("key", "born").join(keys.select("key").distinct(), "key", "left_semi")
+    doomed = cut_lineage(doomed)
+    doomed.select("key", F.col("born").alias("buried")).write.mode("append").parquet(f"{folder}/{TOMBS}")
+    return doomed.count()
+
+
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """key, body, born, shard of the objects that no tombstone has met; one that was put again after its burial lives."""
+    rows = spark.read.schema("key string, body binary, born bigint, shard string").parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{TOMBS}")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return rows
+    last = spark.read.schema("key string, buried bigint").parquet(f"{folder}/{TOMBS}").groupBy("key").agg(F.max("buried").alias("buried"))
+    return rows.join(last, "key", "left").filter("buried is null or born > buried").select("key", "body", "born", "shard")
+
+
+def compact(spark: SparkSession, folder: str, to: str) -> None:
+    """The living objects as a store of their own."""
+    stored(spark, folder).write.partitionBy("shard").parquet(to)
 
 
 def materialize(entries: DataFrame, folder: str) -> None:
@@ -126,8 +163,6 @@ def walk_tree(spark: SparkSession, folder: str, ignore: list[str] | None = None,
     import os
 
     from pathledger.operators.snapshot import scan  # noqa: PLC0415
-    from pathledger.runtime import cut_lineage  # noqa: PLC0415
-
     schema = "p string, is_dir boolean, is_symlink boolean, lt string, x boolean, sz bigint, mtime bigint, readable boolean"
 
     def look(batches):

@@ -3,6 +3,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from pathledger.functions import cdc, content, paths
@@ -136,9 +137,34 @@ def test_gc_guards_and_cas(spark, tmp_path):
     assert state == {"a": "reachable", "b": "grace", "c": "grace", "d": "sweepable", "e": "sweepable"}
     assert gc.window_seconds(0) == 0
     heads = lambda: spark.createDataFrame([("s", 1)], "space_id string, head_seq bigint")
+    revisions = spark.createDataFrame([("s", 0), ("s", 1)], "space_id string, seq bigint")
     gone = []
-    out = gc.collect_garbage(listed, live, heads, 10_000, 60, lambda df: gone.extend(r.key for r in df.collect()), dry_run=False, batch=1)
-    assert out["deleted"] == 2 and gone == ["e", "d"]
+    sweep = lambda df: gone.extend(r.key for r in df.collect())
+    run = lambda h=heads, r=revisions, space="s", **kw: gc.collect_garbage(listed, live, h, r, space, 10_000, 60, sweep, **kw)
+    assert run()["deleted"] == 0 and gone == [] and run()["sweepable"] == 2 and run()["retained_revisions"] == 2
+    for why, kw in (
+        ("no space", {"h": lambda: heads().limit(0)}), ("isn't among", {"space": "other"}), ("no revisions", {"r": revisions.limit(0)}),
+        ("no revisions", {"h": lambda: spark.createDataFrame([("s", 1), ("t", 0)], "space_id string, head_seq bigint")}),
+    ):
+        with pytest.raises(gc.Refused, match=why):
+            run(dry_run=False, **kw)
+    many = spark.range(40).select(F.col("id").cast("string").alias("key"), F.col("id").alias("mtime"))
+    with pytest.raises(gc.Refused, match="40 of 40"):
+        gc.collect_garbage(many, live, heads, revisions, "s", 10_000, 60, sweep, dry_run=False)
+    assert gc.collect_garbage(many, live, heads, revisions, "s", 10_000, 60, sweep)["blocked"]
+    for after, deleted in ((1, 0), (2, 2)):  # a head moves before the sweep, or during it
+        read = []
+
+        def moving():
+            read.append(1)
+            return spark.createDataFrame([("s", 1 + (len(read) > after))], "space_id string, head_seq bigint")
+
+        gone.clear()
+        with pytest.raises(gc.Refused, match="moved") as e:
+            run(h=moving, dry_run=False)
+        assert e.value.deleted == deleted == len(gone)
+    gone.clear()
+    assert run(dry_run=False)["deleted"] == 2 and gone == ["e", "d"]
     folder = f"file://{tmp_path}/rev"
     assert revlog.commit(spark, folder, "s", None, b"x") == 0
     assert revlog.commit(spark, folder, "s", None, b"y") is None

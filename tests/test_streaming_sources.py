@@ -99,9 +99,24 @@ def test_object_store_round_trip(spark, tmp_path):
     objects.materialize(f, f"{tmp_path}/tree")
     w = objects.walk(spark, f"{tmp_path}/tree", content=True).collect()
     assert [(r.p, r.sz, bytes(r.content)) for r in w] == [("d/a.txt", 2, b"hi")]
-    m = spark.createDataFrame([(1, 2)], "commits bigint, pulls bigint")
+    assert objects.bury(b.filter("key like '%x'").unionByName(b.limit(1).withColumn("key", F.lit("no/such"))), store) == 1
+    assert [r.key for r in objects.get(spark, store, b).collect()] == ["blocks/bb/y"] and objects.bury(b.filter("key like '%x'"), store) == 0
+    objects.compact(spark, store, f"{tmp_path}/compact")
+    assert [r.key for r in objects.stored(spark, f"{tmp_path}/compact").collect()] == ["blocks/bb/y"]
+    assert objects.put(b, store) == 1 and objects.get(spark, store, b).count() == 2  # put again after its burial
+
+
+def test_metrics_round_trip(spark, tmp_path):
+    rows = [("s", "commit", 0, 100, None), ("s", "reconcile", 2, 120, None), ("s", "quarantine", 0, 130, "disk"), ("t", "commit", 0, 5, None)]
+    m = feed.space_metrics(spark.createDataFrame(rows, "space_id string, kind string, n bigint, ts bigint, cause string"), 99)
     objects.save_metrics(m, f"{tmp_path}/m")
-    assert objects.load_metrics(spark, f"{tmp_path}/m").first().conflicts == 0
+    back = objects.load_metrics(spark, f"{tmp_path}/m")
+    assert sorted(map(str, back.select(*m.columns).collect())) == sorted(map(str, m.collect())) and len(back.columns) == 13
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x").write_text('{"space_id": "old", "commits": 7}\n{broken\n')
+    old, broken = objects.load_metrics(spark, f"{tmp_path}/bad").collect()
+    assert (old.commits, old.quarantines, old.quarantined, old.last_commit) == (7, 0, False, None) and broken.commits == 0 and broken.space_id is None
+    assert objects.load_metrics(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_materialize_and_walk_a_tree(spark, tmp_path):
