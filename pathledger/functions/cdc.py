@@ -33,26 +33,30 @@ def gear_table(secret: bytes) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.sha256(b"gear" + secret + bytes([i])).digest()[:8], "little") for i in range(256)], dtype=np.uint64)
 
 
-def spans(data: bytes, gear: np.ndarray, profile: Profile) -> list[tuple[int, int]]:
-    """Offsets and lengths that tile `data`.
+class Cutter:
+    """Where chunks end in a stretch of bytes.
 
     A shift-left gear hash forgets a byte after 64 steps, and its top b bits after b steps,
     so the hash that restarts in each chunk equals, from 64 bytes on, one computed in bulk.
     """
-    n, out, start = len(data), [], 0
-    table = gear[np.frombuffer(data, np.uint8)] if n else gear[:0]
-    rolling, step = table.copy(), 1
-    while step < min(64, max(n, 1)):  # doubling: the sum of 2*step shifted values from two sums of step
-        rolling[step:] = rolling[step:] + (rolling[:-step] << np.uint64(step))
-        step *= 2
-    strict = np.flatnonzero((rolling >> np.uint64(64 - profile.strict_bits)) == 0)
-    lax = np.flatnonzero((rolling >> np.uint64(64 - profile.lax_bits)) == 0)
-
-    def first(hits: np.ndarray, bits: int, begin: int, lo: int, hi: int) -> int | None:
+
+    def __init__(self, data: bytes, gear: np.ndarray, profile: Profile):
+        n, self.profile = len(data), profile
+        table = gear[np.frombuffer(data, np.uint8)] if n else gear[:0]
+        rolling, step = table.copy(), 1
+        while step < min(64, max(n, 1)):  # doubling: the sum of 2*step shifted values from two sums of step
+            rolling[step:] = rolling[step:] + (rolling[:-step] << np.uint64(step))
+            step *= 2
+        self.rolling = rolling
+        self.strict = np.flatnonzero((rolling >> np.uint64(64 - profile.strict_bits)) == 0)
+        self.lax = np.flatnonzero((rolling >> np.uint64(64 - profile.lax_bits)) == 0)
+
+    def first(self, hits: np.ndarray, bits: int, begin: int, lo: int, hi: int) -> int | None:
         """The first cut in [lo, hi); the hash begins at `begin`, so its first 63 values are redone."""
         stop = min(begin + 63, hi)
         if lo < stop:  # what came before the restart is shifted out of the bulk value
-            fresh = rolling[begin:stop] - (rolling[begin - 1] << SHIFTS[: stop - begin])
+            before = self.rolling[begin - 1] if begin else np.uint64(0)
+            fresh = self.rolling[begin:stop] - (before << SHIFTS[: stop - begin])
             at = np.flatnonzero((fresh >> np.uint64(64 - bits)) == 0) + begin
             at = at[at >= lo]
             if len(at):
@@ -60,16 +64,23 @@ def spans(data: bytes, gear: np.ndarray, profile: Profile) -> list[tuple[int, in
         k = np.searchsorted(hits, max(lo, begin + 63))
         return int(hits[k]) if k < len(hits) and hits[k] < hi else None
 
-    while start < n:
-        left = n - start
-        if left <= profile.least:
-            out.append((start, left))
-            break
-        begin, middle, end = start + profile.least, start + min(profile.average, left), start + min(profile.most, left)
-        at = first(strict, profile.strict_bits, begin, begin, middle)
+    def size(self, start: int, left: int) -> int:
+        """The size of the chunk that begins at `start`, with `left` bytes up to the end of the file."""
+        p = self.profile
+        if left <= p.least:
+            return left
+        begin, middle, end = start + p.least, start + min(p.average, left), start + min(p.most, left)
+        at = self.first(self.strict, p.strict_bits, begin, begin, middle)
         if at is None:
-            at = first(lax, profile.lax_bits, begin, middle, end)
-        size = (at + 1 if at is not None else end) - start
+            at = self.first(self.lax, p.lax_bits, begin, middle, end)
+        return (at + 1 if at is not None else end) - start
+
+
+def spans(data: bytes, gear: np.ndarray, profile: Profile) -> list[tuple[int, int]]:
+    """Offsets and lengths that tile `data`."""
+    cutter, n, out, start = Cutter(data, gear, profile), len(data), [], 0
+    while start < n:
+        size = cutter.size(start, n - start)
         out.append((start, size))
         start += size
     return out

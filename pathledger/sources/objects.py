@@ -6,10 +6,70 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, StringStartsWith
 
 from pathledger.functions import paths
 from pathledger.runtime import cut_lineage
 
+
+
+class Below(InputPartition):
+    """Keys below a folder, or (shallow) the files right in it."""
+
+    def __init__(self, folder: str, shallow: bool):
+        self.folder, self.shallow = folder, shallow
+
+
+class ListingReader(DataSourceReader):
+    """One partition for each folder next below the prefix's own, so that large stores are listed by many tasks."""
+
+    def __init__(self, top: str, prefix: str = ""):
+        self.top, self.prefix = top.rstrip("/"), prefix
+
+    def pushFilters(self, filters):  # noqa: N802
+        for f in filters:
+            if isinstance(f, StringStartsWith) and f.attribute == ("key",) and f.value.startswith(self.prefix):
+                self.prefix = f.value
+            yield f  # Spark checks it again: a folder's listing may hold more
+
+    def store(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.top) if "://" in self.top else (fs.LocalFileSystem(), self.top)
+
+    def partitions(self) -> list[Below]:
+        from pyarrow import fs
+
+        files, top = self.store()
+        own = f"{top}/{self.prefix.rpartition('/')[0]}".rstrip("/")
+        found = files.get_file_info(fs.FileSelector(own, allow_not_found=True))
+        below = [x.path for x in found if x.type == fs.FileType.Directory and x.path[len(top) + 1 :].startswith(self.prefix)]
+        return [Below(own, True), *(Below(x, False) for x in sorted(below))]
+
+    def read(self, partition: Below):
+        from pyarrow import fs
+
+        files, top = self.store()
+        for x in files.get_file_info(fs.FileSelector(partition.folder, allow_not_found=True, recursive=not partition.shallow)):
+            key = x.path[len(top) + 1 :]
+            if x.type == fs.FileType.File and key.startswith(self.prefix):
+                yield key, int(x.mtime_ns // 10**9) if x.mtime_ns is not None else None, x.size
+
+
+class ObjectListing(DataSource):
+    """key, mtime (seconds, null if unknown), size of a store's objects."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "pathledger_objects"
+
+    def schema(self) -> str:
+        return "key string, mtime bigint, size bigint"
+
+    def reader(self, schema) -> ListingReader:
+        return ListingReader(self.options["path"])
+
+
 METRICS_SCHEMA = (
     "space_id string, commits bigint, pulls_applied bigint, conflicts bigint, feed_errors bigint, stale_alerts bigint, started_at bigint, last_head_seen bigint, "
     "last_commit bigint, quarantines bigint, quarantined boolean, last_quarantine bigint, last_quarantine_error string"
@@ -26,8 +86,11 @@ def walk(spark: SparkSession, folder: str, glob: str | None = None, content: boo
 
 
 def listing(spark: SparkSession, folder: str, prefix: str = "") -> DataFrame:
-    """key and mtime of objects under a prefix."""
-    return walk(spark, folder).select(F.col("p").alias("key"), "mtime").filter(F.col("key").startswith(prefix))
+    """key, mtime, size of objects whose key starts with the prefix, empty ones too. Only the folders that it leads into are
+    listed, and so with any later filter on key.startswith(): Spark hands it to the source, which the session is told to allow."""
+    spark.dataSource.register(ObjectListing)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format(ObjectListing.name()).load(folder).filter(F.col("key").startswith(prefix))
 
 
 def put(blobs: DataFrame, folder: str) -> int:
@@ -101,6 +164,19 @@ def compact(spark: SparkSession, folder: str, to: str) -> None:
     stored(spark, folder).write.partitionBy("shard").parquet(to)
 
 
+def place(root: str, p: str) -> str:
+    """Where a path lies below root, with the folders above it made; a folder on the way that is a link is an error."""
+    import os
+
+    to = root
+    for part in p.split("/")[:-1]:
+        to = os.path.join(to, part)
+        if os.path.islink(to):
+            raise ValueError(f"{p}: a parent is a link")
+    os.makedirs(to, exist_ok=True)
+    return os.path.join(to, p.split("/")[-1])
+
+
 def materialize(entries: DataFrame, folder: str) -> None:
     """Write entries (p, t, x, lt, content) below a shared local folder: folders, files with their exec bit, links.
 
@@ -109,17 +185,6 @@ def materialize(entries: DataFrame, folder: str) -> None:
     Derived entries (type 2) are left out. A retry repeats harmlessly.
     """
 
-    def place(root: str, p: str) -> str:
-        import os
-
-        to = root
-        for part in p.split("/")[:-1]:
-            to = os.path.join(to, part)
-            if os.path.islink(to):
-                raise ValueError(f"{p}: a parent is a link")
-        os.makedirs(to, exist_ok=True)
-        return os.path.join(to, p.split("/")[-1])
-
     def write(rows):
         import os
         import uuid
