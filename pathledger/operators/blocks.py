@@ -39,9 +39,8 @@ def dereference(entries: DataFrame, lists: DataFrame) -> DataFrame:
 def reassemble(pieces: DataFrame, blobs: DataFrame, owner: str) -> DataFrame:
     """Owner, content. pieces: owner, pos, cid; blobs: cid, bytes. Order comes from pos, not from the shuffle."""
     got = pieces.join(blobs.dropDuplicates(["cid"]), "cid", "left")
-    parts = F.array_sort(F.collect_list(F.struct("pos", "bytes")))
-    whole = F.aggregate(parts, F.lit(b""), lambda acc, s: F.concat(acc, s["bytes"]))
-    return got.groupBy(owner).agg(F.count_if(F.col("bytes").isNull()).alias("lost"), whole.alias("content"))
+    whole = F.expr("listagg(bytes) WITHIN GROUP (ORDER BY pos)")  # one buffer, however many blocks
+    return got.groupBy(owner).agg(F.count_if(F.col("bytes").isNull()).alias("lost"), F.coalesce(whole, F.lit(b"")).alias("content"))
 
 
 def verified(whole: DataFrame, expected: DataFrame, owner: str) -> DataFrame:

@@ -27,6 +27,15 @@ def ranked(df: DataFrame, order: str) -> DataFrame:
     return ranged.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + local - 1).drop("_part", "_before")
 
 
+def running_totals(df: DataFrame, order: str, size: str) -> DataFrame:
+    """Adds `before`: the sum of `size` over all rows before in a global order, as ranked() adds a rank."""
+    ranged = cut_lineage(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy("_part").agg(F.sum(size).alias("_n"))
+    before = sums.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    local = F.coalesce(F.sum(size).over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(F.broadcast(before), "_part").withColumn("before", F.col("_before") + local).drop("_part", "_before")
+
+
 def encode(df: DataFrame) -> DataFrame:
     return df.withColumn("row", canonical_row(*(F.col(c) for c in ("key", "p", "t", "x", "sz", "pcid", "lt"))))
 

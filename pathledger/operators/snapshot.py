@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathledger.functions import paths
+from pathledger.operators.pages import running_totals
+from pathledger.runtime import cut_lineage
 
 
 def from_content(df: DataFrame, path: Column, content: Column) -> DataFrame:
@@ -31,6 +36,64 @@ def scan(items: DataFrame, ignore: list[str]) -> DataFrame:
     return items.withColumns({"route": route, "t": paths.classify(p, F.col("is_symlink"), F.col("is_dir"))})
 
 
+class Scan(NamedTuple):
+    """entries: the snapshot, with `how` each came about. skipped: p, reason, retained. deletions: p, retention (delete or hold)."""
+
+    entries: DataFrame
+    skipped: DataFrame
+    deletions: DataFrame
+
+
+def scan_with_base(items: DataFrame, index: DataFrame, base: DataFrame, blocks: DataFrame, read: Callable[[DataFrame], DataFrame], ignore: list[str], now: int) -> Scan:
+    """A whole scan: what is on disk becomes the next snapshot, and nothing that was merely not seen passes for deleted.
+
+    items: p, is_dir, is_symlink, lt, x, sz, mtime (sources.objects.walk_tree()). index: LOCAL_ENTRY rows of the space. base: the
+    published entries (p, key, t, x, sz, pcid, bk, lt). blocks: cid. read: content of files, (p) -> (p, pcid, bk); a file that it
+    leaves out couldn't be read. It is asked for files alone whose blocks can't be reused.
+
+    Of two paths with one key the first counts. The other, and what lies below it, is declined, like ignored and unreadable
+    paths: what the base has of a declined path or below it is published again. So are rebuilt folders (type 2) that vanished.
+    Other index rows that vanished are deleted, or held if they are most of what is tracked. Untrusted names and names that another
+    system can't hold are reported; the latter leave the snapshot. No key has two entries: what is on disk comes before the base.
+    """
+    seen = scan(items, ignore)
+    seen = cut_lineage(seen.withColumn("key", paths.casefold_key(F.col("p"))))
+    mapped = seen.filter(F.col("route").isin("item", "derived"))
+    _, lost = first_per_key(mapped)
+    colliding = declined_subtrees(mapped, lost.select(F.col("p").alias("prefix"))).select("p")
+    fit = cut_lineage(mapped.join(colliding, "p", "left_anti"))
+    files = fit.filter("t = 0")
+    reused = cut_lineage(unchanged_reuse(files.select("p", "sz", "x", "mtime"), index, base, blocks, now))
+    fresh = cut_lineage(read(files.select("p").join(reused, "p", "left_anti")).select("p", "pcid", "bk"))
+    content = reused.select("p", "pcid", F.col("blocks.cid").alias("bk"), F.lit("reused").alias("how")).unionByName(fresh.withColumn("how", F.lit("read")))
+    unread = files.select("p").join(content, "p", "left_anti")
+    none = lambda t: F.lit(None).cast(t)
+    kept_link = paths.symlink_policy(F.col("p"), F.col("lt")) == "preserve"
+    own = files.join(content, "p").select("p", "key", "t", "x", "sz", "pcid", "bk", none("string").alias("lt"), "how").unionByName(
+        fit.filter((F.col("t") > 1) | ((F.col("t") == 1) & kept_link)).select(
+            "p", "key", "t", F.lit(False).alias("x"), none("bigint").alias("sz"), F.when(F.col("t") == 1, F.sha2("lt", 256)).alias("pcid"), none("array<string>").alias("bk"),
+            F.when(F.col("t") == 1, F.col("lt")).alias("lt"), F.element_at(F.array(F.lit("link"), F.lit("derived"), F.lit("folder")), F.col("t").cast("int")).alias("how"),
+        )
+    )
+    reason = lambda df, r: df.select("p", F.lit(r).alias("reason"))
+    declined = reason(colliding, "collision").unionByName(reason(unread, "unreadable")).unionByName(seen.filter(F.col("route").isin("ignored", "junk", "unreadable")).select("p", F.col("route").alias("reason")))
+    declined = cut_lineage(declined)
+    present = fit.select("p").unionByName(declined.select("p")).distinct()
+    gone = index.withColumnRenamed("path", "p").join(present, "p", "left_anti")
+    below = declined_subtrees(gone.select("p"), declined.select(F.col("p").alias("prefix"))).select("p", F.lit(True).alias("below"))
+    tracked = (F.col("local_only") == 0) | (F.col("type") == 2)
+    lost_rows = cut_lineage(gone.join(below, "p", "left").select("p", tracked.alias("tracked"), (F.coalesce("below", F.lit(False)) | (F.col("type") == 2)).alias("keep")))
+    counts = index.agg(F.count_if(tracked).alias("tracked")).crossJoin(lost_rows.agg(F.count_if(~F.col("keep") & F.col("tracked")).alias("deleted"))).first()
+    hold = counts.tracked >= 50 and counts.deleted * 100 >= counts.tracked * 90
+    again = declined.select("p").unionByName(lost_rows.filter("keep").select("p")).distinct()
+    taken = base.join(again, "p", "left_semi").join(own.select("key"), "key", "left_anti").select("p", "key", "t", "x", "sz", "pcid", "bk", "lt", F.lit("published again").alias("how"))
+    entries = cut_lineage(own.unionByName(taken))
+    skipped = declined.unionByName(reason(fit.filter((F.col("t") == 1) & ~kept_link), "local_only")).unionByName(seen.filter(F.col("route").isin("untrusted", "unsyncable")).select("p", F.col("route").alias("reason")))
+    kept = taken.select("p", F.lit(True).alias("retained"))
+    skipped = skipped.join(kept, "p", "left").withColumn("retained", F.coalesce("retained", F.lit(False)))
+    return Scan(entries, skipped, lost_rows.filter("not keep").select("p", F.lit("hold" if hold else "delete").alias("retention")))
+
+
 def added(head: DataFrame) -> DataFrame:
     """First clone: everything in the head is new, no diff is needed."""
     return head.select("key", F.lit("Added").alias("change"), F.lit(None).cast("string").alias("old_pcid"), F.col("pcid").alias("new_pcid"))
@@ -99,11 +162,14 @@ def mass_delete_guard(df: DataFrame, group: str, deleted: Column, *, least: int
     return out.withColumn("blocked", (F.col("tracked") >= least) & (F.col("deleted") * 100 >= F.col("tracked") * percent))
 
 
-def upload_budget(df: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
+def upload_budget(df: DataFrame, group: str | None, order: str, size: str, budget: int) -> DataFrame:
     """Files in order while the bytes before them are below the budget; the rest wait for the next commit.
 
-    Deferred files come after every taken one, so the running sum over all files decides as a fold would.
+    Deferred files come after every taken one, so the running sum over all files decides as a fold would. Without a group all
+    files are one scan, whose sums are made by ranges of the order; a group is one task's.
     """
-    w = W.partitionBy(group).orderBy(order)
-    before = F.coalesce(F.sum(size).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("before", before).withColumn("deferred", F.col("before") >= budget)
+    if group is None:
+        summed = running_totals(df, order, size)
+    else:
+        summed = df.withColumn("before", F.coalesce(F.sum(size).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return summed.withColumn("deferred", F.col("before") >= budget)
