@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,6 +71,37 @@ def gram_buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(buckets), np.concatenate(owner), any_letter
 
 
+def histogram(data: np.ndarray, piece: int = tc.CHUNK) -> tuple[np.ndarray, bool]:
+    """(how often each bucket's grams occur, whether there is a letter) in one text, piece by piece: memory follows the piece.
+
+    The grams are those of gram_buckets(): the last characters of a piece are carried into the next.
+    """
+    low, letter = tables()
+    total, some, at = np.zeros(1 << BITS, np.int64), False, 0
+    carry = np.zeros(0, np.uint64)
+    while at < len(data):
+        end = min(len(data), at + piece)
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        code = np.frombuffer(data[at:end].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        is_letter = letter[code]
+        some = some or bool(is_letter.any())
+        c = np.concatenate([carry, np.where(is_letter, low[code], 32).astype(np.uint64)])
+        keep = np.ones(len(c), bool)
+        keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
+        c = c[keep]
+        for n in ORDERS:
+            first = max(0, len(carry) - n + 1)
+            if len(c) - first < n:
+                continue
+            h = np.full(len(c) - first - n + 1, n, np.uint64)
+            for i in range(n):
+                h += c[first + i : len(c) - n + 1 + i] * tc.GRAM[i]
+            total += np.bincount((tc.mix(h) >> tc.U(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+        carry, at = c[len(c) - min(len(c), max(ORDERS) - 1) :], end
+    return total, some
+
+
 def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Chunks of at most BLOCK_DOCS documents."""
     for lo, data, offs in tc.chunks(column):
@@ -86,11 +118,18 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
 
+    @functools.cached_property
+    def table(self) -> np.ndarray:
+        return self.weights * self.idf[:, None] * SCALE
+
+    def logits_of(self, counts: np.ndarray) -> np.ndarray:
+        """logits() of one text from its histogram."""
+        return (counts @ self.table)[None] / max(1, int(counts.sum())) + self.bias
+
     def logits(self, bucket: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
         """x_b = SCALE * tf_b / n * idf_b is linear in occurrences: a gather and one sum per document."""
         n = np.maximum(np.bincount(owner, minlength=docs), 1)
-        table = self.weights * self.idf[:, None] * SCALE
-        return np.stack([np.bincount(owner, weights=table[:, k][bucket], minlength=docs) / n for k in range(len(self.languages))], axis=1) + self.bias
+        return np.stack([np.bincount(owner, weights=self.table[:, k][bucket], minlength=docs) / n for k in range(len(self.languages))], axis=1) + self.bias
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -134,11 +173,14 @@ def train(docs: DataFrame, *, most: int = FIT_DOCUMENTS, most_bytes: int = FIT_B
         df, rows = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
             for _, data, offs in blocks(batch.column(0)):
+                rows += len(offs) - 1
+                if len(data) > tc.CHUNK:  # one text
+                    df += histogram(data)[0] > 0
+                    continue
                 bucket, owner, _ = gram_buckets(data, offs)
                 seen = np.zeros((len(offs) - 1) << BITS, bool)
                 seen[(owner << BITS) | bucket] = True
                 df += seen.reshape(len(offs) - 1, -1).sum(axis=0)
-                rows += len(offs) - 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], rows))], ["bucket", "n"])
 
@@ -198,9 +240,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for lo, data, offs in blocks(batch.column(1)):
                 rows = len(offs) - 1
-                bucket, owner, some = gram_buckets(data, offs)
+                if len(data) > tc.CHUNK:  # one text
+                    counts, any_letter = histogram(data)
+                    z, some = m.logits_of(counts), np.array([any_letter])
+                else:
+                    bucket, owner, some = gram_buckets(data, offs)
+                    z = m.logits(bucket, owner, rows)
                 if m.languages:
-                    p = softmax(m.logits(bucket, owner, rows) / m.temperature)
+                    p = softmax(z / m.temperature)
                     best, score = [m.languages[k] for k in p.argmax(axis=1)], p.max(axis=1)
                 else:
                     best, score, some = [NO_LANGUAGE] * rows, np.zeros(rows), np.zeros(rows, bool)
@@ -213,4 +260,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
+    """predict() by the model that train() learns from docs: doc_id, held_out, lang_pred, score for every row.
+
+    Null texts and those without a letter are `und`; rows of a null doc_id or lang aren't learnt from; repeated rows get equal
+    results, and an empty table gives an empty result.
+    """
     return predict(docs, train(docs))

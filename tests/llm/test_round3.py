@@ -223,3 +223,27 @@ def test_exact_sums_beyond_a_long():
     x = np.array([[2**61, -(2**61)], [2**61 - 1, 5]], np.int64)
     t, d = whitening.spread(x, 2, [2**62 - 1, 5 - 2**61])
     assert d == [sum(int(v) ** 2 for v in row) for row in t] and t[0][0] == 1
+
+
+def test_language_of_long_texts_is_counted_in_pieces(spark):
+    import random
+
+    from pathledger.llm import langid
+
+    r = random.Random(5)
+    text = "".join(r.choice("ab ßÉ\n1.  \U0001F600日") for _ in range(3000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    bucket, _, some = langid.gram_buckets(data, np.array([0, len(data)]))
+    want = np.bincount(bucket, minlength=1 << langid.BITS)
+    for piece in (1, 2, 3, 7, 100, 10**6):
+        got, any_letter = langid.histogram(data, piece)
+        assert (got == want).all() and any_letter == bool(some[0])
+    assert not langid.histogram(np.frombuffer(b"12 3 " * 50, np.uint8), 7)[1] and langid.histogram(data[:0])[0].sum() == 0
+    model = langid.Model(["x", "y"], np.ones(1 << langid.BITS), np.random.default_rng(1).normal(size=(1 << langid.BITS, 2)), np.zeros(2))
+    assert np.allclose(model.logits_of(want), model.logits(bucket, np.zeros(len(bucket), np.int64), 1))
+    long = ["the house " * 150_000, "das haus " * 150_000, " 1" * 700_000]
+    rows = [(i, t[:60] if i > 2 else t, ("en", "de")[i % 2] if i % 3 != 2 else None) for i, t in enumerate([*long, *(["the house is on the hill", "das haus ist auf dem berg"] * 30)])]
+    rows = [(i, t, ("en" if "the" in t else "de") if i > 2 else None) for i, t, _ in rows]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    clash = df.select("*", *(F.lit("x").alias(c) for c in ("bucket", "n", "score", "held_out", "b", "tf")))
+    assert [x.lang_pred for x in langid.identify(clash).orderBy("doc_id").limit(3).collect()] == ["en", "de", "und"]
