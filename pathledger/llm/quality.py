@@ -34,8 +34,8 @@ _NEWLINE[10] = True
 OWN = 20
 
 
-def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of every line with those of its neighbours, first line of each document, bytes of each line).
+def own_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features of every line but the last one, its document, its bytes, its hash).
 
     Lines are runs between line feeds; blank text is one empty line, so that every document has a line.
     """
@@ -76,10 +76,18 @@ def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     f[:, 15] = np.bincount(line, weights=(we - ws) > 20, minlength=len(starts)) / w
     f[:, 16] = np.bincount(line, weights=(we - ws) == 1, minlength=len(starts)) / w
     last, head = (data[np.maximum(ends - 1, 0)], data[np.minimum(starts, max(len(data) - 1, 0))]) if len(data) else (np.zeros(len(starts), np.uint8),) * 2
-    f[:, 17] = np.isin(last, list(b".!?:"))
-    f[:, 18] = _classes[1][head]
+    f[:, 17] = np.isin(last, list(b".!?:")) & (size > 0)
+    f[:, 18] = _classes[1][head] & (size > 0)
     whole = np.zeros(len(starts), np.uint64)
     whole[size > 0] = tc.words(data, offs, ~_NEWLINE, lower=False)[0]
+    return f, owner, n, whole
+
+
+def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of every line with those of its neighbours, first line of each document, bytes of each line); the last of its
+    own says whether an equal line of the document comes before."""
+    docs = len(offs) - 1
+    f, owner, n, whole = own_features(data, offs)
     dup = np.lexsort((whole, owner))
     same = np.zeros(len(whole), bool)
     same[1:] = (whole[dup][1:] == whole[dup][:-1]) & (owner[dup][1:] == owner[dup][:-1])
@@ -124,6 +132,80 @@ def marginals(unary: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[
     return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -50, 50))), pairs, float(z.sum())
 
 
+BLOCK = 1024
+LEAST = 1e-120
+
+
+def one_chain(unary: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """P(good) of each line of one long chain: blocks of lines advance together, from states that the blocks' products carry.
+
+    In probabilities scaled to 1 at each step, which marginals allow; the same as marginals() but for rounding and for
+    probabilities below LEAST. Three numbers a line are held.
+    """
+    n = len(unary)
+    rows = -(-n // BLOCK)
+    steps = np.full((rows, BLOCK), np.nan)  # lines beyond the end change nothing
+    steps.reshape(-1)[:n] = unary
+    steps = np.ascontiguousarray(steps.T)
+    m = np.exp(trans - trans.max())
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        return np.maximum(x / x.sum(axis=-1, keepdims=True), LEAST)
+
+    def emitted(t: int) -> tuple[np.ndarray, np.ndarray]:
+        """(weights of both states, whether the line is there) of line t of each block."""
+        u = np.nan_to_num(steps[t])
+        top = np.maximum(u, 0)
+        return np.maximum(np.exp(np.stack([-top, u - top], axis=1)), LEAST), ~np.isnan(steps[t])[:, None]
+
+    product = np.tile(np.eye(2), (rows, 1, 1))
+    grown = np.zeros((rows, 2))  # logarithms of what scaling took from the rows of each product
+    for t in range(BLOCK):
+        w, there = emitted(t)
+        product = np.where(there[:, :, None], (product @ m) * w[:, None, :], product)
+        grown += np.log(product.sum(axis=2))
+        product = scaled(product)
+    product *= np.maximum(np.exp(grown - grown.max(axis=1, keepdims=True)), LEAST)[:, :, None]
+    before, after = np.ones((rows, 2)), np.ones((rows, 2))
+    first = state = scaled(emitted(0)[0][0])  # no transition comes before the chain's first line
+    for t in range(1, min(n, BLOCK)):
+        state = scaled((state @ m) * emitted(t)[0][0])
+    for r in range(1, rows):
+        before[r] = state
+        state = scaled(state @ product[r])
+    state = np.ones(2)
+    for r in range(rows - 1, -1, -1):
+        after[r] = state
+        state = scaled(product[r] @ state)
+    good = np.empty((BLOCK, rows))
+    now = before
+    for t in range(BLOCK):
+        w, there = emitted(t)
+        now = np.where(there, scaled((now @ m) * w), now)
+        if t == 0:
+            now[0] = first
+        good[t] = now[:, 1]
+    now = after
+    for t in range(BLOCK - 1, -1, -1):
+        w, there = emitted(t)
+        p = np.stack([np.maximum(1 - good[t], LEAST), good[t]], axis=1) * now
+        good[t] = p[:, 1] / p.sum(axis=1)
+        now = np.where(there, scaled((w * now) @ m.T), now)
+    return good.T.reshape(-1)[:n]
+
+
+def pieces(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Whole lines of about `most` bytes; a longer line is a piece of its own, and stretches without a line are left out."""
+    ends = np.append(np.flatnonzero(data == 10), len(data))
+    low = 0
+    while low < len(data):
+        high = int(ends[max(np.searchsorted(ends, low), np.searchsorted(ends, low + most, "right") - 1)])
+        part = data[low:high]
+        if (part != 10).any():
+            yield part
+        low = high + 1
+
+
 @dataclass
 class Crf:
     weights: np.ndarray
@@ -140,6 +222,31 @@ class Crf:
         p = self.lines(x, first)
         return np.add.reduceat(p * size, first[:-1]) / np.add.reduceat(size, first[:-1])
 
+    def long_document(self, data: np.ndarray, most: int = tc.CHUNK) -> np.ndarray:
+        """documents() of one text of many lines: features are made piece by piece, a line keeps some 60 bytes."""
+        w = (self.weights * self.scale)[: 3 * OWN].reshape(3, OWN)  # of a line, of the one before, of the one after
+        dots, sizes, hashes = [], [], []
+        for part in pieces(data, most):
+            f, _, n, whole = own_features(part, np.array([0, len(part)]))
+            dots.append((f.astype(np.float32).astype(float) @ w.T).astype(np.float32))
+            sizes.append(n.astype(np.int32))
+            hashes.append(whole)
+        if not dots:
+            return self.documents(*line_features(data[:0], np.array([0, 0])))
+        dot, size, whole = (np.concatenate(x) for x in (dots, sizes, hashes))
+        del dots, sizes, hashes
+        order = np.argsort(whole, kind="stable").astype(np.int32 if len(whole) < 1 << 31 else np.int64)
+        whole = whole[order]
+        again = order[1:][whole[1:] == whole[:-1]]
+        del whole, order
+        unary = np.full(len(dot), self.weights[-1] * self.scale[-1])
+        for k, (to, of) in enumerate(((slice(None), slice(None)), (slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None)))):
+            part = dot[:, k].copy()
+            part[again] += w[k, OWN - 1]
+            unary[to] += part[of]
+        del dot, again, part
+        return np.array([np.dot(one_chain(unary, self.trans), size) / size.sum(dtype=np.int64)])
+
     def calibrated(self, mean: np.ndarray) -> np.ndarray:
         m = np.clip(mean, 1e-6, 1 - 1e-6)
         return 1 / (1 + np.exp(-(self.slope * np.log(m / (1 - m)) + self.shift)))
@@ -238,8 +345,8 @@ def score(docs: DataFrame, crf: Crf, *, threshold: float = THRESHOLD) -> DataFra
         for batch in batches:
             for lo, data, offs in tc.chunks(batch.column(1)):
                 model = shared.value
-                x, first, size = line_features(data, offs)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(offs) - 1), pa.array(model.calibrated(model.documents(x, first, size)))], ["doc_id", "score"])
+                mean = model.long_document(data) if len(data) > tc.CHUNK else model.documents(*line_features(data, offs))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(offs) - 1), pa.array(model.calibrated(mean))], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, score double")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
@@ -247,4 +354,9 @@ def score(docs: DataFrame, crf: Crf, *, threshold: float = THRESHOLD) -> DataFra
 
 
 def classify(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
+    """score() by the model that train() learns from docs and labels: doc_id, held_out, score, predicted for every row.
+
+    Null and empty texts are one empty line; null ids aren't learnt from; without labels every score is 0.5; repeated rows get
+    equal scores, and an empty table gives an empty result.
+    """
     return score(docs, train(docs, labels), **kw)

@@ -247,3 +247,38 @@ def test_language_of_long_texts_is_counted_in_pieces(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     clash = df.select("*", *(F.lit("x").alias(c) for c in ("bucket", "n", "score", "held_out", "b", "tf")))
     assert [x.lang_pred for x in langid.identify(clash).orderBy("doc_id").limit(3).collect()] == ["en", "de", "und"]
+
+
+def test_quality_of_long_texts_in_pieces(spark):
+    import random
+
+    from pathledger.llm import quality
+
+    r, g = random.Random(7), np.random.default_rng(7)
+    say = lambda: r.choice(["", "A line.", "a line", "| x | y |", "zz" * r.randint(1, 60), "Ünï cödé!", "a line", "\r", " "])
+    crf = quality.Crf(g.normal(size=61) / 4, g.normal(size=(2, 2)), 1 / np.maximum(g.random(61), 0.2), 1.3, 0.2)
+    for lines in (1, 2, 5, 1023, 1024, 1025, 2049, 5000):
+        data = np.frombuffer("\n".join(say() for _ in range(lines)).encode() + b"\nend", np.uint8)
+        want = crf.documents(*quality.line_features(data, np.array([0, len(data)])))
+        for most in (1, 50, 10**6) if lines < 1100 else (3000,):
+            assert np.allclose(crf.long_document(data, most), want, atol=1e-6), (lines, most)
+    steep = quality.Crf(g.normal(size=61) * 30, g.normal(size=(2, 2)) * 5, np.ones(61))
+    assert np.allclose(steep.long_document(data, 999), steep.documents(*quality.line_features(data, np.array([0, len(data)]))), atol=1e-4)
+    for n in (1, 5, 1024, 3000):
+        u = g.normal(size=n) * 40
+        t = g.normal(size=(2, 2)) * 6
+        assert np.allclose(quality.one_chain(u, t), quality.marginals(u, np.array([0, n]), t)[0], atol=1e-12)
+    blank = np.frombuffer(b"\n" * 40, np.uint8)
+    assert np.allclose(crf.long_document(blank, 7), crf.documents(*quality.line_features(blank, np.array([0, 40]))))
+    beside = np.frombuffer(b"End.Start", np.uint8)  # an empty text takes nothing from its neighbours
+    alone = crf.documents(*quality.line_features(blank[:0], np.array([0, 0])))
+    assert np.allclose(crf.documents(*quality.line_features(beside, np.array([0, 4, 4, 9])))[1], alone[0])
+
+
+def test_quality_without_labels_and_with_clashing_columns(spark):
+    from pathledger.llm import quality
+
+    docs = spark.createDataFrame([(1, "a\n" * 600_000), (2, "Some text."), (3, None), (3, None)], "doc_id bigint, text string")
+    docs = docs.select("*", *(F.lit("x").alias(c) for c in ("quality", "x", "size", "lines", "score")))
+    got = quality.classify(docs, spark.createDataFrame([], "doc_id bigint, quality int")).collect()
+    assert len(got) == 4 and all(x.score == 0.5 for x in got)
