@@ -151,7 +151,8 @@ def bury(keys: DataFrame, folder: str) -> int:
 
 def stored(spark: SparkSession, folder: str) -> DataFrame:
     """key, body, born, shard of the objects that no tombstone has met; one that was put again after its burial lives."""
-    rows = spark.read.schema("key string, body binary, born bigint, shard string").parquet(folder)
+    body = spark.read.parquet(folder).schema["body"].dataType.simpleString()
+    rows = spark.read.schema(f"key string, body {body}, born bigint, shard string").parquet(folder)  # two digits are no number
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{TOMBS}")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return rows
