@@ -63,13 +63,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes
     yield from done()
 
 
-def _walk(cutter: Cutter, data: bytes, start: int, stop: int, at_end: bool, known: dict[int, int] | None = None) -> Iterator[tuple[int, int]]:
+def _walk(cutter: Cutter, data: bytes, start: int, stop: int, at_end: bool) -> Iterator[tuple[int, int]]:
     """(start, end) of chunks from `start` until one ends at `stop` or behind it."""
     while start < stop:
         left = len(data) - start if at_end else cutter.profile.most + 1
         end = start + cutter.size(start, left)
-        if known is not None:
-            known[start] = end
         yield start, end
         start = end
 
@@ -81,9 +79,11 @@ def _edges(gear: np.ndarray, profile: Profile, size: int):
         for file, at, data, before, own, asked in _groups(batches):
             cutter, stop, base = Cutter(data, gear, profile), before + own, at * size - before
             at_end = len(data) - stop < profile.most
-            first = [before] if at == 0 else []
-            cuts = np.union1d(cutter.strict, cutter.lax) + 1
-            entries = {int(c) for c in cuts if before <= c < stop} | {s - base for s in asked} | set(first)
+            if asked:
+                entries = {s - base for s in asked}
+            else:
+                cuts = np.union1d(cutter.strict, cutter.lax) + 1
+                entries = set(cuts[(cuts >= before) & (cuts < stop)].tolist()) | ({before} if at == 0 else set())
             out: dict[int, int] = {}
             for s in sorted(entries, reverse=True):
                 seen = []
@@ -94,7 +94,7 @@ def _edges(gear: np.ndarray, profile: Profile, size: int):
                     if b >= stop:
                         out.update(dict.fromkeys(seen, b))
                         break
-            keep = [s for s in entries if not asked or s in {x - base for x in asked}]
+            keep = sorted(entries)
             yield pa.RecordBatch.from_arrays([pa.array([file] * len(keep), pa.string()), pa.array([at] * len(keep), pa.int64()), pa.array([s + base for s in keep], pa.int64()), pa.array([out[s] + base for s in keep], pa.int64())], ["file", "slice", "start", "next"])
 
     return run
