@@ -98,16 +98,23 @@ def revision_stream(spark: SparkSession, folder: str, start: str = "head") -> Da
     return spark.readStream.format(RevisionFeed.name()).option("start", start).load(folder)
 
 
-def newest(spark: SparkSession, folder: str, space: str) -> tuple[int | None, dict]:
-    """(head, its content) of a space whose revisions hold JSON."""
+def head(spark: SparkSession, folder: str, space: str) -> int | None:
+    """A space's newest seq; None if it has no revision."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{space}")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     have = [int(x.getPath().getName()) for x in fs.listStatus(path) if x.getPath().getName().isdigit()] if fs.exists(path) else []
-    if not have:
+    return max(have, default=None)
+
+
+def newest(spark: SparkSession, folder: str, space: str) -> tuple[int | None, dict]:
+    """(head, its content) of a space whose revisions hold JSON."""
+    seq = head(spark, folder, space)
+    if seq is None:
         return None, {}
-    stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{space}/{max(have)}"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{space}/{seq}")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
     try:
-        return max(have), json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        return seq, json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
         stream.close()
 
@@ -122,14 +129,14 @@ def committing_sink(spark: SparkSession, folder: str, space: str, query: str, at
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         for _ in range(attempts):
-            head, content = newest(spark, folder, space)
+            at, content = newest(spark, folder, space)
             applied = content.get("applied", {})
             if applied.get(query, -1) >= batch_id:
                 return
             data = f"{folder}/{space}/_data/{query}-{batch_id}"
             batch.write.mode("overwrite").parquet(data)
             body = {"query": query, "batch": batch_id, "data": data, "applied": applied | {query: batch_id}}
-            if revlog.commit(spark, folder, space, head, json.dumps(body, sort_keys=True).encode()) is not None:
+            if revlog.commit(spark, folder, space, at, json.dumps(body, sort_keys=True).encode()) is not None:
                 return
         raise RuntimeError(f"{space}: {attempts} attempts lost the race")
 

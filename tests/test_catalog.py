@@ -1,7 +1,7 @@
 import pytest
 from oracle import assert_same
 
-from pathledger.plans import store_catalog, sync_catalog  # noqa: F401
+from pathledger.plans import source_catalog, store_catalog, sync_catalog  # noqa: F401
 from pathledger.plans.catalog import ORACLES, QUERIES
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
