@@ -11,6 +11,7 @@ of perturbed log-probabilities, and all documents of a chunk advance together.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 SAMPLES = 2
 THETA = 1.0
+#: So few units or walks left are finished one by one; it changes no piece.
+FEW = 8
+#: Bytes of a unit for whose ends edges are drawn at once then.
+STRETCH = 1 << 16
 
 
 class Vocabulary:
@@ -95,6 +100,16 @@ def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, end, np.searchsorted(offs, start, "right") - 1
 
 
+def sum_paths(alpha: np.ndarray, first: int, at: np.ndarray, begin: np.ndarray, lw: np.ndarray) -> None:
+    """Log-weights of all paths to each node from `first` on, node by node: for levels too narrow for a call each."""
+    a, at_, b, w, none = memoryview(alpha), memoryview(at), memoryview(begin), memoryview(lw), -math.inf
+    for node in range(first, len(a)):
+        x = [a[b[e]] + w[e] for e in range(at_[node], at_[node + 1])]
+        top = max(x, default=none)
+        if top > none:
+            a[node] = top + math.log(sum([math.exp(y - top) for y in x]))
+
+
 class Lattice:
     """Edges of the distinct units of a chunk, grouped by end node, with P(edge | path goes through its end)."""
 
@@ -148,7 +163,8 @@ class Lattice:
         self.root = place
         self.sink = level[size] + place
         nodes = int(level[-1])
-        self.roots = units_n
+        self.roots, self.level = units_n, level
+        self.depth = np.repeat(np.arange(most + 1, dtype=np.int32), alive)
         into = np.zeros(nodes, np.int64)
         into[after] = ways
         self.at = np.concatenate([[0], np.cumsum(into)])
@@ -159,7 +175,8 @@ class Lattice:
         lw = v.log_weight[self.piece]
         alpha = np.full(nodes, -np.inf)
         alpha[: self.roots] = 0.0
-        for d in range(1, most + 1):
+        few = max(int(np.searchsorted(-alive, -FEW)), 1)  # the first level of few nodes
+        for d in range(1, min(few, most + 1)):
             e = slice(self.at[level[d]], self.at[level[d + 1]])
             if e.start == e.stop:
                 continue
@@ -171,6 +188,8 @@ class Lattice:
             run = np.diff(np.append(heads, len(x)))
             with np.errstate(divide="ignore"):
                 alpha[node[heads]] = np.log(np.add.reduceat(np.exp(x - np.repeat(top, run)), heads)) + top
+        if few <= most:
+            sum_paths(alpha, int(level[few]), self.at, self.begin, lw)
         lw += alpha[self.begin]
         lw -= alpha[self.end]
         self.log_p, self.p = lw, np.exp(lw)
@@ -186,6 +205,24 @@ class Lattice:
             todo = todo[(want[todo] > 0) & (e[todo] < last[todo])]
         return e
 
+    def follow(self, root: int, node: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """(edges, hashes) of one walk from a node to the root of its unit: edges are drawn for all ends of a stretch, then followed."""
+        edges, hashes, depth = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], int(self.depth[node])
+        while depth:
+            low = max(depth - STRETCH, 0)
+            d = np.arange(low + 1, depth + 1)
+            ends, h = self.level[d] + root, keyed(seed, d)
+            open_ = self.at[ends + 1] > self.at[ends]  # none ends inside a character that a piece spells
+            e = np.zeros(len(d), np.int64)
+            e[open_] = self.draw(ends[open_], uniform(h[open_]))
+            before, taken = self.depth[self.begin[e]].tolist(), []
+            while depth > low:
+                taken.append(depth - low - 1)
+                depth = before[taken[-1]]
+            edges.append(e[taken])
+            hashes.append(h[taken])
+        return np.concatenate(edges), np.concatenate(hashes)
+
     def log_rest(self, e: np.ndarray) -> np.ndarray:
         """Log-probability of the other edges into the same node; -inf where there are none."""
         rest = 1 - self.p[e]
@@ -265,23 +302,29 @@ def sample_chunk(v: Vocabulary, data: np.ndarray, offs: np.ndarray, seeds: np.nd
     def walk(unit: np.ndarray, node: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(entry, edge, hash) of fresh walks from each node to the root of its unit, entries in order."""
         seed = keyed(seeds[owner[unit]], turn, unit - first_unit[owner[unit]])
-        who, step, parts = np.arange(len(unit)), 0, []
+        who, parts = np.arange(len(unit)), []
         go = node != root[unit]
         node, who = node[go], who[go]
-        while len(node):
-            h = keyed(seed[who], step)
+        while len(node) > FEW:
+            h = keyed(seed[who], lat.depth[node])
             e = lat.draw(node, uniform(h))
             parts.append((who, e, h))
             node = lat.begin[e]
             go = node != root[unit[who]]
-            node, who, step = node[go], who[go], step + 1
+            node, who = node[go], who[go]
+        rest = [(w, *lat.follow(int(root[unit[w]]), x, seed[w])) for w, x in zip(who.tolist(), node.tolist())]
         size = np.zeros(len(unit), np.int64)
         for who, _, _ in parts:
             size[who] += 1
+        for w, e, _ in rest:
+            size[w] += len(e)
         before = np.cumsum(size) - size
         edges, hashes = np.zeros(int(size.sum()), np.int64), np.zeros(int(size.sum()), np.uint64)
         for step, (who, e, h) in enumerate(parts):
             edges[before[who] + step], hashes[before[who] + step] = e, h
+        for w, e, h in rest:
+            to = slice(before[w] + len(parts), before[w] + len(parts) + len(e))
+            edges[to], hashes[to] = e, h
         return np.repeat(np.arange(len(unit)), size), edges, hashes
 
     top = -np.log(-np.log(uniform(keyed(seeds, 0, 0, 1))))
