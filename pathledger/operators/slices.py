@@ -1,9 +1,11 @@
 """Files larger than a row: chunked from slices, all slices at once; written block by block.
 
-A chunk's end hangs on its start and on the `most` bytes after it alone. So each slice, with that much of what follows, is a
-function from a chunk start within it to the first chunk start behind it. Starts that content can give are known beforehand:
-they follow the slice's candidate cuts. The functions of all slices are made in parallel and composed by doubling; where a
-chunk ends for another reason (a forced cut, or one just behind the least size) its successor's function gets that start too.
+A chunk's end hangs on its start and on the `most` bytes after it alone. Slices are put together to runs of some largest chunks.
+Each run, with `most` bytes of what follows, is a function from a chunk start within it to the first chunk start behind it.
+Starts that content can give are known beforehand: they follow the run's candidate cuts. The functions of all runs are made in
+parallel and composed by doubling; where a chunk ends for another reason (a forced cut, or one just behind the least size) its
+successor's function gets that start too. A file of one run is chunked at once: bytes are shuffled once for it, else twice, and
+again for those runs alone that learn of a start.
 """
 
 from __future__ import annotations
@@ -27,29 +29,45 @@ from pathledger.runtime import cut_lineage
 from pathledger.sources import objects
 
 SLICE = 1 << 20
-#: Rounds in which slices learn of starts they hadn't known; files that need more, long runs of one byte, are read in order.
+#: A run has four times the bytes of a largest chunk, but not above this (or one largest chunk): what it is sent of its neighbours stays small beside it.
+RUN = 1 << 20
+#: Rounds in which runs learn of starts they hadn't known; files that need more, long stretches of one byte, are read in order.
 ROUNDS = 6
-EDGE = "file string, slice bigint, start bigint, next bigint"
+#: Up to so many names of files or runs are broadcast, so that only the bytes they pick are shuffled.
+MOST_SENT = 500_000
 CHUNK = "file string, slice bigint, offset bigint, len bigint, cid string"
+#: Edges have no chunk, and the chunks of files of one run no edge.
+EDGE = f"{CHUNK}, start bigint, next bigint"
+CHUNK_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
 
 
-def _with_context(slices: DataFrame, profile: Profile, size: int) -> DataFrame:
-    """file, slice, nth, piece, start: each slice (nth 0) after the last 64 bytes before it (-1) and before the `most` bytes that follow (1, 2, ...)."""
-    own = F.struct(F.col("slice"), F.lit(0).alias("nth"), F.col("bytes").alias("piece"))
-    tail = F.struct((F.col("slice") + 1).alias("slice"), F.lit(-1).alias("nth"), F.expr("substring(bytes, -64)").alias("piece"))
-    ahead = [F.struct((F.col("slice") - j).alias("slice"), F.lit(j).alias("nth"), F.substring("bytes", 1, min(size, profile.most - (j - 1) * size)).alias("piece")) for j in range(1, math.ceil(profile.most / size) + 1)]
-    sent = slices.select("file", F.explode(F.array(own, tail, *ahead)).alias("x")).select("file", "x.*")
-    return sent.filter("slice >= 0").withColumn("start", F.lit(None).cast("bigint"))
+def _per_run(profile: Profile, size: int) -> int:
+    return math.ceil(min(4 * profile.most, max(profile.most, RUN)) / size)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes, int, bytes, list[int]]]:
-    """(file, slice, bytes, how many of them come before the slice, the slice's size, starts asked for)."""
+def _with_context(slices: DataFrame, profile: Profile, size: int, per: int) -> DataFrame:
+    """file, slice, nth, piece, start: the `per` slices of each run (nth 0, 1, ...), after the last 64 bytes before it (-1) and before the `most` bytes that follow (per, ...).
+
+    From here on `slice` is the run's number.
+    """
+    run, nth = F.expr(f"slice div {per}"), (F.col("slice") % per).cast("int")
+    row = lambda to, at, piece: F.struct(to.alias("slice"), at.alias("nth"), piece.alias("piece"))
+    own = row(run, nth, F.col("bytes"))
+    tail = F.when(nth == per - 1, row(run + 1, F.lit(-1), F.expr("substring(bytes, -64)")))
+    left = F.lit(profile.most) - nth * size
+    ahead = F.when((run > 0) & (left > 0), row(run - 1, nth + per, F.col("bytes").substr(F.lit(1), F.least(left, F.lit(size)))))
+    sent = slices.select("file", F.explode(F.array_compact(F.array(own, tail, ahead))).alias("x")).select("file", "x.*")
+    return sent.withColumn("start", F.lit(None).cast("bigint"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], per: int) -> Iterator[tuple[str, int, bytes, int, int, list[int]]]:
+    """(file, run, bytes, how many of them come before the run, the run's size, starts asked for)."""
     now, parts, starts = None, {}, []
 
     def done():
         if now is not None and 0 in parts:
             before = parts.get(-1, b"")
-            yield *now, before + b"".join(parts[k] for k in sorted(parts) if k >= 0), len(before), len(parts[0]), starts
+            yield *now, before + b"".join(parts[k] for k in sorted(parts) if k >= 0), len(before), sum(len(parts[k]) for k in parts if 0 <= k < per), starts
 
     for b in batches:
         for file, at, nth, piece, start in zip(*(b.column(i).to_pylist() for i in range(5))):
@@ -72,12 +90,16 @@ def _walk(cutter: Cutter, data: bytes, start: int, stop: int, at_end: bool) -> I
         start = end
 
 
-def _edges(gear: np.ndarray, profile: Profile, size: int):
-    """From each start that a slice's content can give (and those asked for) to the first start behind the slice."""
+def _edges(gear: np.ndarray, profile: Profile, size: int, per: int):
+    """From each start that a run's content can give (and those asked for) to the first start behind the run; of a file of one run, its chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, at, data, before, own, asked in _groups(batches):
-            cutter, stop, base = Cutter(data, gear, profile), before + own, at * size - before
+        for file, at, data, before, own, asked in _groups(batches, per):
+            cutter, stop, base = Cutter(data, gear, profile), before + own, at * per * size - before
+            if at == 0 and stop == len(data):
+                cols = _chunk_columns(file, at, data, base, _walk(cutter, data, 0, stop, True))
+                yield pa.RecordBatch.from_arrays([*cols, *[pa.nulls(len(cols[0]), pa.int64())] * 2], names=EDGE.split()[::2])
+                continue
             at_end = len(data) - stop < profile.most
             if asked:
                 entries = {s - base for s in asked}
@@ -95,32 +117,38 @@ def _edges(gear: np.ndarray, profile: Profile, size: int):
                         out.update(dict.fromkeys(seen, b))
                         break
             keep = sorted(entries)
-            yield pa.RecordBatch.from_arrays([pa.array([file] * len(keep), pa.string()), pa.array([at] * len(keep), pa.int64()), pa.array([s + base for s in keep], pa.int64()), pa.array([out[s] + base for s in keep], pa.int64())], ["file", "slice", "start", "next"])
+            n = len(keep)
+            cols = [pa.array([file] * n, pa.string()), pa.array([at] * n, pa.int64()), *(pa.nulls(n, t) for t in CHUNK_TYPES[2:])]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([s + base for s in keep], pa.int64()), pa.array([out[s] + base for s in keep], pa.int64())], names=EDGE.split()[::2])
 
     return run
 
 
-def _chunks(gear: np.ndarray, profile: Profile, size: int):
+def _chunk_columns(file: str, at: int, data: bytes, base: int, spans: Iterator[tuple[int, int]]) -> list[pa.Array]:
+    rows = [(file, at, a + base, b - a, hashlib.sha256(data[a:b]).hexdigest()) for a, b in spans]
+    return [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, CHUNK_TYPES)]
+
+
+def _chunks(gear: np.ndarray, profile: Profile, size: int, per: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, at, data, before, own, starts in _groups(batches):
-            stop, base = before + own, at * size - before
+        for file, at, data, before, own, starts in _groups(batches, per):
+            stop, base = before + own, at * per * size - before
             cutter = Cutter(data, gear, profile)
-            rows = [(file, at, a + base, b - a, hashlib.sha256(data[a:b]).hexdigest()) for s in starts for a, b in _walk(cutter, data, s - base, stop, len(data) - stop < profile.most)]
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["file", "slice", "offset", "len", "cid"])
+            spans = (x for s in starts for x in _walk(cutter, data, s - base, stop, len(data) - stop < profile.most))
+            yield pa.RecordBatch.from_arrays(_chunk_columns(file, at, data, base, spans), names=CHUNK.split()[::2])
 
     return run
 
 
-def _in_order(gear: np.ndarray, profile: Profile, size: int):
-    """A file's slices one after the other: the starts that chunks really have, one of each slice that has any."""
+def _in_order(gear: np.ndarray, profile: Profile, size: int, per: int):
+    """A file's runs one after the other: the starts that chunks really have, one of each run that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, start = None, 0
-        for file, at, data, before, own, _ in _groups(batches):
+        for file, at, data, before, own, _ in _groups(batches, per):
             if file != now:
                 now, start = file, 0
-            base, stop = at * size - before, before + own
+            base, stop = at * per * size - before, before + own
             if start - base >= stop:
                 continue
             entry = start
@@ -138,6 +166,12 @@ def _by_slice(rows: DataFrame, whole_files: bool = False) -> DataFrame:
     return rows.repartition(n, *keys).sortWithinPartitions("file", "slice", "nth")
 
 
+def _picked(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """Rows of the given keys, a checkpoint's distinct ones."""
+    few = keys.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return rows.join(F.broadcast(keys) if few else keys, [*on], "left_semi")
+
+
 def _asked(starts: DataFrame) -> DataFrame:
     return starts.select("file", "slice", F.lit(-2).alias("nth"), F.lit(None).cast("binary").alias("piece"), "start")
 
@@ -145,41 +179,53 @@ def _asked(starts: DataFrame) -> DataFrame:
 def chunk_slices(slices: DataFrame, secret: bytes, profile: Profile = SOURCE_CODE, size: int = SLICE) -> DataFrame:
     """file, pos, offset, len, cid: the chunks that functions.cdc.spans() gives of each whole file, from its slices.
 
-    slices: file, slice (0, 1, ...), bytes; every slice of a file but the last has `size` bytes. A task holds a slice and
-    the `profile.most` bytes after it. An empty file has no chunks. A missing slice is an error.
+    slices: file, slice (0, 1, ...), bytes; every slice of a file but the last has `size` bytes. A task holds a run of
+    slices and the `profile.most` bytes after it. An empty file has no chunks. A missing slice is an error.
     """
     gear = gear_table(secret)
     holes = slices.groupBy("file").agg(F.count("*").alias("n"), F.max("slice").alias("last"), F.sum(F.octet_length("bytes")).alias("sz"), F.max_by(F.octet_length("bytes"), "slice").alias("end"))
     bad = holes.filter((F.col("n") != F.col("last") + 1) | (F.col("sz") != F.col("last") * size + F.col("end"))).limit(1).collect()
     if bad:
         raise ValueError(f"{bad[0].file}: slices are missing, or not of {size} bytes")
-    pieces = _with_context(slices.filter(F.octet_length("bytes") > 0), profile, size)
-    ends = cut_lineage(holes.select("file", "sz"))
-    edges = cut_lineage(_by_slice(pieces).mapInArrow(_edges(gear, profile, size), EDGE))
+    per = _per_run(profile, size)
+    unit, how = per * size, (gear, profile, size, per)
+    slices = slices.filter(F.octet_length("bytes") > 0)
+    first = cut_lineage(_by_slice(_with_context(slices, profile, size, per)).mapInArrow(_edges(*how), EDGE))
+    names = [c.split()[0] for c in CHUNK.split(", ")]
+    chunks = first.filter("start is null").select(*names)
+    ends = cut_lineage(holes.filter(F.col("sz") > unit).select("file", "sz", "last"))
+    if not ends.isEmpty():
+        chunks = chunks.unionByName(_composed(slices, ends, first.filter("start is not null").select("file", "start", "next"), profile, how))
+    counts = chunks.groupBy("file", "slice").agg(F.count("*").alias("n"))
+    before = counts.select("file", "slice", (F.sum("n").over(W.partitionBy("file").orderBy("slice")) - F.col("n")).alias("before"))
+    nth = F.row_number().over(W.partitionBy("file", "slice").orderBy("offset")) - 1
+    return chunks.join(before, ["file", "slice"]).select("file", (F.col("before") + nth).alias("pos"), "offset", "len", "cid")
+
+
+def _composed(slices: DataFrame, ends: DataFrame, edges: DataFrame, profile: Profile, how: tuple) -> DataFrame:
+    """CHUNK rows of the files of many runs. ends: file, sz, last (slice). edges: what their runs' functions give of the starts that content can give."""
+    *_, size, per = how
+    unit = per * size
+    pieces = _with_context(_picked(slices, ends.select("file"), "file"), profile, size, per)
     for _ in range(ROUNDS):
-        heard = edges.select("file", F.col("next").alias("start")).distinct().join(ends, "file").filter("start < sz").select("file", F.expr(f"start div {size}").alias("slice"), "start")
+        heard = edges.select("file", F.col("next").alias("start")).distinct().join(ends, "file").filter("start < sz").select("file", F.expr(f"start div {unit}").alias("slice"), "start")
         news = cut_lineage(heard.join(edges.select("file", "start"), ["file", "start"], "left_anti").select("file", "slice", "start"))
         if news.isEmpty():
             break
-        some = pieces.join(news.select("file", "slice").distinct(), ["file", "slice"], "left_semi").unionByName(_asked(news))
-        edges = cut_lineage(edges.unionByName(_by_slice(some).mapInArrow(_edges(gear, profile, size), EDGE)))
-    zero = ends.filter("sz > 0").select("file", F.lit(0).cast("bigint").alias("slice"), F.lit(0).cast("bigint").alias("start"))
-    found, jump = zero, edges.select("file", "start", "next")
-    slices_at_most = (holes.agg(F.max("last")).first()[0] or 0) + 1
-    for _ in range(slices_at_most.bit_length()):  # what 2**k functions in a row reach
+        some = _picked(pieces, cut_lineage(news.select("file", "slice").distinct()), "file", "slice").unionByName(_asked(news))
+        edges = cut_lineage(edges.unionByName(_by_slice(some).mapInArrow(_edges(*how), EDGE).select("file", "start", "next")))
+    found = ends.select("file", F.lit(0).cast("bigint").alias("slice"), F.lit(0).cast("bigint").alias("start"))
+    jump, runs_at_most = edges, ends.agg(F.max("last")).first()[0] // per + 1
+    for _ in range(runs_at_most.bit_length()):  # what 2**k functions in a row reach
         step = found.join(jump, ["file", "start"]).select("file", F.col("next").alias("start")).join(ends, "file").filter("start < sz")
-        found = cut_lineage(found.unionByName(step.select("file", F.expr(f"start div {size}").alias("slice"), "start")).distinct())
+        found = cut_lineage(found.unionByName(step.select("file", F.expr(f"start div {unit}").alias("slice"), "start")).distinct())
         ahead = jump.select("file", F.col("start").alias("next"), F.col("next").alias("after"))
         jump = cut_lineage(jump.join(ahead, ["file", "next"]).select("file", "start", F.col("after").alias("next")))
     open_ = cut_lineage(found.join(edges.select("file", "start"), ["file", "start"], "left_anti").select("file").distinct())
     if not open_.isEmpty():
-        dull = _by_slice(pieces.join(open_, "file", "left_semi"), whole_files=True).mapInArrow(_in_order(gear, profile, size), "file string, slice bigint, start bigint")
+        dull = _by_slice(_picked(pieces, open_, "file"), whole_files=True).mapInArrow(_in_order(*how), "file string, slice bigint, start bigint")
         found = cut_lineage(found.join(open_, "file", "left_anti").select("file", "slice", "start").unionByName(dull))
-    chunks = cut_lineage(_by_slice(pieces.unionByName(_asked(found))).mapInArrow(_chunks(gear, profile, size), CHUNK))
-    counts = chunks.groupBy("file", "slice").agg(F.count("*").alias("n"))
-    before = counts.select("file", "slice", (F.sum("n").over(W.partitionBy("file").orderBy("slice")) - F.col("n")).alias("before"))
-    nth = F.row_number().over(W.partitionBy("file", "slice").orderBy("offset")) - 1
-    return chunks.join(before, ["file", "slice"]).select("file", (F.col("before") + nth).alias("pos"), "offset", "len", "cid")
+    return cut_lineage(_by_slice(pieces.unionByName(_asked(found))).mapInArrow(_chunks(*how), CHUNK))
 
 
 def sliced(spark, folder: str, size: int = SLICE) -> DataFrame:

@@ -95,3 +95,21 @@ def test_a_large_file_takes_little_memory(tmp_path):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (tmp_path / "f").stat().st_size == n << 16 and peak < 8 << 20
+
+
+@pytest.mark.parametrize("most_sent", [500_000, 0])
+def test_runs_of_few_slices(spark, monkeypatch, most_sent):
+    """Runs of one largest chunk, by broadcast and by shuffled names: files of one run beside files of many, ends at, before and behind a run's end."""
+    p = cdc.Profile(64, 256, 1024, 10, 6)
+    monkeypatch.setattr(slices, "RUN", 0)
+    monkeypatch.setattr(slices, "MOST_SENT", most_sent)
+    files = {f"n{k}": noise(k, k) for k in (1, 300, 1399, 1400, 1401, 2800, 2801, 5000, 9000)} | {"zeros": bytes(20_000), "mixed": noise(3000, 1) + bytes(6000) + noise(2000, 2)}
+    check(spark, files, p, 700)
+
+
+def test_neighbours_bytes_are_few(spark):
+    """What runs are sent of each other is at most about a quarter of the bytes; six slices each got every slice of 700 before."""
+    p = cdc.Profile(256, 1024, 4096, 12, 8)
+    df = rows(spark, {"f": noise(400_000, 1), "g": noise(900, 2)}, 700)
+    sent = slices._with_context(df, p, 700, slices._per_run(p, 700)).selectExpr("sum(octet_length(piece))").first()[0]
+    assert 400_900 < sent < 1.26 * 400_900
