@@ -73,17 +73,27 @@ def cas_replay(attempts: DataFrame) -> DataFrame:
     return ordered.mapInPandas(fold, f"space_id {kind}, attempt_no bigint, accepted boolean, seq bigint")
 
 
+def head(spark: SparkSession, folder: str, space: str) -> int | None:
+    """A space's newest seq; None if it has no revision. The listing reaches Python as one string: a call for each of its files would take most of the time."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{space}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    listed = jvm.scala.Predef.genericWrapArray(jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(fs.listStatus(path))).mkString("\0")  # no path holds it
+    names = (x.rpartition("/")[2] for x in listed.split("\0"))
+    return max((int(x) for x in names if x.isdigit()), default=None)
+
+
 def commit(spark: SparkSession, folder: str, space: str, expected: int | None, payload: bytes) -> int | None:
     """Write aside, then rename to `<folder>/<space>/<seq>` unless it exists; None if another writer has that seq or
     the base is stale. A crash before the rename leaves no revision."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{space}")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    have = [int(x.getPath().getName()) for x in fs.listStatus(path) if x.getPath().getName().isdigit()] if fs.exists(path) else []
-    head = max(have, default=None)
-    if head != expected:
+    if head(spark, folder, space) != expected:
         return None
-    seq = 0 if head is None else head + 1
+    seq = 0 if expected is None else expected + 1
     aside = jvm.org.apache.hadoop.fs.Path(f"{folder}/{space}/_{uuid.uuid4().hex}")
     out = fs.create(aside, False)
     out.write(bytearray(payload))

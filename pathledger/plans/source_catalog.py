@@ -74,7 +74,8 @@ def supplier_log(spark: SparkSession, sf: str, name: str) -> tuple[DataFrame, st
     rank = F.expr("row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1").cast("bigint")
     log = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("space_id"), rank.alias("seq"), F.col("s_name").alias("payload"))
     folder = fresh_folder(spark, name)
-    objects.materialize(files(log, F.concat_ws("/", "space_id", "seq"), F.col("payload")), folder)
+    entries = files(log, F.concat_ws("/", "space_id", "seq"), F.col("payload"))
+    objects.materialize(entries.repartition(max(8, spark.sparkContext.defaultParallelism)), folder)  # so few bytes would be one task's
     return log, folder
 
 

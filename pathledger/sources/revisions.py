@@ -100,10 +100,7 @@ def revision_stream(spark: SparkSession, folder: str, start: str = "head") -> Da
 
 def head(spark: SparkSession, folder: str, space: str) -> int | None:
     """A space's newest seq; None if it has no revision."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{space}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    have = [int(x.getPath().getName()) for x in fs.listStatus(path) if x.getPath().getName().isdigit()] if fs.exists(path) else []
-    return max(have, default=None)
+    return revlog.head(spark, folder, space)
 
 
 def newest(spark: SparkSession, folder: str, space: str) -> tuple[int | None, dict]:

@@ -19,3 +19,34 @@ def plans(spark, run):
 def test_a_scan_broadcasts_nothing(spark):
     seen = plans(spark, lambda: QUERIES["whole_scan"](spark, SMALL).collect())
     assert seen and not any("BroadcastHashJoin" in p for p in seen)  # what is crossed with a row of counts doesn't grow
+
+
+def test_the_head_of_a_long_log_takes_few_calls(spark, tmp_path, monkeypatch):
+    """Files of other names beside the revisions; the calls into the JVM don't grow with them."""
+    from py4j.java_gateway import GatewayClient
+
+    from pathledger.operators import revlog
+
+    calls, send = [], GatewayClient.send_command
+    monkeypatch.setattr(GatewayClient, "send_command", lambda self, command, *a, **b: (calls.append(command), send(self, command, *a, **b))[1])
+    took = []
+    for space, n in (("short", 3), ("long", 400)):
+        (tmp_path / space).mkdir()
+        for name in (*range(n), "_aside", "x, 900", "a\n901"):
+            (tmp_path / space / str(name)).write_bytes(b"x")
+        calls.clear()
+        assert revlog.head(spark, str(tmp_path), space) == n - 1
+        took.append(sum(not c.startswith("m\n") for c in calls))
+    assert took[0] == took[1]
+    assert revlog.commit(spark, str(tmp_path), "long", 398, b"y") is None and revlog.commit(spark, str(tmp_path), "long", 399, b"y") == 400
+    assert revlog.head(spark, str(tmp_path), "none") is None and revlog.commit(spark, str(tmp_path), "none", None, b"y") == 0
+
+
+def test_a_log_is_written_by_many_tasks(spark, monkeypatch):
+    from pathledger.plans import source_catalog
+    from pathledger.sources import objects
+
+    parts = []
+    monkeypatch.setattr(objects, "materialize", lambda entries, folder: parts.append(entries.rdd.getNumPartitions()))
+    source_catalog.supplier_log(spark, SMALL, "parts")
+    assert parts[0] >= 8
