@@ -1,7 +1,12 @@
 """What grows with the data goes neither through the driver nor through one task."""
 
+import pytest
+from oracle import assert_same
+from pyspark.sql import functions as F
+
+from pathledger.operators import pagestore
 from pathledger.plans import store_catalog  # noqa: F401
-from pathledger.plans.catalog import QUERIES
+from pathledger.plans.catalog import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -50,3 +55,20 @@ def test_a_log_is_written_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(objects, "materialize", lambda entries, folder: parts.append(entries.rdd.getNumPartitions()))
     source_catalog.supplier_log(spark, SMALL, "parts")
     assert parts[0] >= 8
+
+
+@pytest.fixture(scope="module")
+def deep(spark, tmp_path_factory):
+    """documents of 66,000 rows: trees of three levels."""
+    top = str(tmp_path_factory.mktemp("deep"))
+    k = F.col("doc_id")
+    d = spark.range(66_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    d.withColumn("n_chars", F.length("text").cast("bigint")).orderBy(k).write.parquet(f"{top}/documents.parquet")
+    return top
+
+
+@pytest.mark.parametrize("name, most_named", [("page_diff_reads", 4096), ("stored_page_diff_reads", 4096), ("stored_page_diff_reads", 50)])
+def test_reads_of_trees_of_three_levels(spark, deep, monkeypatch, name, most_named):
+    """Named frontiers, and joined ones, as those of some million entries are."""
+    monkeypatch.setattr(pagestore, "MOST_NAMED", most_named)
+    assert_same(QUERIES[name](spark, deep), ORACLES[name], deep)
