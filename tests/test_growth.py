@@ -1,5 +1,7 @@
 """What grows with the data goes neither through the driver nor through one task."""
 
+import time
+
 import pytest
 from oracle import assert_same
 from pyspark.sql import functions as F
@@ -72,3 +74,14 @@ def test_reads_of_trees_of_three_levels(spark, deep, monkeypatch, name, most_nam
     """Named frontiers, and joined ones, as those of some million entries are."""
     monkeypatch.setattr(pagestore, "MOST_NAMED", most_named)
     assert_same(QUERIES[name](spark, deep), ORACLES[name], deep)
+
+
+def test_bounds_of_many_rows_are_checked_in_one_walk(spark):
+    """An array of 20,000, under a filter that is pushed below it as walk()'s is; a lambda that looked its neighbour up built the array anew for each."""
+    rows = spark.range(2).select("id", F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: i * 2 - F.when((i == 9000) & (F.col("id") == 1), 1).otherwise(0)).alias("xs"))
+    bodies = F.transform("xs", lambda x: F.struct(x.alias("lo"), (x + 1).alias("hi")))
+    start = time.time()
+    bad = rows.withColumn("bodies", bodies).withColumn("ok", pagestore.ascends(F.col("bodies"))).filter("not ok").select("id").collect()
+    assert [r.id for r in bad] == [1] and time.time() - start < 20
+    few = spark.sql("select array() as b union all select array(named_struct('lo', 'b', 'hi', 'a')) union all select array(named_struct('lo', 'a', 'hi', 'b'))".replace("array() as b", "cast(array() as array<struct<lo:string,hi:string>>) as b"))
+    assert [r[0] for r in few.select(pagestore.ascends(F.col("b"))).collect()] == [True, False, True]
