@@ -13,8 +13,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -263,25 +261,16 @@ def write_files(entries: DataFrame, blocks: DataFrame, folder: str) -> None:
 
 def append_files(rows: Iterator, folder: str) -> None:
     """Rows (p, pos, bytes, x, sz, pcid) in order, each file's entry (pos -1) before its blocks."""
-    for _, mine in itertools.groupby(rows, key=lambda r: r.p):
-        entry = next(mine)
-        to = objects.place(folder, entry.p)
-        aside = os.path.join(os.path.dirname(to), f".{os.path.basename(to)}.{uuid.uuid4().hex}.ft-tmp")
-        digest, size = hashlib.sha256(), 0
-        try:
-            with open(aside, "wb") as f:
-                for at, r in enumerate(mine):
-                    if r.pos != at or r.bytes is None:
-                        raise ValueError(f"{entry.p}: block {at} is missing")
-                    f.write(r.bytes)
-                    digest.update(r.bytes)
-                    size += len(r.bytes)
-                f.flush()
-                os.fsync(f.fileno())
+    with objects.Landing() as landing:
+        for _, mine in itertools.groupby(rows, key=lambda r: r.p):
+            entry = next(mine)
+            f = landing.file(objects.place(folder, entry.p), entry.x)
+            digest, size = hashlib.sha256(), 0
+            for at, r in enumerate(mine):
+                if r.pos != at or r.bytes is None:
+                    raise ValueError(f"{entry.p}: block {at} is missing")
+                f.write(r.bytes)
+                digest.update(r.bytes)
+                size += len(r.bytes)
             if size != entry.sz or digest.hexdigest() != entry.pcid:
                 raise ValueError(f"{entry.p}: content isn't what its entry says")
-            os.chmod(aside, 0o755 if entry.x else 0o644)
-            os.replace(aside, to)
-        finally:
-            if os.path.lexists(aside):
-                os.remove(aside)

@@ -85,3 +85,87 @@ def test_bounds_of_many_rows_are_checked_in_one_walk(spark):
     assert [r.id for r in bad] == [1] and time.time() - start < 20
     few = spark.sql("select array() as b union all select array(named_struct('lo', 'b', 'hi', 'a')) union all select array(named_struct('lo', 'a', 'hi', 'b'))".replace("array() as b", "cast(array() as array<struct<lo:string,hi:string>>) as b"))
     assert [r[0] for r in few.select(pagestore.ascends(F.col("b"))).collect()] == [True, False, True]
+
+
+@pytest.fixture
+def here(monkeypatch, spark):
+    """What tasks write is written by the test's own process; the disk is told to be one that syncfs() serves. Gives the calls, in order."""
+    import ctypes
+    import os
+
+    calls = []
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "foreachPartition", lambda df, f: f(iter(df.collect())))
+    monkeypatch.setattr(objects, "synced_whole", lambda f: True, raising=False)
+    for name in ("fsync", "replace"):
+        monkeypatch.setattr(os, name, lambda *a, f=getattr(os, name), name=name: (calls.append(name), f(*a))[1])
+    libc = ctypes.CDLL(None, use_errno=True)
+
+    class Counted:
+        def __getattr__(self, name):
+            return lambda *a: (calls.append(name), getattr(libc, name)(*a))[1]
+
+    monkeypatch.setattr(ctypes, "CDLL", lambda *a, **k: Counted())
+    return calls
+
+
+ENTRY = "p string, t int, x boolean, lt string, content binary"
+
+
+def test_a_tree_waits_for_the_disk_once_for_many_files(spark, here, tmp_path):
+    rows = [(f"d{k % 3}/{k}", int(k % 7 == 2), k % 7 == 3, "to" if k % 7 == 2 else None, None if k % 7 == 2 else b"%d" % k) for k in range(700)]
+    objects.materialize(spark.createDataFrame(rows, ENTRY), str(tmp_path))
+    assert sum(c in ("fsync", "syncfs") for c in here) < 10 and here.count("replace") == 700
+    assert here[0] != "replace" and sorted(p.name for p in tmp_path.glob("d*/*")) == sorted(str(k) for k in range(700))
+    for p, t, x, _, body in rows:
+        f = tmp_path / p
+        assert f.is_symlink() if t else (f.read_bytes(), f.stat().st_mode & 0o777) == (body, 0o755 if x else 0o644)
+
+
+def test_blocks_wait_for_the_disk_once_for_many_files(here, tmp_path):
+    import hashlib
+    from types import SimpleNamespace as Row
+
+    from pathledger.operators import slices
+
+    bodies = [b"%d" % k for k in range(600)]
+    rows = [r for k, b in enumerate(bodies) for r in (Row(p=f"f{k}", pos=-1, bytes=None, x=False, sz=len(b), pcid=hashlib.sha256(b).hexdigest()), Row(p=f"f{k}", pos=0, bytes=b))]
+    slices.append_files(iter(rows), str(tmp_path))
+    assert sum(c in ("fsync", "syncfs") for c in here) < 10 and [(tmp_path / f"f{k}").read_bytes() for k in range(600)] == bodies
+    with pytest.raises(ValueError, match="content"):
+        slices.append_files(iter([rows[0], Row(p="f0", pos=0, bytes=b"?")]), str(tmp_path))
+    assert (tmp_path / "f0").read_bytes() == b"0" and len(list(tmp_path.iterdir())) == 600
+
+
+def test_nothing_takes_its_name_before_the_disk_has_it(monkeypatch, tmp_path):
+    (tmp_path / "kept").write_bytes(b"old")
+    (tmp_path / "folder").mkdir()
+
+    def fails(files):
+        raise OSError("no space")
+
+    def land(**k):
+        with objects.Landing(**k) as landing:
+            for name in ("kept", "new", "kept", "folder"):
+                landing.file(f"{tmp_path}/{name}", False).write(b"%d" % len(landing.waiting))
+            landing.link(f"{tmp_path}/ln", "new")
+
+    with monkeypatch.context() as m:
+        m.setattr(objects, "flush", fails)
+        with pytest.raises(OSError, match="space"):
+            land()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["folder", "kept"] and (tmp_path / "kept").read_bytes() == b"old"
+    with pytest.raises(IsADirectoryError):
+        land()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["folder", "kept", "new"] and (tmp_path / "kept").read_bytes() == b"3"
+    land(over_folders=True)
+    assert (tmp_path / "folder").read_bytes() == b"4" and (tmp_path / "ln").is_symlink() and len(list(tmp_path.iterdir())) == 4
+
+
+def test_disks_without_a_common_sync_are_asked_for_each_file(here, monkeypatch, tmp_path):
+    monkeypatch.setattr(objects, "synced_whole", lambda f: False)
+    monkeypatch.setattr(objects, "BYTES_AT_ONCE", 10)
+    with objects.Landing() as landing:
+        for k in range(6):
+            landing.file(f"{tmp_path}/{k}", False).write(b"12345")
+    assert here == (["fsync"] * 2 + ["replace"] * 2) * 3
