@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +30,8 @@ PIVOTS = 16
 CELL_SHINGLES = 2_000_000
 BUCKET_BYTES = 24 << 20
 MESSAGE_KEYS = 1_000_000
+#: What a task works on at once, of however many rows a batch has: elements, distances to a block's sets, and postings of a block.
+SLICE = 500_000
 #: Candidates (8 bytes each) that may be broadcast to fetch their texts; beyond, both sides are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -171,7 +172,7 @@ class Sets:
     def leaf(self, members: np.ndarray) -> None:
         """Exact join of a large cell that windows can't divide: links share one of their rarest elements (prefix filter).
 
-        Only holders outside an element's most frequent component are compared, each with all others at once: what
+        Only holders outside an element's most frequent component are compared, all at once with each member: what
         is linked already costs no comparison, however many copies share the element.
         """
         cat = np.concatenate([self.sets[i] for i in members])
@@ -191,26 +192,21 @@ class Sets:
         start = np.flatnonzero(np.diff(element, prepend=-1))
         stop = np.append(start[1:], len(element))
         mixed = np.minimum.reduceat(root[holder], start) != np.maximum.reduceat(root[holder], start)
-        held = own[np.argsort(inverse, kind="stable")].astype(np.int32)  # holders of each element, element by element
-        held_to = np.cumsum(counts)
-        set_to = np.cumsum(n)
-        near: dict[int, list[np.ndarray]] = defaultdict(list)
+        apart = np.zeros(len(members), bool)
         for s, e in zip(start[mixed], stop[mixed]):
             group = holder[s:e]
             names, times = np.unique(root[group], return_counts=True)
-            for x in group[root[group] != names[times.argmax()]].tolist():
-                near[x].append(group)
-        for x, groups in near.items():
-            others = np.unique(np.concatenate(groups))
-            others = others[(root[others] != root[x]) & (np.minimum(n[others], n[x]) * 100 >= self.percent * np.maximum(n[others], n[x]))]
-            if not len(others):
-                continue
-            mine = inverse[set_to[x] - n[x] : set_to[x]]
-            both = np.bincount(np.concatenate([held[held_to[v] - counts[v] : held_to[v]] for v in mine.tolist()]), minlength=len(members))[others]
-            for y in others[both * 100 >= self.percent * (n[others] + n[x] - both)].tolist():
-                if root[x] != root[y]:
-                    self.union(int(members[x]), int(members[y]))
-                    root[(root == root[x]) | (root == root[y])] = min(root[x], root[y])
+            apart[group[root[group] != names[times.argmax()]]] = True
+        if not apart.any():
+            return
+        some = np.flatnonzero(apart)
+        block = Block(members[some].tolist(), root[some].tolist(), [self.sets[i] for i in members[some]])
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        for lo, hi in _slices(bounds, SLICE, max(1, SLICE // len(some))):
+            both = block.shared(cat[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+            hit = both * 100 >= self.percent * (n[lo:hi, None] + block.size[None, :] - both)
+            for x, y in block.join(hit, members[lo:hi].tolist(), root[lo:hi].tolist()):
+                self.union(x, y)
 
     def around(self, members: np.ndarray, pivot: int) -> np.ndarray:
         """Link what lies within reach of the pivot; return the members that may still have another link.
@@ -416,11 +412,22 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy().view(np.uint64)[offs[0] : offs[-1]], (offs - offs[0]).astype(np.int64)
 
 
+def _slices(offs: np.ndarray, most: int, rows: int = 1 << 40) -> Iterator[tuple[int, int]]:
+    """Rows [start, stop) of `most` elements together, or one row."""
+    start, n = 0, len(offs) - 1
+    while start < n:
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(offs, offs[start] + most, "right")) - 1))
+        yield start, stop
+        start = stop
+
+
 def _keys(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, key = part_keys(*_flat(batch.column(1)), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(tc.signed(key)), batch.column(0).take(pa.array(doc))], ["key", "doc_id"])
+            values, offs = _flat(batch.column(1))
+            for start, stop in _slices(offs, SLICE):
+                doc, key = part_keys(values[offs[start] : offs[stop]], offs[start : stop + 1] - offs[start], percent)
+                yield pa.RecordBatch.from_arrays([pa.array(tc.signed(key)), batch.column(0).take(pa.array(start + doc))], ["key", "doc_id"])
 
     return run
 
@@ -457,7 +464,11 @@ def _join_cells(percent: int):
 
 
 class Block:
-    """A few sets as posting lists: distances of any number of others to all of them."""
+    """Some sets: distances of any number of others to all of them.
+
+    Elements that an eighth of the sets have (eight sets at least) are columns of a matrix, of eight times as many numbers as the
+    sets have elements at most; the others are posting lists.
+    """
 
     def __init__(self, ids: list[int], labels: list[int], sets: list[np.ndarray]):
         self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.int64)
@@ -467,16 +478,51 @@ class Block:
         self.own = own[order]
         self.value, start, self.times = np.unique(flat[order], return_index=True, return_counts=True)
         self.start = start
+        common = self.times * 8 >= max(len(ids), 64)
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        self.matrix = np.zeros((len(ids), int(common.sum())), np.float32)
+        column = np.repeat(self.column, self.times)
+        self.matrix[self.own[column >= 0], column[column >= 0]] = 1
+        known, self.label = np.unique(self.labels, return_inverse=True)
+        self.place = dict(zip(known.tolist(), range(len(known))))
+        self.root = np.arange(len(known))
 
     def shared(self, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """(rows, sets) sizes of intersections."""
+        """(rows, sets) sizes of intersections, some rows or postings at a time: near copies share most elements with most sets."""
         at = np.minimum(np.searchsorted(self.value, values), len(self.value) - 1)
         hit = np.flatnonzero(self.value[at] == values)
-        row = np.searchsorted(bounds, hit, "right") - 1
-        times = self.times[at[hit]]
-        take = np.repeat(self.start[at[hit]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        at, row = at[hit], np.searchsorted(bounds, hit, "right") - 1
         n, m = len(bounds) - 1, len(self.ids)
-        return np.bincount(np.repeat(row, times) * m + self.own[take], minlength=n * m).reshape(n, m)
+        out = np.zeros((n, m), np.int64)
+        common = self.column[at] >= 0
+        inside, column = row[common], self.column[at[common]]
+        step = max(1, SLICE // max(1, self.matrix.shape[1]))
+        for lo in range(0, n if len(inside) else 0, step):
+            a, b = np.searchsorted(inside, [lo, lo + step])
+            part = np.zeros((min(step, n - lo), self.matrix.shape[1]), np.float32)
+            part[inside[a:b] - lo, column[a:b]] = 1
+            out[lo : lo + step] = part @ self.matrix.T  # whole numbers, exact below 2**24
+        at, row = at[~common], row[~common]
+        first, times = self.start[at], self.times[at]
+        for a, b in _slices(np.concatenate([[0], np.cumsum(times)]), SLICE):
+            t, lo, hi = times[a:b], row[a], row[b - 1] + 1
+            take = np.repeat(first[a:b] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+            out[lo:hi] += np.bincount(np.repeat(row[a:b] - lo, t) * m + self.own[take], minlength=(hi - lo) * m).reshape(-1, m)
+        return out
+
+    def join(self, hit: np.ndarray, ids: list[int], labels: list[int]) -> list[tuple[int, int]]:
+        """Links of rows and the block's sets (hit: who links with whom) that join what neither labels nor links given
+        before join: in all at most one for each row and one for each set."""
+        out = []
+        for i in np.flatnonzero(hit.any(axis=1)).tolist():
+            own = self.root[self.place[labels[i]]] if labels[i] in self.place else -1
+            sets = np.flatnonzero(hit[i])
+            roots = self.root[self.label[sets]]
+            new, at = np.unique(roots[roots != own], return_index=True)
+            out += [(ids[i], b) for b in self.ids[sets[roots != own][at]].tolist()]
+            if len(new) > (own < 0):
+                self.root[np.isin(self.root, new)] = new[0] if own < 0 else own
+        return out
 
 
 def _deal(percent: int, level: int):
@@ -509,7 +555,6 @@ def _deal(percent: int, level: int):
         for batch in batches:
             cells, chunks, pivot, ids, labels, last = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6))
             values, offs = _flat(batch.column(5))
-            rows: list[tuple] = []
             start = 0
             while start < len(cells):
                 if (cells[start], chunks[start]) != chunk:
@@ -518,9 +563,9 @@ def _deal(percent: int, level: int):
                     held.append((ids[start], labels[start], values[offs[start] : offs[start + 1]].copy()))
                     start += 1
                     continue
-                stop = start
-                most = max(1, 4_000_000 // max(1, len(held)))
-                while stop < len(cells) and (cells[stop], chunks[stop]) == chunk and stop - start < most:
+                stop = start + 1
+                most = max(1, SLICE // max(1, len(held)))
+                while stop < len(cells) and (cells[stop], chunks[stop]) == chunk and stop - start < most and offs[stop + 1] - offs[start] <= SLICE:
                     stop += 1
                 if block is None:
                     block = Block(*map(list, zip(*held)))
@@ -530,9 +575,7 @@ def _deal(percent: int, level: int):
                 both = block.shared(*mine)
                 whole = np.diff(mine[1])[:, None] + block.size[None, :] - both
                 hit = both * 100 >= percent * whole
-                for i, j in zip(*np.nonzero(hit)):
-                    if block.ids[j] != ids[start + i] and block.labels[j] != labels[start + i]:
-                        rows.append((None, ids[start + i], None, int(block.ids[j]), None))
+                rows = [(None, a, None, b, None) for a, b in block.join(hit, ids[start:stop], labels[start:stop])]
                 if not last[start]:
                     dist = 1 - both / whole
                     least = dist.min(axis=1)
@@ -547,8 +590,8 @@ def _deal(percent: int, level: int):
                             mixed = tc.mix(np.array([(chunk[0] & (2**64 - 1)) ^ (level << 32 | j)], np.uint64)).view(np.int64)[0]
                             rows.append((int(mixed), ids[start + i], label, None, el))
                 start = stop
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64()))], names)
+                cols = list(zip(*rows)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64()))], names)
 
     return run
 
